@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossierflow.llm.canonical import canonical_groups, copy_links
+from dossierflow.llm.leakage import find_leaks
+from dossierflow.llm.mixing import Mixture, mix_sources
 from dossierflow.llm.sentences import split_sentences
 from dossierflow.llm.split import cut_kinds, split_oversized
 from dossierflow.plans.registry import Registry
@@ -43,3 +45,39 @@ def p5_found(spark: SparkSession, data_dir: str) -> DataFrame:
     sections = table(spark, data_dir, "sections", "id", "text", "labels_json").where(F.col("labels_json") == '["text"]').select(F.lit("sections").alias("src_table"), F.col("id").alias("row_id"), "text")
     items = table(spark, data_dir, "eval_items", "item_row_id", "best_ref_sentence").select(F.lit("eval_items").alias("src_table"), F.col("item_row_id").alias("row_id"), F.col("best_ref_sentence").alias("text"))
     return split_sentences(sections.unionAll(items))
+
+
+def _leaks(spark: SparkSession, data_dir: str) -> DataFrame:
+    return find_leaks(table(spark, data_dir, "documents", "doc_id", "text"), table(spark, data_dir, "heldout_items"))
+
+
+@llm_queries.query("p7_found")
+def p7_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    return _leaks(spark, data_dir).select("doc_id", "item_id")
+
+
+@llm_queries.query("p7_passages")
+def p7_passages(spark: SparkSession, data_dir: str) -> DataFrame:
+    return _leaks(spark, data_dir)
+
+
+def _mixture(spark: SparkSession, data_dir: str) -> Mixture:
+    return mix_sources(table(spark, data_dir, "documents", "doc_id", "text", "source"), table(spark, data_dir, "mix_targets"))
+
+
+@llm_queries.query("p8_mix")
+def p8_mix(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The chosen documents of every mix with their repeats."""
+    return _mixture(spark, data_dir).documents()
+
+
+@llm_queries.query("p8_shares")
+def p8_shares(spark: SparkSession, data_dir: str) -> DataFrame:
+    return _mixture(spark, data_dir).shares()
+
+
+@llm_queries.query("p8_shards")
+def p8_shards(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Every draw with its output shard, shuffled within the shard."""
+    draws = _mixture(spark, data_dir).draws
+    return draws.repartition("mix_name", "shard").sortWithinPartitions("mix_name", "shard", "slot", "doc_id")
