@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossierflow.llm.canonical import canonical_groups, copy_links
+from dossierflow.llm.language import classify, mislabelled, train
 from dossierflow.llm.leakage import find_leaks
 from dossierflow.llm.mixing import Mixture, mix_sources
 from dossierflow.llm.sentences import split_sentences
@@ -81,3 +82,19 @@ def p8_shards(spark: SparkSession, data_dir: str) -> DataFrame:
     """Every draw with its output shard, shuffled within the shard."""
     draws = _mixture(spark, data_dir).draws
     return draws.repartition("mix_name", "shard").sortWithinPartitions("mix_name", "shard", "slot", "doc_id")
+
+
+def _segments(spark: SparkSession, data_dir: str) -> DataFrame:
+    documents = table(spark, data_dir, "documents", "doc_id", "text", "lang")
+    return classify(documents, train(documents))
+
+
+@llm_queries.query("p9_found")
+def p9_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    return mislabelled(_segments(spark, data_dir))
+
+
+@llm_queries.query("p9_segments")
+def p9_segments(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Language and confidence of every document and of each of its segments."""
+    return _segments(spark, data_dir)
