@@ -300,14 +300,16 @@ def clean_sample(rows: list[tuple[str, str]], rounds: int = 4) -> dict[str, list
         counts = {x: Counter() for x in latin}
         for x, s in kept:
             if x in counts:
-                counts[x].update(grams[s])
+                for g in grams[s]:
+                    counts[x][g] += often[x, s]
         size = {x: sum(c.values()) + 1 for x, c in counts.items()}
-        # a sentence's own grams don't speak for its label
+
         def score(x: str, s: str, own: bool) -> float:
+            # one occurrence of a sentence doesn't speak for its own label; an unseen gram costs the same in every language
             c, n = counts[x], size[x]
-            return sum(math.log((max(0, c[g] - own) + 0.1) / n) for g in grams[s])
+            return sum(math.log(max(0, c[g] - own) / n + 1e-5) for g in grams[s]) + 1e-9 * own
 
-        left = [(x, s) for x, s in kept if x not in counts or often[x, s] > 2 or max(latin, key=lambda y: score(y, s, x == y)) == x]
+        left = [(x, s) for x, s in kept if x not in counts or max(latin, key=lambda y: score(y, s, x == y)) == x]
         if len(left) == len(kept):
             break
         kept = left
@@ -342,11 +344,19 @@ def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_letters:
 
 
 def build_model(sentences: dict[str, list[str]], reference_letters: int = REFERENCE_LETTERS) -> LanguageModel:
-    """Reference texts of equal size where there are enough sentences, in an order given by a hash."""
+    """Reference texts of up to `reference_letters`, in an order given by a hash.
+
+    A sentence that brings hardly anything new is left out, so that the
+    reference covers the language rather than its commonest phrases.
+    """
     references = {}
     for name, own in sentences.items():
-        text, size = [], 0
+        text, size, known = [], 0, set()
         for s in sorted(own, key=lambda s: hashlib.sha1(s.encode()).digest()):
+            grams = set(_grams(s))
+            if len(grams - known) < 0.1 * len(grams):
+                continue
+            known |= grams
             text.append(s)
             size += len(s)
             if size >= reference_letters:
