@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from dossierflow.plans.curation import curation
+from dossierflow.plans.evaluation import evaluation
 from dossierflow.plans.problems import problems
 from dossierflow.plans.registry import Registry
 
 
 def registries() -> list[Registry]:
-    return [problems, curation]
+    return [problems, curation, evaluation]
