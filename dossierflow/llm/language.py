@@ -148,8 +148,8 @@ class SuffixAutomaton:
         self.next = nxt
 
     def phrases(self, text: str, most: int = 1 << 60) -> int:
-        """Greedy longest phrases of `text`; stops beyond `most`."""
-        nxt, count, n = self.next, 1, len(text)
+        """Greedy longest phrases of `text`, an unknown character being one of its own; stops beyond `most`."""
+        nxt, count, n = self.next, 0, len(text)
         root = nxt[0]
         at, i = root, 0
         while i < n:
@@ -164,7 +164,7 @@ class SuffixAutomaton:
             else:
                 at = nxt[to]
                 i += 1
-        return count
+        return count + (at is not root)
 
 
 @dataclass

@@ -51,7 +51,7 @@ _CJK_MARKS = "。！？｡"
 _EVENT = re.compile("[.!?…]+|[。！？｡।॥؟۔]+|[;;]|[\"“”„«»‹›「」『』‘’‚()\\[\\]{}（）【】]|(?<=[ก-ฺเ-๎])\\s+(?=[ก-ฮเ-ๆ])")
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*|\r\n[^\S\n]*\r\n\s*|[ \f]\s*")
 _WS = re.compile(r"\s*")
-_LIST_ONLY = re.compile(r"^\W*(?:\S\s+)?[(]?(?:\d{1,3}|[^\W\d_]|[ivxlcIVXLC]{1,5})[.)]*$")
+_LIST_ONLY = re.compile(r"^\W*(?:[^\x00-\x7f]\s+)?[(]?(?:\d{1,3}|[^\W\d_]|[ivxlcIVXLC]{1,5})[.)]*$")
 _LIST_MARK = re.compile(r"\(?(?:\d{1,3}|[a-zA-Z]|[ivxlc]{1,5})[.)]\s")
 _PAREN_MARK = re.compile(r"\((?:\d{1,3}|[a-z]|[ivxlc]{1,5})\)\s")
 _LAST_WORD = re.compile(r"(\S+)\s+\S*$")
