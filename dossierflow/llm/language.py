@@ -21,17 +21,17 @@ result; repeated rows are classified each.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossierflow.functions.arrowmap import map_rows
+from dossierflow.functions.arrowmap import map_rows, spread
 from dossierflow.llm.sentences import sentence_spans
 
 SEGMENT_SCHEMA = "doc_id long, label string, doc_lang string, doc_confidence double, n_segments int, seg_no int, seg_start int, seg_end int, seg_lang string, seg_confidence double"
@@ -65,6 +65,9 @@ SAMPLE_DOCS, SAMPLE_LETTERS, REFERENCE_LETTERS, SAMPLE_TEXT = 250, 150_000, 30_0
 MIN_LETTERS = 8
 #: A sentence goes to its document's main language if that needs at most so many times the fewest phrases.
 NEAR = 1.3
+FAR = 3
+#: Grams of a stretch looked at on its own when the sample is cleaned, and how much better (in nats) another language may explain it.
+STRETCH, MARGIN = 24, 25.0
 #: Letters that each side of a cut inside a sentence needs, and phrases per letter from which one is looked for.
 MIN_PART, ODD_RATE = 20, 0.13
 
@@ -186,7 +189,7 @@ _BUILT: dict[str, dict[str, SuffixAutomaton]] = {}
 
 class Classifier:
     def __init__(self, model: LanguageModel):
-        self.model, self.automata = model, model.automata()
+        self.model, self.automata, self.hint = model, model.automata(), None
 
     def scores(self, text: str) -> tuple[dict[str, float], int]:
         """Phrases per letter by candidate language, and the letters they stand for; {} if there are too few."""
@@ -200,8 +203,14 @@ class Classifier:
             return {}, 0
         if len(names) == 1:
             return {names[0]: 1.0 - share}, size
-        padded = f" {letters} "
-        return {x: self.automata[x].phrases(padded) / size for x in names}, size
+        padded, best, counts = f" {letters} ", None, {}
+        # a language that needs FAR times the fewest phrases so far is not followed further
+        for x in sorted(names, key=lambda x: x != self.hint):
+            n = self.automata[x].phrases(padded, 1 << 60 if best is None else FAR * best + 5)
+            best = n if best is None else min(best, n)
+            counts[x] = n / size
+        self.hint = min(counts, key=counts.get)
+        return counts, size
 
     def refined(self, text: str, a: int, b: int) -> list[tuple[int, int, dict[str, float], int]]:
         """The span with its scores, cut in two where sentences of two languages follow each other without a mark."""
@@ -240,6 +249,7 @@ class Classifier:
         A sentence that the document's main language, or a neighbour's, explains
         nearly as well as the best one belongs to that language.
         """
+        self.hint = None
         scored = [x for a, b in sentence_spans(text) for x in self.refined(text, a, b)]
         weight: dict[str, int] = {}
         for _, _, counts, size in scored:
@@ -295,24 +305,51 @@ def clean_sample(rows: list[tuple[str, str]], rounds: int = 4) -> dict[str, list
         if s not in owner or n / size_of[x] > often[owner[s], s] / size_of[owner[s]]:
             owner[s] = x
     kept = [(x, s) for s, x in owner.items()]
-    grams = {s: _grams(s) for x, s in kept if x in latin}
-    for _ in range(rounds if len(latin) > 1 else 0):
-        counts = {x: Counter() for x in latin}
-        for x, s in kept:
-            if x in counts:
-                for g in grams[s]:
-                    counts[x][g] += often[x, s]
-        size = {x: sum(c.values()) + 1 for x, c in counts.items()}
-
-        def score(x: str, s: str, own: bool) -> float:
-            # one occurrence of a sentence doesn't speak for its own label; an unseen gram costs the same in every language
-            c, n = counts[x], size[x]
-            return sum(math.log(max(0, c[g] - own) / n + 1e-5) for g in grams[s]) + 1e-9 * own
-
-        left = [(x, s) for x, s in kept if x not in counts or max(latin, key=lambda y: score(y, s, x == y)) == x]
-        if len(left) == len(kept):
+    rest = [(x, s) for x, s in kept if x not in latin]
+    return _by_language(names, rest + _consistent([(x, s) for x, s in kept if x in latin], often, latin, rounds))
+
+
+def _consistent(kept: list[tuple[str, str]], often: Counter, names: list[str], rounds: int) -> list[tuple[str, str]]:
+    """Sentences that no other language's four-letter grams explain better; repeated, as the counts get cleaner.
+
+    A stretch of a sentence that another language explains much better drops it
+    too: it may be two sentences with a lost mark between them. One occurrence of a sentence doesn't speak for its own label, and an unseen
+    gram costs the same in every language.
+    """
+    if len(names) < 2 or not kept:
+        return kept
+    number: dict[str, int] = {}
+    parts = [np.array([number.setdefault(g, len(number)) for g in _grams(s)]) for _, s in kept]
+    label = np.array([names.index(x) for x, _ in kept])
+    times = np.array([often[k] for k in kept], dtype=float)
+    alive = np.ones(len(kept), bool)
+    for _ in range(rounds):
+        who = np.flatnonzero(alive)
+        flat = np.concatenate([parts[i] for i in who])
+        sizes = np.array([len(parts[i]) for i in who])
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        # stretches of STRETCH grams, within sentences
+        cuts = np.unique(np.r_[starts, np.concatenate([np.arange(a, a + n - STRETCH // 2, STRETCH) for a, n in zip(starts, sizes)] or [[]])]).astype(int)
+        owner = np.searchsorted(starts, cuts, side="right") - 1
+        parts_of = np.empty((len(names), len(cuts)))
+        of, weight = np.repeat(label[who], sizes), np.repeat(times[who], sizes)
+        scores = np.empty((len(names), len(who)))
+        for x in range(len(names)):
+            c = np.bincount(flat[of == x], weights=weight[of == x], minlength=len(number))
+            n = c.sum() + 1
+            every, own = np.log(c / n + 1e-5), np.log(np.maximum(c - 1, 0) / n + 1e-5)
+            scores[x] = np.where(label[who] == x, np.add.reduceat(own[flat], starts) + 1e-9, np.add.reduceat(every[flat], starts))
+            parts_of[x] = np.where(label[who][owner] == x, np.add.reduceat(own[flat], cuts), np.add.reduceat(every[flat], cuts))
+        left = scores.argmax(axis=0) == label[who]
+        foreign = parts_of.max(axis=0) - parts_of[label[who][owner], np.arange(len(cuts))] > MARGIN
+        left &= np.bincount(owner[foreign], minlength=len(who)) == 0
+        if left.all():
             break
-        kept = left
+        alive[who[~left]] = False
+    return [k for k, a in zip(kept, alive) if a]
+
+
+def _by_language(names: list[str], kept: list[tuple[str, str]]) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {x: [] for x in names}
     for x, s in kept:
         out[x].append(s)
@@ -383,7 +420,7 @@ def classify(documents: DataFrame, model: LanguageModel) -> DataFrame:
         for k, (a, b, name, seg_conf, _) in enumerate(known, 1):
             yield doc_id, label, main, conf, len(known), k, a, b, name, seg_conf
 
-    packed = documents.select(F.col("doc_id").cast("long"), label_language(F.col("lang")).alias("label"), "text").where(F.col("text").isNotNull() & F.col("text").rlike(r"(?U)\S"))
+    packed = spread(documents).select(F.col("doc_id").cast("long"), label_language(F.col("lang")).alias("label"), "text").where(F.col("text").isNotNull() & F.col("text").rlike(r"(?U)\S"))
     return map_rows(packed, rows, SEGMENT_SCHEMA, lambda: Classifier(model))
 
 

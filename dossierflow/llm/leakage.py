@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossierflow.functions.arrowmap import map_rows
+from dossierflow.functions.arrowmap import map_rows, spread
 
 LEAK_SCHEMA = "doc_id long, item_id long, n_units int, start_char int, end_char int"
 
@@ -173,7 +173,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, n_words: int = 12, n_lett
 
     Needs documents (doc_id, text) and items (item_id, lang, text).
     """
-    docs = documents.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull())
+    docs = spread(documents).select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull())
     result, block, size = None, [], 0
 
     def scan(part: list[tuple[int, str, bool]]) -> DataFrame:

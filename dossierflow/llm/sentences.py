@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossierflow.functions.arrowmap import map_rows
+from dossierflow.functions.arrowmap import map_rows, spread
 
 SPAN_SCHEMA = "src_table string, row_id long, start_char int, end_char int"
 
@@ -279,4 +279,4 @@ def split_sentences(df: DataFrame) -> DataFrame:
         for a, b in sentence_spans(text):
             yield src, rid, a, b
 
-    return map_rows(df.select("src_table", F.col("row_id").cast("long"), "text").where(F.col("text").isNotNull()), rows, SPAN_SCHEMA)
+    return map_rows(spread(df).select("src_table", F.col("row_id").cast("long"), "text").where(F.col("text").isNotNull()), rows, SPAN_SCHEMA)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossierflow.functions.arrowmap import map_rows
+from dossierflow.functions.arrowmap import map_rows, spread
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The published splitting pattern of byte-level BPE vocabularies (a fixed value).
@@ -33,5 +33,5 @@ def with_token_counts(df: DataFrame, id_col: str, text_col: str, carried: str, p
     def rows(enc, rid: int, kept: str, text: str | None) -> Iterator[tuple]:
         yield rid, kept, len(enc.encode_ordinary(text)) if text else 0
 
-    packed = df.select(F.col(id_col).cast("long"), F.col(carried).cast("string"), text_col)
+    packed = spread(df).select(F.col(id_col).cast("long"), F.col(carried).cast("string"), text_col)
     return map_rows(packed, rows, "doc_id long, source string, n_tokens long", lambda: encoding(path))
