@@ -37,6 +37,16 @@ def map_rows(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str |
     return df.mapInArrow(run, out)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, for work that costs far more than reading.
+
+    Only an input of fewer partitions than cores is moved; a large one has
+    many and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def to_batch(rows: Sequence[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
