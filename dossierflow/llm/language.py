@@ -65,7 +65,7 @@ SAMPLE_DOCS, SAMPLE_LETTERS, REFERENCE_LETTERS, SAMPLE_TEXT = 250, 150_000, 30_0
 MIN_LETTERS = 8
 #: A sentence goes to its document's main language if that needs at most so many times the fewest phrases.
 NEAR = 1.3
-FAR = 3
+FAR = 1.6
 #: Grams of a stretch looked at on its own when the sample is cleaned, and how much better (in nats) another language may explain it.
 STRETCH, MARGIN = 24, 25.0
 #: Letters that each side of a cut inside a sentence needs, and phrases per letter from which one is looked for.
@@ -73,10 +73,14 @@ MIN_PART, ODD_RATE = 20, 0.13
 
 _MARKUP = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|&[a-zA-Z]{2,8};")
 _BREAK = re.compile(r"(?<=\w)-\s*\n\s*(?=\w)")
-_CODE = re.compile(r"\b[A-Z]{2,4}\d? (?=\d)|https?://\S+|[A-Za-z0-9.,()/:%+\-]*[0-9][A-Za-z0-9.,()/:%+\-]*")
+_CODE = re.compile(r"\b[A-Z]{2,4}\d? (?=\d)|https?://\S+|(?<![A-Za-z0-9.,()/:%+\-])[A-Za-z.,()/:%+\-]*[0-9][A-Za-z0-9.,()/:%+\-]*")
 #: Places where a sentence may begin unmarked: before a capital or a letter of a script without case.
 _TURN = re.compile(r"\s+(?=[^\W\d_a-zß-öø-ÿα-ωά-ώа-яё])|\s+(?=[\"“„«¿¡(\d])|(?<=[ぁ-ヺ一-鿿ก-๎])\s*(?=[A-Z])")
 _LIST_NUMBER = re.compile(r"\(?\d{1,3}[.)]\s")
+_ACCENTS = re.compile("[\u0300-\u036f]+")
+_INDIC = re.compile("[\u0900-\u0e7f]")
+_NON_LETTER_INDIC = re.compile("[^\\w\u0900-\u0e7f]+|[\\d_]+")
+_FOREIGN = re.compile("[\u0370-\u052f\u0900-\u097f\u0e00-\u0e7f\u1f00-\u1fff\u3040-\u30ff\u3400-\u9fff]")
 _NON_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -92,16 +96,18 @@ def plain(text: str) -> str:
     if "<" in text or "&" in text:
         text = _MARKUP.sub(" ", text)
     text = _CODE.sub(" ", _BREAK.sub("", text))
-    folded = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn" or c > "ऀ").casefold() if not text.isascii() else text.lower()
-    if any("ऀ" <= c <= "๿" for c in folded):
-        return " ".join(re.sub(r"[^\wऀ-๿]+|[\d_]+", " ", folded).split())
-    return " ".join(_NON_LETTER.sub(" ", folded).split())
+    if text.isascii():
+        return " ".join(_NON_LETTER.sub(" ", text.lower()).split())
+    folded = _ACCENTS.sub("", unicodedata.normalize("NFD", text)).casefold()
+    return " ".join((_NON_LETTER_INDIC if _INDIC.search(folded) else _NON_LETTER).sub(" ", folded).split())
 
 
 def script_of(text: str) -> tuple[str, float]:
     """Script of most letters and its share; kana makes a han text Japanese."""
     if text.isascii():
-        return ("latin", 1.0) if any(map(str.isalpha, text)) else ("", 0.0)
+        return ("latin", 1.0) if _SCRIPT["latin"].search(text) else ("", 0.0)
+    if not _FOREIGN.search(text):
+        return ("latin", 1.0) if _SCRIPT["latin"].search(text) else ("", 0.0)
     n = {k: len(p.findall(text)) * _WEIGHT.get(k, 1.0) for k, p in _SCRIPT.items()}
     if n["kana"] >= 0.05 * n["han"] and n["kana"] > 0 and n["kana"] + n["han"] > n["latin"] * 0.25:
         return "kana", (n["kana"] + n["han"]) / sum(n.values())
@@ -120,7 +126,7 @@ def script_of(text: str) -> tuple[str, float]:
 class SuffixAutomaton:
     """All substrings of a text; only transitions are kept after building."""
 
-    __slots__ = ("next",)
+    __slots__ = ("root",)
 
     def __init__(self, text: str):
         nxt: list[dict[str, int]] = [{}]
@@ -148,25 +154,30 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.next = nxt
+        # states point at each other, so that a step is one lookup
+        for d in nxt:
+            for c, to in d.items():
+                d[c] = nxt[to]
+        self.root = nxt[0]
 
     def phrases(self, text: str, most: int = 1 << 60) -> int:
         """Greedy longest phrases of `text`, an unknown character being one of its own; stops beyond `most`."""
-        nxt, count, n = self.next, 0, len(text)
-        root = nxt[0]
-        at, i = root, 0
-        while i < n:
-            to = at.get(text[i])
+        root = at = self.root
+        count = 0
+        for c in text:
+            to = at.get(c)
             if to is None:
-                if at is root:
-                    i += 1
                 count += 1
                 if count > most:
                     return count
-                at = root
-            else:
-                at = nxt[to]
-                i += 1
+                if at is not root:
+                    to = root.get(c)
+                    if to is None:
+                        count += 1
+                        to = root
+                else:
+                    to = root
+            at = to
         return count + (at is not root)
 
 
@@ -206,7 +217,7 @@ class Classifier:
         padded, best, counts = f" {letters} ", None, {}
         # a language that needs FAR times the fewest phrases so far is not followed further
         for x in sorted(names, key=lambda x: x != self.hint):
-            n = self.automata[x].phrases(padded, 1 << 60 if best is None else FAR * best + 5)
+            n = self.automata[x].phrases(padded, 1 << 60 if best is None else FAR * best + 3)
             best = n if best is None else min(best, n)
             counts[x] = n / size
         self.hint = min(counts, key=counts.get)
@@ -218,7 +229,7 @@ class Classifier:
         if size < 2 * MIN_PART or not counts:
             return [(a, b, counts, size)]
         part = text[a:b]
-        by_script = sorted(((len(p.findall(part)) * _WEIGHT.get(k, 1.0), k) for k, p in _SCRIPT.items()), reverse=True) if not part.isascii() else []
+        by_script = sorted(((len(p.findall(part)) * _WEIGHT.get(k, 1.0), k) for k, p in _SCRIPT.items()), reverse=True) if not part.isascii() and _FOREIGN.search(part) else []
         groups = {"han" if k == "kana" else k for n, k in by_script if n >= MIN_PART}
         fewest = min(counts.values())
         if not (len(groups) > 1 or fewest > ODD_RATE):
