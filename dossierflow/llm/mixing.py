@@ -32,6 +32,8 @@ from dossierflow.session import materialise
 
 #: Rows per block aimed at, and the most blocks a source may have.
 BLOCK_ROWS, MAX_BLOCKS, MAX_TARGETS = 2_000, 4_096, 10_000
+#: Drawn blocks up to which their table is broadcast.
+MAX_BROADCAST = 500_000
 
 PICK_SCHEMA = "mix_name string, source string, block int, draw int, shard int, partial boolean, rest long"
 SHARE_SCHEMA = "mix_name string, source string, target_share double, max_repeats int, n_docs long, available_tokens long, quota_tokens double"
@@ -146,8 +148,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 17, shards
         blocks.setdefault(r["source"], []).append((r["block"], r["n"], r["t"]))
     made = plan_mixes([(r["mix_name"], r["source"], r["w"], r["r"]) for r in rows], blocks, shards, seed, total_tokens)
     picks = spark.createDataFrame(made.picks, PICK_SCHEMA)
-    # at most MAX_BLOCKS blocks a source, for each repeat of each mix
-    drawn = blocked.join(F.broadcast(picks), ["source", "block"])
+    # at most MAX_BLOCKS blocks a source, for each repeat of each mix; counted all the same
+    drawn = blocked.join(F.broadcast(picks) if len(made.picks) <= MAX_BROADCAST else picks, ["source", "block"])
     inner = Window.partitionBy("mix_name", "source", "block").orderBy(F.xxhash64(F.lit(seed), "doc_id", F.lit("cut")), "doc_id")
     cut = drawn.where("partial").withColumn("upto", F.sum("n_tokens").over(inner)).where("upto <= rest").drop("upto")
     kept = drawn.where("not partial").unionByName(cut)
