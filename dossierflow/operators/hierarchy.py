@@ -38,6 +38,8 @@ from dossierflow.session import materialise, n_partitions
 
 #: Rows that one task may rank or peel alone (16 to 48 bytes each).
 BOUND = 2_000_000
+#: Ancestors of the partitions' first nodes that may be broadcast.
+OPENING = 200_000
 _BLOCK = 33  # monotonically_increasing_id() has the partition above this bit
 TRIM = r"(?U)^\s+|\s+$"
 
@@ -237,39 +239,69 @@ def _rank(between: DataFrame, bound: int) -> DataFrame:
 _PATHS = "grp string, node string, root_node string, depth long, size long, path string, role string"
 
 
-def sweep_paths(nodes: DataFrame, partitions: int, joiner: str = "/") -> DataFrame:
+def sweep_paths(nodes: DataFrame, partitions: int, joiner: str = "/", opening_bound: int = OPENING) -> DataFrame:
     """Paths of nodes (id, grp, node, root, depth, size, entry, role) by a sweep in entry order."""
     ranged = materialise(nodes.repartitionByRange(partitions, "root", "entry").sortWithinPartitions("root", "entry").withColumn("p", F.spark_partition_id()))
     # one row a partition: its first node
     edges = ranged.groupBy("p").agg(F.min(F.struct("root", "entry")).alias("f")).select(F.col("p").alias("at"), F.col("f.root").alias("root"), F.col("f.entry").alias("first"))
-    spanning = ranged.where(F.col("size") > 0).join(F.broadcast(edges), "root").where((F.col("entry") < F.col("first")) & (F.col("first") <= F.col("entry") + F.col("size")))
+    spanning = materialise(ranged.where(F.col("size") > 0).join(F.broadcast(edges), "root").where((F.col("entry") < F.col("first")) & (F.col("first") <= F.col("entry") + F.col("size"))).select("at", "root", "entry", "size", "node"))
+    columns = ["grp", "node", "root", "entry", "size", "depth", "role"]
+    if spanning.count() > opening_bound:
+        # deep trees: a partition and the ancestors of its first node meet in one task, none of them on the driver
+        return ranged.select("p", *columns).groupBy("p").cogroup(spanning.select(F.col("at").alias("p"), "root", "entry", "size", "node").groupBy("p")).applyInPandas(lambda own, above: _sweep_together(own, above, joiner), _PATHS)
     opening = spanning.groupBy("at", "root").agg(F.array_sort(F.collect_list(F.struct("entry", "size", "node"))).alias("above"))
     opening = edges.join(opening, ["at", "root"], "left").select(F.col("at").alias("p"), F.col("root").alias("r0"), F.col("first").alias("e0"), "above")
-    fed = ranged.join(F.broadcast(opening), "p", "left").withColumn("above", F.when((F.col("root") == F.col("r0")) & (F.col("entry") == F.col("e0")), F.col("above"))).select("grp", "node", "root", "entry", "size", "depth", "role", "above")
+    fed = ranged.join(F.broadcast(opening), "p", "left").withColumn("above", F.when((F.col("root") == F.col("r0")) & (F.col("entry") == F.col("e0")), F.col("above"))).select(*columns, "above")
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        root, stack, root_node = None, [], None  # stack: (last entry below, path)
+        state = _Sweep(joiner)
         for pdf in batches:
-            paths, roots = [], []
-            for node, r, entry, size, above in zip(pdf["node"], pdf["root"], pdf["entry"], pdf["size"], pdf["above"]):
-                if r != root:
-                    root, stack, root_node = r, [], None
-                    for x in above if above is not None else ():
-                        stack.append((x["entry"] + x["size"], f"{stack[-1][1]}{joiner}{x['node']}" if stack else x["node"]))
-                        root_node = root_node or x["node"]
-                while stack and stack[-1][0] < entry:
-                    stack.pop()
-                path = f"{stack[-1][1]}{joiner}{node}" if stack else node
-                root_node = root_node or node
-                if size:
-                    stack.append((entry + size, path))
-                paths.append(path)
-                roots.append(root_node)
-            yield pd.DataFrame({"grp": pdf["grp"], "node": pdf["node"], "root_node": roots, "depth": pdf["depth"], "size": pdf["size"], "path": paths, "role": pdf["role"]})
+            yield state.paths(pdf, pdf["above"])
 
     return fed.mapInPandas(sweep, _PATHS)
 
 
+class _Sweep:
+    """The ancestors of the node the sweep is at, as (last entry below, path)."""
+
+    def __init__(self, joiner: str):
+        self.joiner, self.root, self.stack, self.root_node = joiner, None, [], None
+
+    def paths(self, pdf: pd.DataFrame, aboves) -> pd.DataFrame:
+        paths, roots = [], []
+        for node, r, entry, size, above in zip(pdf["node"], pdf["root"], pdf["entry"], pdf["size"], aboves):
+            if r != self.root:
+                self.root, self.stack, self.root_node = r, [], None
+                for x in above if above is not None else ():
+                    self._open(x["entry"] + x["size"], x["node"])
+            while self.stack and self.stack[-1][0] < entry:
+                self.stack.pop()
+            if size:
+                path = self._open(entry + size, node)
+            else:
+                path = f"{self.stack[-1][1]}{self.joiner}{node}" if self.stack else node
+                self.root_node = self.root_node or node
+            paths.append(path)
+            roots.append(self.root_node)
+        return pd.DataFrame({"grp": pdf["grp"], "node": pdf["node"], "root_node": roots, "depth": pdf["depth"], "size": pdf["size"], "path": paths, "role": pdf["role"]})
+
+    def _open(self, last: int, node: str) -> str:
+        path = f"{self.stack[-1][1]}{self.joiner}{node}" if self.stack else node
+        self.root_node = self.root_node or node
+        self.stack.append((last, path))
+        return path
+
+
+def _sweep_together(own: pd.DataFrame, above: pd.DataFrame, joiner: str) -> pd.DataFrame:
+    # a side without rows comes without columns
+    if not len(own):
+        return pd.DataFrame({c.split()[0]: [] for c in _PATHS.split(", ")})
+    own = own.sort_values(["root", "entry"])
+    first = above.sort_values("entry").to_dict("records") if len(above) else []
+    state = _Sweep(joiner)
+    return state.paths(own, [first if i == 0 and first else None for i in range(len(own))])
+
+
 def hierarchy(rows: DataFrame, group: str, node: str, parent: str, order: list, bound: int = BOUND, partitions: int | None = None) -> DataFrame:
     """grp, node, root_node, depth, size, path, role of every node.
 
@@ -288,5 +320,5 @@ def hierarchy(rows: DataFrame, group: str, node: str, parent: str, order: list,
     role = F.when(F.col("hangs").isNull(), "none").when(F.col("root") == F.col("id"), "on").otherwise("below")
     full = full.select("grp", "node", "root", "depth", "size", "entry", role.alias("role"))
     none = F.col("role") == "none"
-    swept = sweep_paths(full, p)
+    swept = sweep_paths(full, p, opening_bound=min(bound, OPENING))
     return swept.select("grp", "node", F.when(none, F.col("root_node")).otherwise("").alias("root_node"), F.when(none, F.col("depth")).otherwise(-1).alias("depth"), F.when(none, F.col("size")).otherwise(-1).alias("size"), F.when(none, F.col("path")).otherwise("").alias("path"), "role")
