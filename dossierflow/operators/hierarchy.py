@@ -248,7 +248,7 @@ def sweep_paths(nodes: DataFrame, partitions: int, joiner: str = "/", opening_bo
     columns = ["grp", "node", "root", "entry", "size", "depth", "role"]
     if spanning.count() > opening_bound:
         # deep trees: a partition and the ancestors of its first node meet in one task, none of them on the driver
-        return ranged.select("p", *columns).groupBy("p").cogroup(spanning.select(F.col("at").alias("p"), "root", "entry", "size", "node").groupBy("p")).applyInPandas(lambda own, above: _sweep_together(own, above, joiner), _PATHS)
+        return ranged.select("p", *columns).groupBy("p").cogroup(spanning.select(F.col("at").alias("p"), *[F.col(c).alias(f"above_{c}") for c in ("entry", "size", "node")]).groupBy("p")).applyInPandas(lambda own, above: _sweep_together(own, above, joiner), _PATHS)
     opening = spanning.groupBy("at", "root").agg(F.array_sort(F.collect_list(F.struct("entry", "size", "node"))).alias("above"))
     opening = edges.join(opening, ["at", "root"], "left").select(F.col("at").alias("p"), F.col("root").alias("r0"), F.col("first").alias("e0"), "above")
     fed = ranged.join(F.broadcast(opening), "p", "left").withColumn("above", F.when((F.col("root") == F.col("r0")) & (F.col("entry") == F.col("e0")), F.col("above"))).select(*columns, "above")
@@ -297,7 +297,7 @@ def _sweep_together(own: pd.DataFrame, above: pd.DataFrame, joiner: str) -> pd.D
     if not len(own):
         return pd.DataFrame({c.split()[0]: [] for c in _PATHS.split(", ")})
     own = own.sort_values(["root", "entry"])
-    first = above.sort_values("entry").to_dict("records") if len(above) else []
+    first = above.rename(columns=lambda c: c.removeprefix("above_")).sort_values("entry").to_dict("records") if len(above) else []
     state = _Sweep(joiner)
     return state.paths(own, [first if i == 0 and first else None for i in range(len(own))])
 
