@@ -40,11 +40,14 @@ def map_rows(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str |
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores, for work that costs far more than reading.
 
-    Only an input of fewer partitions than cores is moved; a large one has
-    many and stays as it is.
+    Only a scan of fewer partitions than cores is moved; a large one has many
+    and stays as it is, and so does what comes out of a shuffle.
     """
+    run = df._jdf.queryExecution()
+    if "AdaptiveSparkPlan" in run.executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if run.toRdd().getNumPartitions() < cores else df
 
 
 def to_batch(rows: Sequence[tuple], schema: pa.Schema) -> pa.RecordBatch:

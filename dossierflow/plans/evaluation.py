@@ -237,26 +237,26 @@ def rule_ids(spark, d):
 
 @evaluation.query("ref_section_match", r"""WITH v AS (SELECT DISTINCT unnest(string_split(item, ';')) AS value FROM eval_items), m AS (SELECT value, regexp_extract(value, '^\s*([A-Z]{2,3}\d?)\s*(\d{2})\.(\d{2,4})([^0-9]|$)', ['a', 'b', 'c', 'z']) AS r FROM v),
 k AS (SELECT value, upper(r.a || ' ' || r.b || '.' || r.c) AS needle FROM m WHERE r.a <> ''),
-t AS (SELECT DISTINCT text AS title FROM sections WHERE length(text) < 400),
+t AS (SELECT DISTINCT text AS title FROM sections WHERE text IS NOT NULL),
 h AS (SELECT title, unnest(regexp_extract_all(upper(title), '\b[A-Z]{2,3}\d?\s+\d{2}\.\d{2,}')) AS hit FROM t)
-SELECT DISTINCT value, title, 'rule id' AS how FROM k JOIN h ON regexp_replace(h.hit, '\s+', ' ', 'g') = k.needle""")
+SELECT DISTINCT value, md5(title) AS section, 'rule id' AS how FROM k JOIN h ON regexp_replace(h.hit, '\s+', ' ', 'g') = k.needle""")
 def ref_section_match(spark, d):
     """Rule identifiers in values against the section texts that name them (as titles)."""
     v = table(spark, d, "eval_items", "item").select(F.explode(F.split("item", ";")).alias("value")).distinct()
-    t = table(spark, d, "sections", "text").where(F.char_length("text") < 400).select(F.col("text").alias("title")).distinct()
-    return R.match_rules(v, "value", t, "title").select("value", "title", "how").distinct()
+    t = table(spark, d, "sections", "text").where("text is not null").select(F.col("text").alias("title")).distinct()
+    return R.match_rules(v, "value", t, "title").select("value", F.md5("title").alias("section"), "how").distinct()
 
 
 @evaluation.query("bare_rule_match", r"""WITH v AS (SELECT DISTINCT trim(unnest(string_split(item, ';'))) AS value FROM eval_items), b AS (SELECT value, rtrim(regexp_extract(value, '^\s*(\d{2}\.[^\s(]+)', 1), '.,;:-') AS bare FROM v WHERE NOT regexp_matches(value, '^\s*[A-Z]{2,3}\d?\s*\d{2}\.\d{2,4}([^0-9]|$)')),
 k AS (SELECT * FROM b WHERE length(bare) > 3 AND regexp_matches(bare, '^\d{2}\.A\.\d+$')),
-t AS (SELECT DISTINCT text AS title FROM sections WHERE length(text) < 400), h AS (SELECT DISTINCT title, unnest(regexp_extract_all(upper(title), '\d{2}\.A\.\d+')) AS hit FROM t)
-SELECT DISTINCT value, title, 'bare rule no.' AS how FROM k JOIN h ON h.hit = upper(k.bare)""")
+t AS (SELECT DISTINCT text AS title FROM sections WHERE text IS NOT NULL), h AS (SELECT DISTINCT title, unnest(regexp_extract_all(upper(title), '\d{2}\.A\.\d+')) AS hit FROM t)
+SELECT DISTINCT value, md5(title) AS section, 'bare rule no.' AS how FROM k JOIN h ON h.hit = upper(k.bare)""")
 def bare_rule_match(spark, d):
     """Values that are bare rule numbers (`23.A.100`) against texts that hold the number."""
     v = table(spark, d, "eval_items", "item").select(F.explode(F.split("item", ";")).alias("value")).select(F.trim("value").alias("value")).distinct()
     v = v.where(X.bare_rule_number(F.col("value")).rlike(r"^\d{2}\.A\.\d+$"))
-    t = table(spark, d, "sections", "text").where(F.char_length("text") < 400).select(F.col("text").alias("title")).distinct()
-    return R.match_bare(v, "value", t, "title")
+    t = table(spark, d, "sections", "text").where("text is not null").select(F.col("text").alias("title")).distinct()
+    return R.match_bare(v, "value", t, "title").select("value", F.md5("title").alias("section"), "how")
 
 
 SOURCES = f"""WITH u AS (SELECT unnest({SPLIT('item')}) AS value, section_title FROM eval_items WHERE column_name = 'References'),
@@ -273,13 +273,13 @@ def ref_map_fanout(spark, d):
 
 @evaluation.query("section_tally", r"""WITH u AS (SELECT trim(unnest(string_split(item, ';'))) AS value FROM eval_items), n AS (SELECT value, count(*) AS n FROM u GROUP BY 1),
 m AS (SELECT value, n, regexp_extract(value, '^\s*([A-Z]{2,3}\d?)\s*(\d{2})\.(\d{2,4})([^0-9]|$)', ['a', 'b', 'c', 'z']) AS r FROM n), k AS (SELECT value, n, upper(r.a || ' ' || r.b || '.' || r.c) AS needle FROM m WHERE r.a <> ''),
-t AS (SELECT DISTINCT text AS title FROM sections WHERE length(text) < 400), h AS (SELECT DISTINCT title, regexp_replace(unnest(regexp_extract_all(upper(title), '\b[A-Z]{2,3}\d?\s+\d{2}\.\d{2,}')), '\s+', ' ', 'g') AS hit FROM t)
-SELECT title, sum(n)::BIGINT AS occurrences, count(*) AS n_values FROM k JOIN h ON h.hit = k.needle GROUP BY 1""")
+t AS (SELECT DISTINCT text AS title FROM sections WHERE text IS NOT NULL), h AS (SELECT DISTINCT title, regexp_replace(unnest(regexp_extract_all(upper(title), '\b[A-Z]{2,3}\d?\s+\d{2}\.\d{2,}')), '\s+', ' ', 'g') AS hit FROM t)
+SELECT md5(title) AS section, sum(n)::BIGINT AS occurrences, count(*) AS n_values FROM k JOIN h ON h.hit = k.needle GROUP BY 1""")
 def section_tally(spark, d):
     u = table(spark, d, "eval_items", "item").select(F.explode(F.split("item", ";")).alias("value")).select(F.trim("value").alias("value"))
     n = u.groupBy("value").agg(F.count("*").alias("n"))
-    t = table(spark, d, "sections", "text").where(F.char_length("text") < 400).select(F.col("text").alias("title")).distinct()
-    return R.section_tally(R.match_rules(n, "value", t, "title").select("value", "title").distinct(), n)
+    t = table(spark, d, "sections", "text").where("text is not null").select(F.col("text").alias("title")).distinct()
+    return R.section_tally(R.match_rules(n, "value", t, "title").select("value", "title").distinct(), n).withColumn("section", F.md5("title")).drop("title")
 
 
 @evaluation.query("substring_refs")
