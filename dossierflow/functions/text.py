@@ -299,3 +299,47 @@ def is_reference_column(c: Column) -> Column:
 
 def is_entity_column(c: Column) -> Column:
     return F.lower(ustrip(c)) == "specific entities"
+
+
+def payload_kind(c: Column) -> Column:
+    """Shape of a JSON payload: hierarchy, nodes, sections, chunks, or invalid."""
+    t = F.ltrim(F.coalesce(c, F.lit("")))
+    has = lambda k: F.get_json_object(c, f"$.{k}").isNotNull()
+    first = F.get_json_object(c, "$[0].element_type")
+    valid = F.try_parse_json(c).isNotNull()
+    kind = F.when(t.startswith("["), F.when(first.isNotNull(), "nodes").otherwise("chunks")).when(has("rules_hierarchy"), "hierarchy").when(has("merged_headings"), "sections").when(has("chunks"), "chunks").otherwise("invalid")
+    return F.when(F.coalesce(valid, F.lit(False)) & (t.startswith("[") | t.startswith("{")), kind).otherwise("invalid")
+
+
+def cell_text(c: Column) -> Column:
+    """A JSON value as a cell: lists joined by `; `, objects as JSON, null as ''."""
+    t = F.ltrim(F.coalesce(c, F.lit("")))
+    items = F.from_json(c, "array<string>")
+    return F.when(t.startswith("[") & items.isNotNull(), F.array_join(items, "; ", "")).otherwise(F.coalesce(c, F.lit("")))
+
+
+def clean_folder_path(c: Column, home: str) -> Column:
+    """A path without surrounding quotes and blanks, `~` expanded."""
+    bare = ustrip(F.btrim(ustrip(c), F.lit("\"'")))
+    return F.when(bare.rlike(r"^~(/|$)"), F.concat(F.lit(home), F.substring(bare, 2, 100_000))).otherwise(bare)
+
+
+def message_tokens(n_tokens: Column, has_name: Column) -> Column:
+    """Tokens of a chat message: three for its frame, one for a name, three to prime the reply."""
+    return n_tokens + 3 + F.when(has_name, 1).otherwise(0) + 3
+
+
+def backoff_seconds(attempt: Column, retry_after: Column, first: float = 2.0) -> Column:
+    """Wait before the next attempt: doubling, not below what the service asks for."""
+    return F.greatest(F.pow(F.lit(2.0), attempt - 1) * first, F.coalesce(retry_after, F.lit(0.0)))
+
+
+def ordered_vectors(entries: Column) -> Column:
+    """Vectors of a service's reply entries (index, embedding) in the order of their index."""
+    return F.transform(F.array_sort(F.transform(entries, lambda e: F.struct(e["index"].alias("i"), e["embedding"].alias("v")))), lambda s: s["v"])
+
+
+def node_badge(title: Column, n_children: Column, n_images: Column, n_links: Column) -> Column:
+    """Label of a tree node with what hangs on it."""
+    mark = lambda n, s: F.when(n > 0, F.concat(F.lit(f" {s}"), n.cast("string"))).otherwise("")
+    return F.concat(title, mark(n_children, "▸"), mark(n_images, "▣"), mark(n_links, "↗"))

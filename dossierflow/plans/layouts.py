@@ -127,3 +127,41 @@ def evaluate_workbook(spark, d):
     sinks.write_sheet(run_rows(spark, d), book, "Run 1")
     written = U.evaluate_workbook(spark, book, run_references(spark, d), ["jaccard"])
     return sinks.read_sheet(spark, book, written["Run 1"][0])
+
+
+@layouts.query("payload_kinds", """SELECT record_id, CASE WHEN payload IS NULL OR NOT json_valid(payload) THEN 'invalid' WHEN left(ltrim(payload), 1) = '[' THEN CASE WHEN json_extract_string(CASE WHEN json_valid(payload) THEN payload END, '$[0].element_type') IS NOT NULL THEN 'nodes' ELSE 'chunks' END
+WHEN json_extract_string(CASE WHEN json_valid(payload) THEN payload END, '$.rules_hierarchy') IS NOT NULL THEN 'hierarchy' ELSE 'invalid' END AS kind FROM structured_json""")
+def payload_kinds(spark, d):
+    return table(spark, d, "structured_json", "record_id", "payload").select("record_id", X.payload_kind(F.col("payload")).alias("kind"))
+
+
+@layouts.query("node_badges")
+def node_badges(spark, d):
+    from dossierflow.operators.graph import node_index
+
+    n = node_index(table(spark, d, "structured_json", "record_id", "payload"))
+    return n.select("record_id", "path", X.node_badge(F.col("title"), F.col("n_children"), F.col("n_images"), F.col("n_links")).alias("label"))
+
+
+@layouts.query("sheet_names", f"SELECT DISTINCT section_title, CASE WHEN substr({S.ustrip('t')}, 1, 31) = '' THEN 'Uniq' ELSE substr({S.ustrip('t')}, 1, 31) END AS sheet FROM (SELECT section_title, regexp_replace(coalesce(section_title, ''), '[:\\\\/?*\\[\\]]', ' ', 'g') AS t FROM eval_items)")
+def sheet_names(spark, d):
+    return table(spark, d, "eval_items", "section_title").distinct().select("section_title", X.safe_sheet_name(F.col("section_title")).alias("sheet"))
+
+
+@layouts.query("queue_status", "SELECT s.id, CASE WHEN e.n IS NULL THEN 'queued' WHEN e.f > 0 THEN 'failed' ELSE 'done' END AS status FROM sections s LEFT JOIN (SELECT doc_uuid, section_ordinal, count(*) AS n, count(*) FILTER (jaccard IS NULL) AS f FROM eval_items GROUP BY 1, 2) e ON s.doc_uuid = e.doc_uuid AND s.ordinal = e.section_ordinal")
+def queue_status(spark, d):
+    s = table(spark, d, "sections", "id", "doc_uuid", F.col("ordinal").alias("section_ordinal"))
+    e = table(spark, d, "eval_items", "doc_uuid", "section_ordinal", "jaccard").groupBy("doc_uuid", "section_ordinal").agg(F.count("*").alias("n"), F.count_if(F.col("jaccard").isNull()).alias("f"))
+    j = s.join(e, ["doc_uuid", "section_ordinal"], "left")
+    return j.select("id", F.when(F.col("n").isNull(), "queued").when(F.col("f") > 0, "failed").otherwise("done").alias("status"))
+
+
+@layouts.query("label_cells", "SELECT id, array_to_string(json_extract_string(labels_json, '$[*]'), '; ') AS cell FROM sections WHERE labels_json IS NOT NULL")
+def label_cells(spark, d):
+    return table(spark, d, "sections", "id", "labels_json").where("labels_json is not null").select("id", X.cell_text(F.col("labels_json")).alias("cell"))
+
+
+@layouts.query("table_preview", "SELECT item_row_id, section_title, item FROM eval_items ORDER BY item_row_id LIMIT 200")
+def table_preview(spark, d):
+    """The first rows of a sheet, as the viewer shows them (the limit is the feature)."""
+    return table(spark, d, "eval_items", "item_row_id", "section_title", "item").orderBy("item_row_id").limit(200)

@@ -118,3 +118,13 @@ def test_metrics_by_hand():
     assert K.lcs_length("abcbdab", "bdcaba") == 4
     s = K.PorterStemmer()
     assert [s.stem(w) for w in ("caresses", "ponies", "relational", "hopping", "falling", "adjustable", "probate", "controlling")] == ["caress", "poni", "relat", "hop", "fall", "adjust", "probat", "control"]
+
+
+def test_small_helpers(spark):
+    assert ev(spark, lambda c: X.clean_folder_path(c, "/home/u"), ' "~/a b" ') == "/home/u/a b"
+    assert ev(spark, X.cell_text, '["a", "b"]') == "a; b" and ev(spark, X.cell_text, '{"a": 1}') == '{"a": 1}' and ev(spark, X.cell_text, None) == ""
+    assert [ev(spark, X.payload_kind, p) for p in ('[{"element_type": "x"}]', '[{"text": "x"}]', '{"merged_headings": []}', '{"chunks": []}', "{", "3", None)] == ["nodes", "chunks", "sections", "chunks", "invalid", "invalid", "invalid"]
+    r = spark.range(1).select(X.message_tokens(F.lit(10), F.lit(True)), X.backoff_seconds(F.lit(3), F.lit(None).cast("double")), X.backoff_seconds(F.lit(1), F.lit(9.0))).head()
+    assert tuple(r) == (17, 8.0, 9.0)
+    v = spark.createDataFrame([([(1, [2.0]), (0, [1.0])],)], "e array<struct<index:int,embedding:array<double>>>").select(X.ordered_vectors(F.col("e")).alias("v")).head().v
+    assert v == [[1.0], [2.0]]
