@@ -1,7 +1,7 @@
 """Merge folding, section building and the edits of review decisions.
 
 Decisions are rows (doc_uuid, pos, id, action, heading, text, labels, page)
-with action log, review, skip or merge. A `merge` row's text goes to the
+with a unique id and action log, review, skip or merge. A `merge` row's text goes to the
 nearest row above that is kept; with none above, it is kept itself.
 
 Edge cases: null texts count as empty; a run of merges lands in one row;
@@ -37,11 +37,17 @@ def block_text(text: Column, heading: Column, add_heading: Column) -> Column:
 def merge_groups(decisions: DataFrame) -> DataFrame:
     """Adds gid (the kept row a row belongs to, counted from 1 in its document; null for skips) and kept."""
     kept0 = ~F.col("action").isin("skip", "merge")
-    d = running_sum(decisions, ["doc_uuid"], "pos", ["id"], {"kept_upto": kept0.cast("int"), "merges_upto": (F.col("action") == "merge").cast("int")})
+    # the windows run over positions and actions alone; texts meet their group in one join on the row's id
+    slim = decisions.select("doc_uuid", "pos", "id", "action")
+    d = running_sum(slim, ["doc_uuid"], "pos", ["id"], {"kept_upto": kept0.cast("int"), "merges_upto": (F.col("action") == "merge").cast("int")})
     orphan = (F.col("action") == "merge") & (F.col("kept_upto") == 0) & (F.col("merges_upto") == 1)
     d = d.withColumn("kept", kept0 | orphan).drop("kept_upto", "merges_upto")
     d = running_sum(d, ["doc_uuid"], "pos", ["id"], {"gid": F.col("kept").cast("int")})
-    return d.withColumn("gid", F.when(F.col("action") != "skip", F.col("gid")))
+    told = d.select("id", "kept", F.when(F.col("action") != "skip", F.col("gid")).alias("gid"))
+    rest = [c for c in decisions.columns if c not in ("doc_uuid", "pos", "id", "action")]
+    if not rest:
+        return d.withColumn("gid", F.when(F.col("action") != "skip", F.col("gid")))
+    return decisions.join(told, "id")
 
 
 def resolve_merges(decisions: DataFrame) -> DataFrame:
@@ -105,7 +111,7 @@ def baseline_sections(chunks: DataFrame) -> DataFrame:
 
 def history(decisions: DataFrame) -> DataFrame:
     """Session history: status of every decision, and for merges where they went."""
-    d = merge_groups(decisions)
+    d = merge_groups(decisions.select("doc_uuid", "pos", "id", "action"))
     target = d.where("kept").select("doc_uuid", "gid", F.col("id").alias("into"))
     joined = d.join(target, [d["doc_uuid"].eqNullSafe(target["doc_uuid"]), d["gid"] == target["gid"]], "left").select(d["*"], "into")
     status = F.when(F.col("action") == "skip", "skipped").when(F.col("action") == "merge", "merged").otherwise("logged (auto)")
@@ -159,7 +165,7 @@ def section_edits(sections: DataFrame, edits: DataFrame) -> DataFrame:
 
 def rows_from_orphans(decisions: DataFrame) -> DataFrame:
     """Merges with nothing above them, which are kept as rows of their own."""
-    return merge_groups(decisions).where((F.col("action") == "merge") & F.col("kept")).select("doc_uuid", "pos", "id")
+    return merge_groups(decisions.select("doc_uuid", "pos", "id", "action")).where((F.col("action") == "merge") & F.col("kept")).select("doc_uuid", "pos", "id")
 
 
 def bounded_rank(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:

@@ -32,11 +32,11 @@ def page_number(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"\d+", 0), F.lit("")).try_cast("int")
 
 
-def chunk_view(sections: DataFrame) -> DataFrame:
-    """Chunks of a sections table."""
+def chunk_view(sections: DataFrame, *keep: Column) -> DataFrame:
+    """Chunks of a sections table, with further columns to keep."""
     labels = F.coalesce(F.from_json("labels_json", "array<string>"), F.array().cast("array<string>"))
     clean = F.filter(F.transform(labels, lambda x: F.lower(X.ustrip(x))), lambda x: x.isNotNull() & (x != ""))
-    return sections.select("doc_uuid", F.col("ordinal").alias("pos"), "id", X.ustrip(F.coalesce("heading", F.lit(""))).alias("heading"), F.coalesce("text", F.lit("")).alias("text"), clean.alias("labels"), page_number(F.col("page")).alias("page"))
+    return sections.select("doc_uuid", F.col("ordinal").alias("pos"), "id", X.ustrip(F.coalesce("heading", F.lit(""))).alias("heading"), F.coalesce("text", F.lit("")).alias("text"), clean.alias("labels"), page_number(F.col("page")).alias("page"), *keep)
 
 
 def boilerplate(chunks: DataFrame, min_pages: int = BOILERPLATE_REPEAT_PAGES) -> DataFrame:
@@ -66,21 +66,23 @@ def triage(chunks: DataFrame, valid: DataFrame, repeated: DataFrame, toc_pages:
     say whether their heading is in it.
     """
     has_toc = toc_pages is not None
-    c = chunks.withColumns({"key": X.normalize_heading(F.col("heading")), "norm": X.collapse_ws(F.col("text"))}).withColumn("fold", X.casefold(F.col("norm")))
+    labels, norm = F.col("labels"), X.collapse_ws(F.col("text"))
+    has = F.size(labels) > 0
+    among = lambda names: F.arrays_overlap(labels, F.array(*map(F.lit, names)))
+    # all that the joins and windows need of a text is a few flags, and the text itself only where it can be boilerplate;
+    # longer ones get a key that matches nothing, spread so that they don't meet in one task
+    fold = F.when(F.char_length(norm) <= BOILERPLATE_MAX_CHARS, X.casefold(norm)).otherwise(F.concat(F.lit("\x00"), (F.col("id") % 997).cast("string")))
+    short = (F.char_length(norm) < X.MIN_CONTENT_CHARS) & ~X.is_numbered_heading(norm) & ~among(HEADING_LABELS)
+    c = chunks.withColumns({"key": X.normalize_heading(F.col("heading")), "fold": fold, "is_empty": norm == "", "is_short": short})
     c = c.join(valid.select("doc_uuid", "key", F.col("heading").alias("known")).where("key != ''"), ["doc_uuid", "key"], "left")
     c = c.join(repeated.select("doc_uuid", F.col("norm").alias("fold"), F.lit(True).alias("is_repeated")), ["doc_uuid", "fold"], "left")
     if has_toc:
         c = c.join(toc_pages.select("doc_uuid", "pos", F.lit(True).alias("on_toc")).distinct(), ["doc_uuid", "pos"], "left")
     else:
         c = c.withColumn("on_toc", F.lit(None).cast("boolean"))
-    labels = F.col("labels")
-    has = F.size(labels) > 0
-    among = lambda names: F.arrays_overlap(labels, F.array(*map(F.lit, names)))
     furniture = has & F.forall(labels, lambda x: x.isin(*BOILERPLATE_LABELS))
-    numbered_text = X.is_numbered_heading(F.col("norm"))
-    short = (F.char_length("norm") < X.MIN_CONTENT_CHARS) & ~numbered_text & ~among(HEADING_LABELS)
     numbered = (F.col("heading") != "") & X.is_numbered_heading(F.col("heading"))
-    step = F.when(has & among(INDEX_LABELS), "index").when(F.col("on_toc"), "toc").when(F.col("norm") == "", "empty").when(furniture, "furniture").when(F.col("is_repeated"), "repeated").when(short, "short").when(F.col("known").isNotNull(), "known").when(numbered, "numbered").otherwise("continue")
+    step = F.when(has & among(INDEX_LABELS), "index").when(F.col("on_toc"), "toc").when(F.col("is_empty"), "empty").when(furniture, "furniture").when(F.col("is_repeated"), "repeated").when(F.col("is_short"), "short").when(F.col("known").isNotNull(), "known").when(numbered, "numbered").otherwise("continue")
     c = c.withColumn("step", step)
     opened = F.when(F.col("step") == "known", F.struct(F.col("known").alias("h"), F.lit(True).alias("t"))).when(F.col("step") == "numbered", F.struct(F.col("heading").alias("h"), F.lit(False).alias("t")))
     c = carry_last(c, ["doc_uuid"], "pos", ["id"], {"current": opened})

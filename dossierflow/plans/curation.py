@@ -110,7 +110,7 @@ DECISIONS = f"{CHUNKS}, decisions AS (SELECT *, {ACTION_SQL} AS action FROM chun
 def decisions(spark, d):
     s = table(spark, d, "sections", *CHUNK_COLUMNS, "decision")
     action = F.when(F.col("decision") == "skip", "skip").when(F.col("labels_json").isin('["list_item"]', '["table"]'), "merge").when(F.col("decision") == "review", "review").otherwise("log")
-    return G.chunk_view(s).join(s.select("id", action.alias("action")), "id")
+    return G.chunk_view(s, action.alias("action"))
 
 
 FOLD = f"""{DECISIONS},
