@@ -9,10 +9,21 @@ from dossierflow.operators.hierarchy import hierarchy
 from dossierflow.operators.multivalue import CellGrammar, split_cells
 from dossierflow.operators.nested import hierarchy_rows, schema_edges
 from dossierflow.plans.registry import Registry
+from dossierflow.plans.sqltext import ustrip
 from dossierflow.sources.tables import table
 
 problems = Registry()
 
+# Circles: what doesn't hang on a root; of these, the nodes that reach themselves.
+P2_SQL = f"""WITH RECURSIVE n AS (SELECT doc_uuid, {ustrip('node_id')} AS node_id, {ustrip('parent_node_id')} AS parent FROM sections WHERE {ustrip('node_id')} <> '' QUALIFY row_number() OVER (PARTITION BY doc_uuid, {ustrip('node_id')} ORDER BY updated_at DESC, id DESC) = 1),
+t AS (SELECT n.doc_uuid, n.node_id, n.node_id AS root_node_id, 1 AS depth, [n.node_id] AS chain FROM n LEFT JOIN n p ON n.doc_uuid = p.doc_uuid AND n.parent = p.node_id WHERE p.node_id IS NULL
+  UNION ALL SELECT n.doc_uuid, n.node_id, t.root_node_id, t.depth + 1, list_append(t.chain, n.node_id) FROM n JOIN t ON n.doc_uuid = t.doc_uuid AND n.parent = t.node_id),
+d AS (SELECT doc_uuid, a AS node_id, count(*) - 1 AS n_descendants FROM (SELECT doc_uuid, unnest(chain) AS a FROM t) GROUP BY 1, 2),
+rest AS (SELECT n.* FROM n ANTI JOIN t ON n.doc_uuid = t.doc_uuid AND n.node_id = t.node_id),
+up AS (SELECT doc_uuid, node_id, parent AS at FROM rest UNION SELECT up.doc_uuid, up.node_id, r.parent FROM up JOIN rest r ON r.doc_uuid = up.doc_uuid AND r.node_id = up.at)
+SELECT doc_uuid, node_id, root_node_id, depth::BIGINT AS depth, n_descendants::BIGINT AS n_descendants, array_to_string(chain, '/') AS node_path, 'none' AS cycle_role FROM t JOIN d USING (doc_uuid, node_id)
+UNION ALL SELECT doc_uuid, node_id, '', -1, -1, '', CASE WHEN EXISTS (SELECT 1 FROM up WHERE up.doc_uuid = rest.doc_uuid AND up.node_id = rest.node_id AND up.at = rest.node_id) THEN 'on' ELSE 'below' END FROM rest"""
+
 ATTRIBUTE_CELLS = {"keywords": CellGrammar(comma=True), "amended_by": CellGrammar(comma=True), "icao_reference": CellGrammar()}
 ITEM_CELLS = {"item": CellGrammar()}
 
@@ -27,7 +38,7 @@ def p1_schema_edges(spark: SparkSession, data_dir: str) -> DataFrame:
     return schema_edges(table(spark, data_dir, "structured_json", "payload"))
 
 
-@problems.query("p2_found")
+@problems.query("p2_found", P2_SQL)
 def p2_found(spark: SparkSession, data_dir: str) -> DataFrame:
     rows = table(spark, data_dir, "sections", "id", "doc_uuid", "node_id", "parent_node_id", "updated_at")
     h = hierarchy(rows, "doc_uuid", "node_id", "parent_node_id", [F.col("updated_at"), F.col("id")])
