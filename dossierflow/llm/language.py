@@ -2,7 +2,8 @@
 
 Cross-parsing: a text is cut greedily into the longest phrases that occur in
 the reference text of a language, found by walking that language's suffix
-automaton; the language that needs the fewest phrases, per letter wins. Candidates are the languages that use the text's script.
+automaton; the language that needs the fewest phrases per letter wins.
+Candidates are the languages that use the text's script.
 
 The reference texts come from labelled documents: a sample, bounded per
 language, spread by a hash over all documents with that label, whose
@@ -11,7 +12,9 @@ with the label, so that wrong labels and mixed documents don't leak in.
 
 Sentences are classified one by one; those without enough letters take the
 language of their neighbours. A document's language is that of most of its
-letters. All documents are classified, whole texts.
+letters. All documents are classified, whole texts. The confidence of a
+sentence is its lead over the second language, in parts of the lead at which
+that one is no longer followed; of a segment, the mean over its letters.
 
 Edge cases: null and blank texts get no row; a text without letters gets its
 label's language, or `und`, with confidence 0; an empty table gives an empty
@@ -65,7 +68,7 @@ SAMPLE_DOCS, SAMPLE_LETTERS, REFERENCE_LETTERS, SAMPLE_TEXT = 250, 150_000, 30_0
 MIN_LETTERS = 8
 #: A sentence goes to its document's main language if that needs at most so many times the fewest phrases.
 NEAR = 1.3
-FAR = 1.6
+FAR = 1.4
 #: Grams of a stretch looked at on its own when the sample is cleaned, and how much better (in nats) another language may explain it.
 STRETCH, MARGIN = 24, 25.0
 #: Letters that each side of a cut inside a sentence needs, and phrases per letter from which one is looked for.
@@ -217,7 +220,7 @@ class Classifier:
         padded, best, counts = f" {letters} ", None, {}
         # a language that needs FAR times the fewest phrases so far is not followed further
         for x in sorted(names, key=lambda x: x != self.hint):
-            n = self.automata[x].phrases(padded, 1 << 60 if best is None else FAR * best + 3)
+            n = self.automata[x].phrases(padded, 1 << 60 if best is None else FAR * best + 1)
             best = n if best is None else min(best, n)
             counts[x] = n / size
         self.hint = min(counts, key=counts.get)
@@ -282,7 +285,7 @@ class Classifier:
             if name != main:
                 name = next((x for x in around if x in counts and counts[x] <= NEAR * counts[name]), name)
             second = min((c for x, c in counts.items() if x != name), default=None)
-            conf = 1.0 - counts[name] if second is None else max(0.0, 1.0 - counts[name] / second) if second else 0.0
+            conf = 1.0 - counts[name] if second is None else min(1.0, max(0.0, (second - counts[name]) / ((FAR - 1) * counts[name]))) if counts[name] else 1.0
             if runs and runs[-1][2] in (name, None):
                 r = runs[-1]
                 r[3] = (r[3] * r[4] + conf * w) / (r[4] + w)
