@@ -236,7 +236,7 @@ def _rank(between: DataFrame, bound: int) -> DataFrame:
     return between
 
 
-_PATHS = "grp string, node string, root_node string, depth long, size long, path string, role string"
+_PATHS = "grp string, node string, root_node string, root long, entry long, depth long, size long, path string, role string"
 
 
 def sweep_paths(nodes: DataFrame, partitions: int, joiner: str = "/", opening_bound: int = OPENING) -> DataFrame:
@@ -283,7 +283,7 @@ class _Sweep:
                 self.root_node = self.root_node or node
             paths.append(path)
             roots.append(self.root_node)
-        return pd.DataFrame({"grp": pdf["grp"], "node": pdf["node"], "root_node": roots, "depth": pdf["depth"], "size": pdf["size"], "path": paths, "role": pdf["role"]})
+        return pd.DataFrame({"grp": pdf["grp"], "node": pdf["node"], "root_node": roots, "root": pdf["root"], "entry": pdf["entry"], "depth": pdf["depth"], "size": pdf["size"], "path": paths, "role": pdf["role"]})
 
     def _open(self, last: int, node: str) -> str:
         path = f"{self.stack[-1][1]}{self.joiner}{node}" if self.stack else node
@@ -303,7 +303,10 @@ def _sweep_together(own: pd.DataFrame, above: pd.DataFrame, joiner: str) -> pd.D
 
 
 def hierarchy(rows: DataFrame, group: str, node: str, parent: str, order: list, bound: int = BOUND, partitions: int | None = None) -> DataFrame:
-    """grp, node, root_node, depth, size, path, role of every node.
+    """grp, node, root_node, depth, size, path, role, tour, entry of every node.
+
+    The descendants of a node are those with the same `tour` whose `entry` lies
+    in (entry, entry + size]; entries of a tour ascend in preorder.
 
     role is `none` in a tree, `on` for a node of a circle and `below` for one
     that hangs on a circle; for the last two root_node and path are '' and depth
@@ -321,4 +324,15 @@ def hierarchy(rows: DataFrame, group: str, node: str, parent: str, order: list,
     full = full.select("grp", "node", "root", "depth", "size", "entry", role.alias("role"))
     none = F.col("role") == "none"
     swept = sweep_paths(full, p, opening_bound=min(bound, OPENING))
-    return swept.select("grp", "node", F.when(none, F.col("root_node")).otherwise("").alias("root_node"), F.when(none, F.col("depth")).otherwise(-1).alias("depth"), F.when(none, F.col("size")).otherwise(-1).alias("size"), F.when(none, F.col("path")).otherwise("").alias("path"), "role")
+    return swept.select("grp", "node", F.when(none, F.col("root_node")).otherwise("").alias("root_node"), F.when(none, F.col("depth")).otherwise(-1).alias("depth"), F.when(none, F.col("size")).otherwise(-1).alias("size"), F.when(none, F.col("path")).otherwise("").alias("path"), "role", F.col("root").alias("tour"), "entry")
+
+
+def descendants(nodes: DataFrame, queries: DataFrame, joiner: str = "/") -> DataFrame:
+    """(grp, ancestor, node, distance) below the nodes of `queries` (grp, node).
+
+    A node's path names its ancestors, so the pairs come from an explode and an
+    equi-join with the queries; nothing is compared within a tree.
+    """
+    up = nodes.where("role = 'none'").select("grp", "node", "depth", F.posexplode(F.slice(F.split("path", joiner), 1, F.col("depth").cast("int") - 1)).alias("k", "ancestor"))
+    asked = queries.select("grp", F.col("node").alias("ancestor")).distinct()
+    return up.join(asked, ["grp", "ancestor"]).select("grp", "ancestor", "node", (F.col("depth") - F.col("k") - 1).alias("distance"))

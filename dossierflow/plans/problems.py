@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossierflow.operators.hierarchy import hierarchy
+from dossierflow.operators.hierarchy import descendants, hierarchy
 from dossierflow.operators.multivalue import CellGrammar, split_cells
-from dossierflow.operators.nested import hierarchy_rows, schema_edges
+from dossierflow.operators.nested import analyse, hierarchy_rows, schema_edges, shred
 from dossierflow.plans.registry import Registry
 from dossierflow.plans.sqltext import ustrip
 from dossierflow.sources.tables import table
@@ -45,6 +45,28 @@ def p2_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return h.select(F.col("grp").alias("doc_uuid"), F.col("node").alias("node_id"), F.col("root_node").alias("root_node_id"), "depth", F.col("size").alias("n_descendants"), F.col("path").alias("node_path"), F.col("role").alias("cycle_role"))
 
 
+@problems.query("p1_tables")
+def p1_tables(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Rows of all flat tables with the keys of their parents."""
+    records = table(spark, data_dir, "structured_json", "record_id", "payload")
+    return shred(records, analyse(records)).withColumn("columns", F.to_json("columns"))
+
+
+P2_BELOW = f"""{P2_SQL[: P2_SQL.index("d AS (")].rstrip().rstrip(",")}, q AS (SELECT DISTINCT doc_uuid, {ustrip('node_id')} AS node_id FROM sections WHERE id % 100 = 0),
+p AS (SELECT doc_uuid, node_id AS descendant_id, unnest(chain[1:depth - 1]) AS node_id, depth - generate_subscripts(chain[1:depth - 1], 1) AS distance FROM t WHERE depth > 1)
+SELECT p.doc_uuid, p.node_id, p.descendant_id, p.distance::BIGINT AS distance FROM p JOIN q USING (doc_uuid, node_id)"""
+
+
+@problems.query("p2_descendants", P2_BELOW)
+def p2_descendants(spark: SparkSession, data_dir: str) -> DataFrame:
+    """All descendants of every node delivered under an id divisible by 100 (a stated query set against all nodes)."""
+    rows = table(spark, data_dir, "sections", "id", "doc_uuid", "node_id", "parent_node_id", "updated_at")
+    h = hierarchy(rows, "doc_uuid", "node_id", "parent_node_id", [F.col("updated_at"), F.col("id")])
+    asked = rows.where("id % 100 = 0").select(F.col("doc_uuid").alias("grp"), F.regexp_replace("node_id", r"(?U)^\s+|\s+$", "").alias("node"))
+    d = descendants(h, asked)
+    return d.select(F.col("grp").alias("doc_uuid"), F.col("ancestor").alias("node_id"), F.col("node").alias("descendant_id"), "distance")
+
+
 def packed_values(spark: SparkSession, data_dir: str) -> DataFrame:
     attributes = split_cells(table(spark, data_dir, "node_attributes", "attr_id", *ATTRIBUTE_CELLS), "attr_id", ATTRIBUTE_CELLS)
     items = split_cells(table(spark, data_dir, "eval_items", "item_row_id", *ITEM_CELLS), "item_row_id", ITEM_CELLS)

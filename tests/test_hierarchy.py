@@ -89,3 +89,15 @@ def test_last_delivery_by_time(spark):
     df = spark.createDataFrame([("d", "a", "b", datetime(2024, 1, 2), 1), ("d", "a", "", datetime(2024, 1, 3), 2), ("d", "b", "", datetime(2024, 1, 1), 3)], "g string, n string, p string, t timestamp, id int")
     got = {r.node: r.depth for r in H.hierarchy(df, "g", "n", "p", [F.col("t"), F.col("id")]).collect()}
     assert got == {"a": 1, "b": 1}
+
+
+def test_intervals_and_descendants(spark):
+    rows = forest(9, 80)
+    df = spark.createDataFrame(rows, "g string, n string, p string, t int")
+    h = H.hierarchy(df, "g", "n", "p", [F.col("t")], partitions=5)
+    nodes = [r for r in h.collect() if r.role == "none"]
+    below = {(a.grp, a.node, b.node): b.depth - a.depth for a in nodes for b in nodes if a.grp == b.grp and b.path.startswith(a.path + "/")}
+    by_interval = {(a.grp, a.node, b.node) for a in nodes for b in nodes if a.tour == b.tour and a.entry < b.entry <= a.entry + a["size"]}
+    assert by_interval == set(below) and below
+    got = {(r.grp, r.ancestor, r.node): r.distance for r in H.descendants(h, h.select("grp", "node")).collect()}
+    assert got == below
