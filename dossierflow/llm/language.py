@@ -75,6 +75,7 @@ STRETCH, MARGIN = 24, 25.0
 MIN_PART, ODD_RATE = 20, 0.13
 
 _MARKUP = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|&[a-zA-Z]{2,8};")
+_BLOCK_TAG = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|blockquote)\b", re.IGNORECASE)
 _BREAK = re.compile(r"(?<=\w)-\s*\n\s*(?=\w)")
 _CODE = re.compile(r"\b[A-Z]{2,4}\d? (?=\d)|https?://\S+|(?<![A-Za-z0-9.,()/:%+\-])[A-Za-z.,()/:%+\-]*[0-9][A-Za-z0-9.,()/:%+\-]*")
 #: Places where a sentence may begin unmarked: before a capital or a letter of a script without case.
@@ -94,6 +95,13 @@ def label_language(c: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), base)
 
 
+def without_markup(text: str) -> str:
+    """The text with tags blanked, every character in its place; a block's tag stands for a blank line."""
+    if "<" not in text:
+        return text
+    return _MARKUP.sub(lambda m: ("\n\n" if len(m.group()) > 2 and _BLOCK_TAG.match(m.group()) else "").ljust(len(m.group())), text)
+
+
 def plain(text: str) -> str:
     """Letters of a text as parsed: markup, codes and digits out, accents folded, words one space apart."""
     if "<" in text or "&" in text:
@@ -263,6 +271,7 @@ class Classifier:
         A sentence that the document's main language, or a neighbour's, explains
         nearly as well as the best one belongs to that language.
         """
+        text = without_markup(text)
         self.hint = None
         scored = [x for a, b in sentence_spans(text) for x in self.refined(text, a, b)]
         weight: dict[str, int] = {}

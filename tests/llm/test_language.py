@@ -42,6 +42,13 @@ def test_unmarked_turn_is_found():
     assert segments(f"{a} {b}") == [(a, "en"), (b, "de")]
 
 
+def test_markup_keeps_offsets():
+    a, b = "The operator must test the mask", "De exploitant moet het resultaat vastleggen"
+    text = f"<p>{a}</p><p>{b} <b>en</b> controleren</p>"
+    runs = Classifier(MODEL).segments(text)
+    assert [(r[0], r[2]) for r in runs] == [(3, "en"), (text.index(b), "nl")]
+
+
 def test_scripts():
     assert script_of("abc")[0] == "latin" and script_of("運航者は")[0] == "kana" and script_of("申请人CS 25")[0] == "han" and script_of("12")[0] == ""
     assert script_of("Ο φορέας Lunvel")[0] == "greek"
