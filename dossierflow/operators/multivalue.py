@@ -32,6 +32,11 @@ VALUE_SCHEMA = "src_field string, row_id long, value_pos int, field_value string
 QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’", "「": "」"}
 BRACKETS = {"(": ")", "[": "]", "{": "}", "（": "）"}
 HARD_DELIMITERS = ";；|\n\r\t•‣▪●"
+_OPENERS_OF: dict[str, str] = {}
+for _o, _cs in [*QUOTES.items(), *BRACKETS.items()]:
+    for _c in _cs:
+        _OPENERS_OF[_c] = _OPENERS_OF.get(_c, "") + _o
+_PAIRED = re.compile("[" + re.escape("".join({*QUOTES, *BRACKETS, *_OPENERS_OF}) + "\r\n\t") + "]")
 _MARK = re.compile(r"(?:[•‣▪●◦·*–—\-]\s+|\(?\d{1,3}[.)]\s+)")
 _SPACE = re.compile(r"[\s​﻿]*")
 
@@ -55,13 +60,17 @@ class CellParser:
         self.gap = re.compile(rf"[\s​﻿{d}]*")
         special = re.escape(grammar.delimiters + "".join(QUOTES) + "".join(BRACKETS))
         self.plain = re.compile(f"[^{special}]*")
-        self.simple = re.compile(f"[{re.escape(''.join(QUOTES) + ''.join(BRACKETS))}]")
+        closers = re.escape("".join(QUOTES.values()))
+        self.closing = re.compile(rf"[{closers}](?=[\s​﻿]*(?:[{d}]|$))")
 
     def parse(self, cell: str | None) -> Iterator[tuple[str, int, int, str | None]]:
         """(value, start, end, error) of each non-empty value."""
         if cell is None:
             return
         at, n = 0, len(cell)
+        # what is looked up per cell once, so that malformed cells stay linear
+        last_close = {m.group(): m.start() for m in self.closing.finditer(cell)} if any(c in cell for c in QUOTES) else {}
+        pairs: dict[int, int] | None = None
         while True:
             at = self.gap.match(cell, at).end()
             if at >= n:
@@ -74,14 +83,16 @@ class CellParser:
                 return
             error = None
             if cell[at] in QUOTES:
-                if found := self._quoted(cell, at):
+                if any(last_close.get(x, -1) > at for x in QUOTES[cell[at]]) and (found := self._quoted(cell, at)):
                     value, end = found
                     if value.strip():
                         yield value.strip(), at, end, None
                     at = end
                     continue
                 error = "malformed_quote"
-            end, bad = self._bare(cell, at)
+            if pairs is None:
+                pairs = _pairs(cell)
+            end, bad = self._bare(cell, at, pairs)
             value = cell[at:end]
             kept = value.strip(" ​﻿").strip()
             if kept:
@@ -104,7 +115,7 @@ class CellParser:
             i += 1
         return None
 
-    def _bare(self, cell: str, at: int) -> tuple[int, str | None]:
+    def _bare(self, cell: str, at: int, pairs: dict[int, int]) -> tuple[int, str | None]:
         """End of the bare value at `at`, and what is malformed in it."""
         i, n, bad = at, len(cell), None
         while i < n:
@@ -114,29 +125,30 @@ class CellParser:
             c = cell[i]
             if self.delimiter.match(c):
                 break
-            pair = BRACKETS.get(c) or (QUOTES[c] if c in QUOTES and i > at else None)
-            if pair and (end := self._closed(cell, i, c, pair)):
-                i = end
+            if (c in BRACKETS or i > at) and i in pairs:
+                i = pairs[i]
                 continue
             if c in BRACKETS:
                 bad = bad or "malformed_bracket"
             i += 1
         return i, bad
 
-    def _closed(self, cell: str, at: int, opened: str, closers: str) -> int | None:
-        """Past the bracket or inner quotation at `at`, if it closes on its line."""
-        depth = 0
-        for i in range(at, len(cell)):
-            c = cell[i]
-            if c in "\r\n\t":
-                return None
-            if c in closers and i > at:
-                depth -= 1
-                if depth <= 0:
-                    return i + 1
-            elif c == opened:
-                depth += 1
-        return None
+
+def _pairs(cell: str) -> dict[int, int]:
+    """Position of each bracket or quotation mark that closes on its line -> past its end."""
+    out: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for m in _PAIRED.finditer(cell):
+        c, i = m.group(), m.start()
+        if c in "\r\n\t":
+            open_.clear()
+            continue
+        opener = next((o for o in _OPENERS_OF.get(c, ()) if open_.get(o)), None)
+        if opener is not None:
+            out[open_[opener].pop()] = i + 1
+        elif c in BRACKETS or c in QUOTES:
+            open_.setdefault(c, []).append(i)
+    return out
 
 
 def split_cells(df: DataFrame, row_id: str, fields: dict[str, CellGrammar]) -> DataFrame:

@@ -75,3 +75,8 @@ def test_operator_on_odd_tables(spark):
     got = sorted(tuple(r)[:4] for r in split_cells(df, "id", {"x": CellGrammar(), "y": CellGrammar()}).collect())
     assert got == [("x", 1, 1, "a"), ("x", 1, 2, "b"), ("y", 2, 1, "c"), ("y", 2, 1, "c")]
     assert split_cells(df.limit(0), "id", {"x": CellGrammar()}).collect() == []
+
+
+@pytest.mark.parametrize("cell", ["(" * 100_000, '"a;' * 50_000, "“x | " * 50_000, "[(" * 30_000 + ";" + ")]" * 30_000, '""' * 60_000, "• " * 60_000])
+def test_malformed_cells_stay_linear(cell):
+    assert all(v for v in values(COMMA, cell))
