@@ -106,15 +106,15 @@ def _all_caps(text: str) -> bool:
     return text.isupper() and sum(map(str.isalpha, text)) >= 4
 
 
-def _starts_sentence(text: str, k: int, caps_follow_ok: bool, sentence: str) -> bool:
-    """Whether a new sentence can start at k, after white space."""
+def _starts_sentence(text: str, k: int, caps_follow_ok: bool, s: int, i: int) -> bool:
+    """Whether a new sentence can start at k; the one before runs from s to i."""
     c = text[k]
     if c.islower():
         return bool(_LIST_MARK.match(text, k)) and len(text) > k + 2 and text[k + 1] == ")"
     if c.isalpha():
         if not caps_follow_ok and c.isupper():
             m = _WORD.match(text, k)
-            if m and _caps(m.group()) and _all_caps(sentence):
+            if m and _caps(m.group()) and _all_caps(text[s:i]):
                 return False
         return True
     if c.isdigit() or c in "¿¡\"“„«‘‚「『‹[【•‣▪●":
@@ -158,10 +158,9 @@ def _full_stop(text: str, s: int, i: int, j: int, k: int) -> bool:
         return False
     if before.isspace():
         return False
-    if _LIST_ONLY.match(text[s:i]) and i - s < 12:
+    if i - s < 12 and _LIST_ONLY.match(text[s:i]):
         return False
-    sentence = text[s:i]
-    if not _starts_sentence(text, k, kind != 2, sentence):
+    if not _starts_sentence(text, k, kind != 2, s, i):
         return False
     if kind == 1:
         return False
@@ -183,6 +182,7 @@ def _full_stop(text: str, s: int, i: int, j: int, k: int) -> bool:
 def paragraph_spans(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
     s = _WS.match(text, a, b).end()
     stack: list[tuple[str, int]] = []  # (closers, position of the opener)
+    absent: set[str] = set()  # closers that don't come any more in this paragraph
     at = s
     while at < b:
         m = _EVENT.search(text, at, b)
@@ -207,12 +207,12 @@ def paragraph_spans(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
             elif "!" in m.group() or "?" in m.group():
                 n = text[k]
                 if k > j:
-                    if _starts_sentence(text, k, True, ""):
+                    if _starts_sentence(text, k, True, s, i):
                         end = j
                 elif n.isupper() or n in "¿¡\"“„«‘「『(" or (n.isalpha() and not n.islower()):
                     end = j
             elif j - i > 1 or c == "…":
-                if k > j and _starts_sentence(text, k, False, text[s:i]) and not text[k].isdigit():
+                if k > j and _starts_sentence(text, k, False, s, i) and not text[k].isdigit():
                     end = j
             elif _full_stop(text, s, i, j, k):
                 end = j
@@ -226,8 +226,12 @@ def paragraph_spans(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
             else:
                 closes = OPENERS.get(c)
                 if closes and not (c in "‘‚" and i > a and text[i - 1].isalnum()):
-                    if any(text.find(x, j, b) >= 0 for x in closes):
-                        stack.append((closes, i))
+                    for x in closes:
+                        if x not in absent:
+                            if text.find(x, j, b) >= 0:
+                                stack.append((closes, i))
+                                break
+                            absent.add(x)
                 continue
             if stack:
                 continue
@@ -241,12 +245,12 @@ def paragraph_spans(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
             if k >= b:
                 end = j
             elif c in BRACKET_CLOSERS:
-                if opened == s and k > j and _starts_sentence(text, k, False, text[s:i]):
+                if opened == s and k > j and _starts_sentence(text, k, False, s, i):
                     end = j
             elif text[p] in _CJK_MARKS:
                 if k > j or text[k] not in _CJK_CONTINUES:
                     end = j
-            elif _starts_sentence(text, k, False, text[s:i]) and not (k == j and not text[k].isupper()):
+            elif _starts_sentence(text, k, False, s, i) and not (k == j and not text[k].isupper()):
                 end = j
         if end >= 0:
             if end > s:

@@ -71,3 +71,9 @@ def test_operator(spark):
     df = spark.createDataFrame([("t", 1, "A b. C d.", 0), ("t", 2, None, 0), ("t", 3, "", 0), ("t", 1, "A b. C d.", 0)], "src_table string, row_id long, text string, start_char int")
     assert sorted(tuple(r) for r in split_sentences(df).collect()) == [("t", 1, 0, 4), ("t", 1, 0, 4), ("t", 1, 5, 9), ("t", 1, 5, 9)]
     assert split_sentences(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("text", ["et al. and so on. x " * 40_000, '"' * 100_001, "(a. " * 60_000, "„" * 60_000, "A. " * 60_000, "1. " * 60_000, "?! " * 60_000])
+def test_odd_texts_stay_linear(text):
+    spans = sentence_spans(text)
+    assert spans and spans[-1][1] <= len(text)
