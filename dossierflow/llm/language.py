@@ -73,6 +73,8 @@ FAR = 1.4
 STRETCH, MARGIN = 24, 25.0
 #: Letters that each side of a cut inside a sentence needs, and phrases per letter from which one is looked for.
 MIN_PART, ODD_RATE = 20, 0.13
+#: Characters looked at on either side of a cut, and the share of the phrases that a cut may leave.
+CONTEXT, MIN_GAIN = 400, 0.7
 
 _MARKUP = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|&[a-zA-Z]{2,8};")
 _BLOCK_TAG = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|blockquote)\b", re.IGNORECASE)
@@ -235,31 +237,44 @@ class Classifier:
         return counts, size
 
     def refined(self, text: str, a: int, b: int) -> list[tuple[int, int, dict[str, float], int]]:
-        """The span with its scores, cut in two where sentences of two languages follow each other without a mark."""
-        counts, size = self.scores(text[a:b])
-        if size < 2 * MIN_PART or not counts:
-            return [(a, b, counts, size)]
-        part = text[a:b]
-        by_script = sorted(((len(p.findall(part)) * _WEIGHT.get(k, 1.0), k) for k, p in _SCRIPT.items()), reverse=True) if not part.isascii() and _FOREIGN.search(part) else []
-        groups = {"han" if k == "kana" else k for n, k in by_script if n >= MIN_PART}
-        fewest = min(counts.values())
-        if not (len(groups) > 1 or fewest > ODD_RATE):
-            return [(a, b, counts, size)]
+        """The span with its scores, cut where sentences of two languages follow each other without a mark."""
+        out, todo = [], [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            counts, size = self.scores(text[a:b])
+            turn = self._turn(text[a:b], counts, size) if counts and size >= 2 * MIN_PART else None
+            if turn is None:
+                out.append((a, b, counts, size))
+            else:
+                todo += [(a + turn[1], b), (a, a + turn[0])]
+        return out
+
+    def _turn(self, part: str, counts: dict[str, float], size: int) -> tuple[int, int] | None:
+        """End and start of the languages' sentences at the best place to cut, if the part is odd enough to hold one.
+
+        A place is judged by up to CONTEXT characters on either side.
+        """
+        if min(counts.values()) <= ODD_RATE:
+            if part.isascii() or not _FOREIGN.search(part):
+                return None
+            groups = {"han" if k == "kana" else k for k, p in _SCRIPT.items() if len(p.findall(part)) * _WEIGHT.get(k, 1.0) >= MIN_PART}
+            if len(groups) < 2:
+                return None
         best = None
         for m in _TURN.finditer(part):
-            if (code := _CODE.match(part, m.end())) and not _LIST_NUMBER.match(part, m.end()) and code.end() > m.end() + 2:
+            i, j = m.span()
+            if (code := _CODE.match(part, j)) and not _LIST_NUMBER.match(part, j) and code.end() > j + 2:
                 continue
-            left, n = self.scores(part[: m.start()])
-            right, k = self.scores(part[m.end() :])
+            lo, hi = max(0, i - CONTEXT), min(len(part), j + CONTEXT)
+            left, n = self.scores(part[lo:i])
+            right, k = self.scores(part[j:hi])
             if n < MIN_PART or k < MIN_PART or not left or not right or min(left, key=left.get) == min(right, key=right.get):
                 continue
-            cost = self._cost(left, n) + self._cost(right, k)
-            if best is None or cost < best[0]:
-                best = (cost, m.start(), m.end(), left, n, right, k)
-        if best is None or best[0] > 0.7 * self._cost(counts, size):
-            return [(a, b, counts, size)]
-        _, i, j, left, n, right, k = best
-        return [*self.refined(text, a, a + i), *self.refined(text, a + j, b)]
+            whole = self._cost(counts, size) if hi - lo == len(part) else self._cost(*self.scores(part[lo:hi]))
+            ratio = (self._cost(left, n) + self._cost(right, k)) / whole
+            if ratio <= MIN_GAIN and (best is None or ratio < best[0]):
+                best = (ratio, i, j)
+        return best and best[1:]
 
     @staticmethod
     def _cost(counts: dict[str, float], size: int) -> float:

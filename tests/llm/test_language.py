@@ -42,6 +42,11 @@ def test_unmarked_turn_is_found():
     assert segments(f"{a} {b}") == [(a, "en"), (b, "de")]
 
 
+def test_endless_sentences_are_cut_at_every_turn():
+    a, b = "The operator must record the result of the test before the next departure", "Der Betreiber muss das Ergebnis der Prüfung eintragen und die Sauerstoffmaske prüfen"
+    assert [n for _, n in segments((f"{a} " * 8 + f"{b} " * 8) * 12)] == ["en", "de"] * 12
+
+
 def test_markup_keeps_offsets():
     a, b = "The operator must test the mask", "De exploitant moet het resultaat vastleggen"
     text = f"<p>{a}</p><p>{b} <b>en</b> controleren</p>"
