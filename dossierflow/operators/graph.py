@@ -1,8 +1,10 @@
 """Topic graph of structured documents: nodes, link edges and external references.
 
 A record's links are compared with the titles of that record only. One payload
-is one row, so the comparison runs inside its task: titles longest first, and
-the first that holds the link text, or is held by it, is the target.
+is one row, so the comparison runs inside its task: of the titles that hold the
+link text, or are held by it, the longest is the target. Two automata find
+them, of the titles over the links and of the links over the titles, so that a
+record costs what its texts are long and not links times titles.
 
 Edge cases: links without text and nodes without title or id are left out; a
 node never links to its own title; repeated edges and nodes come once per
@@ -37,6 +39,39 @@ def walk_nodes(payload: str | None, spec: NestedSpec = NestedSpec()) -> Iterator
         stack.extend(reversed([(x, f"{path}.{i}", depth + 1) for i, x in enumerate(below, 1)]))
 
 
+class LinkTargets:
+    """For each link text the titles it matches, best first: longest, then first."""
+
+    def __init__(self, titles: list[str], texts: set[str]):
+        import ahocorasick
+
+        #: distinct titles by length, the longest first
+        self.ranked = sorted(dict.fromkeys(titles), key=len, reverse=True)
+        held, holding = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for rank, title in enumerate(self.ranked):
+            low = title.lower()
+            held.add_word(low, [*(held.get(low) if low in held else []), rank])
+        for text in texts:
+            holding.add_word(text.lower(), text.lower())
+        for automaton in (held, holding):
+            if len(automaton):
+                automaton.make_automaton()
+        #: two are enough: a node never links to its own title
+        self.best: dict[str, list[int]] = {}
+        if len(holding):
+            for rank, title in enumerate(self.ranked):
+                for _, text in holding.iter(title.lower()):
+                    own = self.best.setdefault(text, [])
+                    if len(own) < 2 and rank not in own:
+                        own.append(rank)
+        for low in {t.lower() for t in texts} if len(held) else ():
+            ranks = {*self.best.get(low, ()), *(r for _, rs in held.iter(low) for r in rs)}
+            self.best[low] = sorted(ranks)[:2]
+
+    def of(self, text: str, source: str) -> str | None:
+        return next((self.ranked[r] for r in self.best.get(text.lower(), ()) if self.ranked[r] != source), None)
+
+
 def topic_graph(records: DataFrame) -> DataFrame:
     """Rows of kind `topic`, `external` and `edge`; for an edge node_id is its source and other its target."""
 
@@ -48,8 +83,9 @@ def topic_graph(records: DataFrame) -> DataFrame:
                 links = [x for x in node.get("hyperlinks") or [] if isinstance(x, dict)] if isinstance(node.get("hyperlinks"), list) else []
                 text = node.get("text_content")
                 topics[key] = (title, (a.get("Domain") or "Unknown").strip("; "), (a.get("TypeOfContent") or "General").strip("; "), links, len(text) if isinstance(text, str) else 0)
-        titles = sorted((t[0] for t in topics.values()), key=len, reverse=True)
-        lowered, known = [t.lower() for t in titles], set(titles)
+        known = {t[0] for t in topics.values()}
+        texts = {(_text(link.get("text")) or "").strip() for t in topics.values() for link in t[3]} - {""}
+        targets = LinkTargets([t[0] for t in topics.values()], texts) if texts else None
         external: set[str] = set()
         edges: set[tuple[str, str, str]] = set()
         for title, domain, content, links, size in topics.values():
@@ -59,8 +95,7 @@ def topic_graph(records: DataFrame) -> DataFrame:
                 text, target = (_text(link.get("text")) or "").strip(), (_text(link.get("target")) or "Unknown Target").strip()
                 if not text:
                     continue
-                low = text.lower()
-                hit = next((t for t, x in zip(titles, lowered) if t != title and (x in low or low in x)), None)
+                hit = targets.of(text, title)
                 if hit is None and text not in external and text not in known:
                     external.add(text)
                     yield record_id, "external", text, None, None, "External Reference", "Hyperlink Fragment", 0

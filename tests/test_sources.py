@@ -100,6 +100,22 @@ def test_graph(spark):
     assert {(r.node_id, r.domain, r.text_size) for r in g if r.kind != "edge"} == {("AMC 1 Fuel", "D", 3), ("AMC 2 Oil", "Unknown", 0), ("outside", "External Reference", 0)}
 
 
+def test_link_targets_against_all_pairs():
+    import random
+
+    rnd = random.Random(4)
+    for _ in range(300):
+        words = ["a", "B", "ab", "c", "abc", "Ca"]
+        titles = [" ".join(rnd.choices(words, k=rnd.randint(1, 4))) for _ in range(rnd.randint(0, 8))]
+        texts = {" ".join(rnd.choices(words, k=rnd.randint(1, 4))) for _ in range(rnd.randint(1, 6))}
+        found = G.LinkTargets(titles, texts)
+        ranked = sorted(titles, key=len, reverse=True)
+        for text in texts:
+            for source in [*titles, "none"]:
+                want = next((t for t in ranked if t != source and (t.lower() in text.lower() or text.lower() in t.lower())), None)
+                assert found.of(text, source) == want
+
+
 def test_model_seam(spark):
     class Broken:
         name = "broken"
