@@ -464,6 +464,6 @@ def classify(documents: DataFrame, model: LanguageModel) -> DataFrame:
 
 def mislabelled(segments: DataFrame) -> DataFrame:
     """(doc_id, seg_start, seg_lang): the runs of mixed documents, and of the others those with a missing or wrong label."""
-    mixed = segments.where("n_segments > 1").select("doc_id", "seg_start", "seg_lang")
-    plain_ = segments.where("n_segments = 1 and (label is null or label != doc_lang)").select("doc_id", F.lit(0).alias("seg_start"), F.col("doc_lang").alias("seg_lang"))
-    return mixed.unionAll(plain_)
+    mixed = F.col("n_segments") > 1
+    wanted = segments.where(mixed | F.col("label").isNull() | (F.col("label") != F.col("doc_lang")))
+    return wanted.select("doc_id", F.when(mixed, F.col("seg_start")).otherwise(0).alias("seg_start"), F.when(mixed, F.col("seg_lang")).otherwise(F.col("doc_lang")).alias("seg_lang"))
