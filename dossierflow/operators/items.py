@@ -21,10 +21,9 @@ UI_SEPARATORS = (";", "|", "\n", "\t", ",")
 
 def unique_elements(df: DataFrame, order: str, columns: list[str], separators: tuple[str, ...] = (";",), case_insensitive: bool = False) -> DataFrame:
     """(column_name, element, n, first_seen): how often each element occurs in each column."""
-    parts = [df.select(F.lit(c).alias("column_name"), F.col(order).alias("o"), F.posexplode(X.split_items(F.col(c), separators)).alias("k", "element")) for c in columns]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    # one scan for all columns
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), X.split_items(F.col(c), separators).alias("items")) for c in columns])
+    rows = df.select(F.col(order).alias("o"), F.explode(cells).alias("c")).select("c.column_name", "o", F.posexplode("c.items").alias("k", "element"))
     key = F.lower("element") if case_insensitive else F.col("element")
     g = rows.groupBy("column_name", key.alias("key")).agg(F.min_by("element", F.struct("o", "k")).alias("element"), F.count("*").alias("n"), F.min("o").alias("first_seen"))
     return g.select("column_name", "element", "n", "first_seen")
