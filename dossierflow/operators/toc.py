@@ -45,16 +45,33 @@ def distinct_entries(entries: DataFrame, order: list[str]) -> DataFrame:
     return first_per_key(keyed, ["doc_uuid", "key"], order, [*order, "title", "page"])
 
 
+def with_entries(rows: DataFrame) -> DataFrame:
+    """Adds title and page of the entry that each row of cells gives (as text.toc_entry_from_cells), and whether any cell is filled.
+
+    In steps, so that no pattern is matched twice.
+    """
+    r = rows.withColumn("_full", F.filter(F.transform("cells", X.clean_cell), lambda x: x != ""))
+    r = r.withColumns({"_n": F.size("_full"), "_joined": F.array_join("_full", " "), "_last": X.page_from_cell(F.try_element_at("_full", F.lit(-1)))})
+    n, joined, last = F.col("_n"), F.col("_joined"), F.col("_last")
+    paged = (n > 1) & last.isNotNull()
+    r = r.withColumn("_glued", F.when(~paged, joined.rlike(X.TOC_ENTRY)).otherwise(False))
+    head = F.array_join(F.slice("_full", 1, F.greatest(n - 1, F.lit(0))), " ")
+    bare = (n == 1) & (F.char_length(joined) <= X.MAX_UNPAGED_ENTRY) & X.is_numbered_heading(joined)
+    raw = F.when(paged, head).when(F.col("_glued"), F.regexp_extract(joined, X.TOC_ENTRY, 1)).when(bare, joined)
+    r = r.withColumns({"_title": F.btrim(raw, F.lit(X.TOC_TRIM)), "_page": F.when(paged, last).when(F.col("_glued"), F.regexp_extract(joined, X.TOC_ENTRY, 2).try_cast("int"))})
+    good = (F.col("_title") != "") & ~X.is_toc_title(F.col("_title")) & F.col("_title").rlike("[A-Za-z]")
+    r = r.withColumns({"title": F.when(good, F.col("_title")), "page": F.when(good, F.col("_page")), "filled": n > 0})
+    return r.drop("_full", "_n", "_joined", "_last", "_glued", "_title", "_page")
+
+
 def table_quality(rows: DataFrame) -> DataFrame:
     """Whether tables read as contents: rows (doc_uuid, pos, id, cells) -> counts, ratios, verdict and why.
 
     Page order compares each entry with the one before it in the table.
     """
-    r = rows.withColumn("e", X.toc_entry_from_cells(F.col("cells"))).withColumn("filled", F.exists("cells", lambda x: X.clean_cell(x) != ""))
-    r = r.withColumn("page", F.col("e.page"))
-    r = carry_last(r, ["doc_uuid"], "pos", ["id"], {"previous": F.col("page")}, inclusive=False)
+    r = carry_last(with_entries(rows).drop("cells"), ["doc_uuid"], "pos", ["id"], {"previous": F.col("page")}, inclusive=False)
     paged = F.col("page").isNotNull()
-    titled = paged & (F.char_length("e.title") >= 4)
+    titled = paged & (F.char_length("title") >= 4)
     g = r.groupBy("doc_uuid").agg(F.count_if("filled").alias("n_rows"), F.count_if(paged).alias("n_paged"), F.count_if(paged & F.col("previous").isNotNull()).alias("n_pairs"), F.count_if(paged & (F.col("page") >= F.col("previous"))).alias("n_forward"), F.count_if(titled).alias("n_titled"))
     why = F.when(F.col("n_rows") == 0, "empty").when(F.col("n_paged") < MIN_TOC_ENTRIES, "too few entries").when(F.col("n_paged") / F.col("n_rows") < MIN_ROW_RATIO, "too few rows are entries").when((F.col("n_pairs") > 0) & (F.col("n_forward") / F.col("n_pairs") < MIN_ORDER_RATIO), "pages do not run forwards").when(F.col("n_titled") < 0.5 * F.col("n_paged"), "titles do not read as titles").otherwise("usable")
     return g.withColumn("verdict", why)

@@ -66,14 +66,16 @@ def triage(chunks: DataFrame, valid: DataFrame, repeated: DataFrame, toc_pages:
     say whether their heading is in it.
     """
     has_toc = toc_pages is not None
-    labels, norm = F.col("labels"), X.collapse_ws(F.col("text"))
+    labels, norm = F.col("labels"), F.col("norm")
     has = F.size(labels) > 0
     among = lambda names: F.arrays_overlap(labels, F.array(*map(F.lit, names)))
     # all that the joins and windows need of a text is a few flags, and the text itself only where it can be boilerplate;
     # longer ones get a key that matches nothing, spread so that they don't meet in one task
     fold = F.when(F.char_length(norm) <= BOILERPLATE_MAX_CHARS, X.casefold(norm)).otherwise(F.concat(F.lit("\x00"), (F.col("id") % 997).cast("string")))
     short = (F.char_length(norm) < X.MIN_CONTENT_CHARS) & ~X.is_numbered_heading(norm) & ~among(HEADING_LABELS)
-    c = chunks.withColumns({"key": X.normalize_heading(F.col("heading")), "fold": fold, "is_empty": norm == "", "is_short": short})
+    # in steps, so that no expression over a text is evaluated twice
+    c = chunks.withColumns({"key": X.normalize_heading(F.col("heading")), "norm": X.collapse_ws(F.col("text"))})
+    c = c.withColumns({"fold": fold, "is_empty": norm == "", "is_short": short}).drop("norm")
     c = c.join(valid.select("doc_uuid", "key", F.col("heading").alias("known")).where("key != ''"), ["doc_uuid", "key"], "left")
     c = c.join(repeated.select("doc_uuid", F.col("norm").alias("fold"), F.lit(True).alias("is_repeated")), ["doc_uuid", "fold"], "left")
     if has_toc:

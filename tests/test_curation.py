@@ -132,3 +132,14 @@ def test_versions_and_edits(spark):
     a = spark.createDataFrame([("d", 1, "log"), ("d", 2, "skip"), ("e", 3, "log")], "doc_uuid string, id long, action string")
     b = spark.createDataFrame([("d", 2, "skip"), ("d", 1, "log"), ("e", 3, "skip"), ("f", 4, "log")], "doc_uuid string, id long, action string")
     assert {r.doc_uuid for r in M.changed_documents(a, b, ["id", "action"]).collect()} == {"e", "f"}
+
+
+def test_entries_in_steps_agree_with_the_expression(spark):
+    from dossierflow.functions.text import toc_entry_from_cells
+
+    rnd = random.Random(8)
+    pool = ["1.2 Scope", "14", "p. 14.", "Section", "Title", "nan", "-", "", None, "1.2 Scope ......... 14", "Contents", "12", "A.", "x  3", "General"]
+    rows = [(i, rnd.choices(pool, k=rnd.randint(0, 4))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, cells array<string>")
+    one = {r.id: tuple(r.e) if r.e else (None, None) for r in df.select("id", toc_entry_from_cells(F.col("cells")).alias("e")).collect()}
+    assert {r.id: (r.title, r.page) for r in T.with_entries(df).collect()} == one
