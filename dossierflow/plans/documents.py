@@ -26,6 +26,11 @@ from dossierflow.streaming import incremental as J
 documents = Registry()
 
 
+def stamp(c):
+    """A time as text, to the second."""
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
 def payloads(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "structured_json", "record_id", "payload")
 
@@ -153,16 +158,16 @@ def replace_sections(spark, d):
     return T.replace_partition(s.where("source != 'toc'").drop("source"), s.where("source = 'toc'").drop("source"), "doc_uuid")
 
 
-@documents.query("register_workspaces", "SELECT workspace_id, min(updated_at) AS first_seen, max(updated_at) AS last_seen, count(*) AS n_documents FROM documents_index GROUP BY 1")
+@documents.query("register_workspaces", "SELECT workspace_id, strftime(min(updated_at), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(updated_at), '%Y-%m-%d %H:%M:%S') AS last_seen, count(*) AS n_documents FROM documents_index GROUP BY 1")
 def register_workspaces(spark, d):
-    return table(spark, d, "documents_index").groupBy("workspace_id").agg(F.min("updated_at").alias("first_seen"), F.max("updated_at").alias("last_seen"), F.count("*").alias("n_documents"))
+    return table(spark, d, "documents_index").groupBy("workspace_id").agg(stamp(F.min("updated_at")).alias("first_seen"), stamp(F.max("updated_at")).alias("last_seen"), F.count("*").alias("n_documents"))
 
 
-@documents.query("registry_join", "WITH w AS (SELECT workspace_id, max(updated_at) AS last_seen FROM documents_index WHERE status = 'reviewed' GROUP BY 1) SELECT i.id, i.doc_uuid, w.workspace_id, w.last_seen FROM documents_index i JOIN w USING (workspace_id)")
+@documents.query("registry_join", "WITH w AS (SELECT workspace_id, max(updated_at) AS last_seen FROM documents_index WHERE status = 'reviewed' GROUP BY 1) SELECT i.id, i.doc_uuid, w.workspace_id, strftime(w.last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen FROM documents_index i JOIN w USING (workspace_id)")
 def registry_join(spark, d):
     i = table(spark, d, "documents_index")
     w = i.where("status = 'reviewed'").groupBy("workspace_id").agg(F.max("updated_at").alias("last_seen"))
-    return i.select("id", "doc_uuid", "workspace_id").join(w, "workspace_id").select("id", "doc_uuid", "workspace_id", "last_seen")
+    return i.select("id", "doc_uuid", "workspace_id").join(w, "workspace_id").select("id", "doc_uuid", "workspace_id", stamp(F.col("last_seen")).alias("last_seen"))
 
 
 @documents.query("latest_by_name", "WITH l AS (SELECT doc_name, arg_max(doc_uuid, (updated_at, doc_uuid)) AS u FROM documents_index WHERE doc_name IS NOT NULL AND updated_at IS NOT NULL GROUP BY 1), n AS (SELECT DISTINCT section_title AS name FROM eval_items WHERE section_title IS NOT NULL UNION SELECT DISTINCT doc_name FROM documents_index WHERE doc_name IS NOT NULL) SELECT name, coalesce(u, substr(sha1('pdf::' || name), 1, 16)) AS doc_uuid, u IS NULL AS minted FROM n LEFT JOIN l ON l.doc_name = n.name")
@@ -300,17 +305,17 @@ def daily_log(spark, d):
 documents.sql["daily_log"] = documents.sql["daily_log"].replace("sum(value)", "sum(value::DECIMAL(18,4))")
 
 
-@documents.query("events_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@documents.query("events_windows", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def events_windows(spark, d):
-    return J.windowed_counts(table(spark, d, "events", "ts", "event_type"), "ts", "1 hour").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return J.windowed_counts(table(spark, d, "events", "ts", "event_type"), "ts", "1 hour").withColumn("window_start", stamp(F.col("window_start")))
 
 
 # ---- streams: the same transforms over micro-batches ----
 
 
-@documents.query("stream_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@documents.query("stream_windows", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
-    return J.run_windowed(J.stream_table(spark, d, "events").select("ts", "event_type"), "ts", "1 hour").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return J.run_windowed(J.stream_table(spark, d, "events").select("ts", "event_type"), "ts", "1 hour").withColumn("window_start", stamp(F.col("window_start")))
 
 
 @documents.query("stream_grounding", f"""WITH {REFERENCED}, i AS (SELECT row_id, reference, {SPLIT('cell')} AS l FROM refd)

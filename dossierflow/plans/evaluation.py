@@ -83,10 +83,10 @@ def unique_sheet(spark, d):
     return I.side_by_side(one("icao_reference", "icao"), one("amended_by", "amended"))
 
 
-@evaluation.query("missing_elements", f"SELECT attr_id, list_filter({SPLIT('keywords')}, lambda x: NOT list_contains({SPLIT('amended_by')}, x)) AS missing FROM node_attributes")
+@evaluation.query("missing_elements", f"SELECT attr_id, array_to_string(list_filter({SPLIT('keywords')}, lambda x: NOT list_contains({SPLIT('amended_by')}, x)), ' ¦ ') AS missing FROM node_attributes")
 def missing_elements(spark, d):
     a = table(spark, d, "node_attributes", "attr_id", "keywords", "amended_by")
-    return a.select("attr_id", I.missing_elements(X.split_items(F.col("keywords")), X.split_items(F.col("amended_by"))).alias("missing"))
+    return a.select("attr_id", F.array_join(I.missing_elements(X.split_items(F.col("keywords")), X.split_items(F.col("amended_by"))), " ¦ ").alias("missing"))
 
 
 @evaluation.query("near_duplicate_lists")

@@ -72,10 +72,10 @@ def table_rows(spark, d):
     return r.where("n_header = 1")
 
 
-@layouts.query("numbered_columns", "SELECT attr_id, [coalesce(domain, ''), CASE WHEN domain = type_of_content THEN coalesce(type_of_content, '') || '_1' ELSE coalesce(type_of_content, '') || CASE WHEN coalesce(domain, '') = coalesce(type_of_content, '') THEN '_1' ELSE '' END END] AS names FROM node_attributes")
+@layouts.query("numbered_columns", "SELECT attr_id, array_to_string([coalesce(domain, ''), CASE WHEN domain = type_of_content THEN coalesce(type_of_content, '') || '_1' ELSE coalesce(type_of_content, '') || CASE WHEN coalesce(domain, '') = coalesce(type_of_content, '') THEN '_1' ELSE '' END END], ' ¦ ') AS names FROM node_attributes")
 def numbered_columns(spark, d):
     a = table(spark, d, "node_attributes", "attr_id", "domain", "type_of_content")
-    return a.select("attr_id", Y.numbered_names(F.array(F.coalesce("domain", F.lit("")), F.coalesce("type_of_content", F.lit("")))).alias("names"))
+    return a.select("attr_id", F.array_join(Y.numbered_names(F.array(F.coalesce("domain", F.lit("")), F.coalesce("type_of_content", F.lit("")))), " ¦ ").alias("names"))
 
 
 @layouts.query("master_index", f"""SELECT attr_id, node_id, CASE WHEN coalesce(source_title, '') = '' THEN 'Unknown_Topic' ELSE substr(trim(regexp_replace(regexp_replace(source_title, {q('[^a-zA-Z0-9' + S.WS[1:-1] + '.-]')}, '_', 'g'), {q('(?:' + S.WS + '|_)+')}, '_', 'g'), '_'), 1, 120) END AS sanitized_name,
@@ -92,12 +92,12 @@ def latest_attributes(spark, d):
     return a.groupBy("doc_uuid", "node_id").agg(F.max_by("attr_id", F.struct("updated_at", "attr_id")).alias("attr_id"), F.count("*").alias("n"))
 
 
-@layouts.query("reply_lists", "SELECT item_row_id, list_filter(list_transform(string_split(item, ';'), lambda x: trim(x)), lambda x: x <> '') AS items FROM eval_items WHERE regexp_full_match(item, '[A-Za-z0-9 ;.%]+')")
+@layouts.query("reply_lists", "SELECT item_row_id, array_to_string(list_filter(list_transform(string_split(item, ';'), lambda x: trim(x)), lambda x: x <> ''), ' ¦ ') AS items FROM eval_items WHERE regexp_full_match(item, '[A-Za-z0-9 ;.%]+')")
 def reply_lists(spark, d):
     """Lists out of replies that wrap them in prose."""
     e = table(spark, d, "eval_items", "item_row_id", "item").where(F.col("item").rlike(r"^[A-Za-z0-9 ;.%]+\z"))
     reply = F.concat(F.lit("Sure: "), F.to_json(F.split("item", ";")), F.lit(" - done"))
-    return e.select("item_row_id", Y.string_list_from_reply(reply).alias("items"))
+    return e.select("item_row_id", F.array_join(Y.string_list_from_reply(reply), " ¦ ").alias("items"))
 
 
 @layouts.query("literal_lists")
