@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from dossierflow.session import reach_workers
+
 #: Output rows per Arrow batch; keeps a batch of long texts small.
 FLUSH_ROWS = 4096
 
@@ -19,6 +21,7 @@ def map_rows(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str |
     `setup()` is called once per task; what it returns is passed as the first
     argument. Nothing is collected: batches stream through the Python worker.
     """
+    reach_workers(df.sparkSession)
     out = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     target = to_arrow_schema(out)
 

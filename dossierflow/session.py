@@ -26,12 +26,22 @@ def build_session(master: str = "local[8]", app: str = "dossierflow", shuffle_pa
     return b.getOrCreate()
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, wherever they start."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
     On a cluster it is the one named in spark.checkpoint.dir; only where that
     setting is absent (tests, one machine) a temporary folder is used.
     """
+    reach_workers(spark)
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
