@@ -14,7 +14,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossierflow.functions.arrowmap import map_rows
+from dossierflow.functions.arrowmap import map_rows, spread
 
 METRICS = ("rouge1", "rouge2", "rougeL", "bleu", "similarity_ratio", "word_error_rate", "sequence_ratio")
 LOWER_IS_BETTER = frozenset({"levenshtein_distance", "word_error_rate"})
@@ -199,4 +199,4 @@ def score_pairs(pairs: DataFrame, wanted: tuple[str, ...] = METRICS) -> DataFram
         wer = word_errors(c, r) if "word_error_rate" in want else (None,) * 4
         yield (pid, rouge_n(ct, rt, 1) if "rouge1" in want else None, rouge_n(ct, rt, 2) if "rouge2" in want else None, rouge_l(ct, rt) if "rougeL" in want else None, bleu(c, r) if "bleu" in want else None, indel_ratio(c, r) if "similarity_ratio" in want else None, *wer, sequence_ratio(c, r) if "sequence_ratio" in want else None)
 
-    return map_rows(pairs.select(F.col("pair_id").cast("long"), "candidate", "reference"), rows, SCORE_SCHEMA)
+    return map_rows(spread(pairs).select(F.col("pair_id").cast("long"), "candidate", "reference"), rows, SCORE_SCHEMA)
