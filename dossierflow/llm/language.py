@@ -75,6 +75,8 @@ STRETCH, MARGIN = 24, 25.0
 MIN_PART, ODD_RATE = 20, 0.13
 #: Characters looked at on either side of a cut, and the share of the phrases that a cut may leave.
 CONTEXT, MIN_GAIN = 400, 0.7
+#: Phrases that a change of language inside a sentence must save to be tried.
+CHANGE = 2
 
 _MARKUP = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|&[a-zA-Z]{2,8};")
 _BLOCK_TAG = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|blockquote)\b", re.IGNORECASE)
@@ -193,6 +195,23 @@ class SuffixAutomaton:
             at = to
         return count + (at is not root)
 
+    def ends(self, pieces: list[str]) -> list[int]:
+        """Phrases completed before the first piece and by the end of each, in one walk over all."""
+        root, count, out = self.root, 0, [0]
+        at = root.get(" ", root)
+        for piece in pieces:
+            for c in f"{piece} " if piece else "":
+                to = at.get(c)
+                if to is None:
+                    count += at is not root
+                    to = root.get(c)
+                    if to is None:
+                        count += 1
+                        to = root
+                at = to
+            out.append(count)
+        return out
+
 
 @dataclass
 class LanguageModel:
@@ -244,7 +263,11 @@ class Classifier:
             counts, size = self.scores(text[a:b])
             turn = self._turn(text[a:b], counts, size) if counts and size >= 2 * MIN_PART else None
             if turn is None:
-                out.append((a, b, counts, size))
+                cuts = self._changes(text[a:b], counts) if len(counts) > 1 and size >= 2 * MIN_PART else []
+                if not cuts:
+                    out.append((a, b, counts, size))
+                for i, j in zip([0, *(j for _, j in cuts)], [*(i for i, _ in cuts), b - a]) if cuts else ():
+                    out.append((a + i, a + j, *self.scores(text[a + i : a + j])))
             else:
                 todo += [(a + turn[1], b), (a, a + turn[0])]
         return out
@@ -263,7 +286,7 @@ class Classifier:
         best = None
         for m in _TURN.finditer(part):
             i, j = m.span()
-            if (code := _CODE.match(part, j)) and not _LIST_NUMBER.match(part, j) and code.end() > j + 2:
+            if self._is_code(part, j):
                 continue
             lo, hi = max(0, i - CONTEXT), min(len(part), j + CONTEXT)
             left, n = self.scores(part[lo:i])
@@ -276,6 +299,55 @@ class Classifier:
                 best = (ratio, i, j)
         return best and best[1:]
 
+    def _changes(self, part: str, counts: dict[str, float]) -> list[tuple[int, int]]:
+        """Ends and starts around sentences of another language, however much text of the main one surrounds them.
+
+        The cheapest parsing of the part whose language may change at any turn
+        names the stretches. A cut between two is judged by as much text on
+        either side as the shorter of them has.
+        """
+        main = min(counts, key=counts.get)
+        turns = [m.span() for m in _TURN.finditer(part) if not self._is_code(part, m.end())]
+        starts, stops = [0, *(j for _, j in turns)], [*(i for i, _ in turns), len(part)]
+        pieces = [plain(part[i:j]) for i, j in zip(starts, stops)]
+        sizes = np.cumsum([0, *map(len, pieces)]).tolist()
+        own = self.automata[main].ends(pieces)
+        k, odd = 0, False
+        for n in range(1, len(sizes)):
+            while sizes[n] - sizes[k + 1] >= MIN_PART:
+                k += 1
+            odd = odd or sizes[n] - sizes[k] >= MIN_PART and own[n] - own[k] > ODD_RATE * (sizes[n] - sizes[k])
+        if not odd:
+            return []
+        names = [x for x in SCRIPTS["latin" if main in SCRIPTS["latin"] else "han"] if x in self.automata]
+        walked = [own if x == main else self.automata[x].ends(pieces) for x in names]
+        least, back = [0.0] * len(names), []
+        for n in range(len(pieces)):
+            best = min(range(len(names)), key=least.__getitem__)
+            back.append([x if v <= least[best] + CHANGE else best for x, v in enumerate(least)])
+            least = [least[y] + CHANGE * (y != x) + walked[x][n + 1] - walked[x][n] for x, y in enumerate(back[-1])]
+        x, edges = min(range(len(names)), key=least.__getitem__), [len(pieces)]
+        for n in range(len(pieces) - 1, -1, -1):
+            if back[n][x] != x and n:
+                edges.append(n)
+            x = back[n][x]
+        edges = [0, *reversed(edges)]
+        cuts = []
+        for a, n, b in zip(edges, edges[1:], edges[2:]):
+            i, j = stops[n - 1], starts[n]
+            near = min(CONTEXT, i - starts[a], stops[b - 1] - j)
+            (left, k), (right, m) = self.scores(part[i - near : i]), self.scores(part[j : j + near])
+            if k < MIN_PART or m < MIN_PART or min(left, key=left.get) == min(right, key=right.get):
+                continue
+            if self._cost(left, k) + self._cost(right, m) <= MIN_GAIN * self._cost(*self.scores(part[i - near : j + near])):
+                cuts.append((i, j))
+        return cuts
+
+    @staticmethod
+    def _is_code(part: str, at: int) -> bool:
+        code = _CODE.match(part, at)
+        return bool(code) and not _LIST_NUMBER.match(part, at) and code.end() > at + 2
+
     @staticmethod
     def _cost(counts: dict[str, float], size: int) -> float:
         return max(min(counts.values()), 0.01) * size

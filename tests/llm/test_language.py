@@ -89,3 +89,17 @@ def test_accuracy_on_script_languages(spark):
     assert len(rows) > 500
     assert sum(r.label == r.doc_lang for r in rows) / len(rows) > 0.9
 
+
+
+def test_foreign_sentence_behind_many_native_ones():
+    a, b = "The operator must record the result of the test before the next departure", "Der Betreiber muss das Ergebnis der Prüfung eintragen"
+    for n in (3, 5, 10, 100):
+        native = " ".join([a] * n)
+        assert segments(native) == [(native, "en")]
+        assert segments(f"{native} {b}") == [(native, "en"), (b, "de")]
+        assert segments(f"{native} {b} {native}") == [(native, "en"), (b, "de"), (native, "en")]
+
+
+def test_foreign_words_inside_a_sentence_make_no_segment():
+    text = " ".join(["The operator must test the oxygen mask Sauerstoffmaske Prüfung before the next departure"] * 5)
+    assert segments(text) == [(text, "en")]
