@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossierflow.functions.arrowmap import map_rows
+from dossierflow.operators.hierarchy import entry_blocks, interval_blocks
 from dossierflow.operators.nested import NestedSpec, _entries, _load, _text
 
 GRAPH_SCHEMA = "record_id long, kind string, node_id string, other string, relation string, domain string, content_type string, text_size int"
@@ -155,10 +156,11 @@ def document_summary(index: DataFrame) -> DataFrame:
 
 
 def search_with_ancestors(nodes: DataFrame, matched: DataFrame) -> DataFrame:
-    """Nodes (grp, node, path) that match or have a descendant that does.
+    """Nodes (with tour, entry, size) that match or have a descendant that does; `matched` has tour and entry.
 
-    A match's path names all its ancestors, so the closure is one explode and
-    one join, without recursion.
+    A node is wanted if some match's entry lies in its interval: an equi-join on
+    the aligned blocks of the intervals, without recursion.
     """
-    up = matched.select("grp", F.explode(F.split("path", "/")).alias("node")).distinct()
-    return nodes.join(up, ["grp", "node"], "left_semi")
+    blocks = interval_blocks(nodes, F.col("entry"), F.col("entry") + F.col("size") + 1)
+    hit = entry_blocks(matched.select("tour", "entry"), blocks).select("tour", "level", "block").distinct()
+    return blocks.join(hit, ["tour", "level", "block"], "left_semi").select(*nodes.columns).distinct()

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossierflow.session import materialise, n_partitions
@@ -327,12 +327,32 @@ def hierarchy(rows: DataFrame, group: str, node: str, parent: str, order: list,
     return swept.select("grp", "node", F.when(none, F.col("root_node")).otherwise("").alias("root_node"), F.when(none, F.col("depth")).otherwise(-1).alias("depth"), F.when(none, F.col("size")).otherwise(-1).alias("size"), F.when(none, F.col("path")).otherwise("").alias("path"), "role", F.col("root").alias("tour"), "entry")
 
 
-def descendants(nodes: DataFrame, queries: DataFrame, joiner: str = "/") -> DataFrame:
+def interval_blocks(nodes: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """The rows of `nodes` with (level, block): entries [lo, hi) as the fewest aligned blocks of 2^level entries each, at most two a level."""
+    # block numbers covered whole at a level (entries may be negative); one that its pair doesn't complete is not covered a level higher
+    low, high = F.expr("shiftright(_lo + shiftleft(1L, _k) - 1, _k)"), F.expr("shiftright(_hi, _k)")
+    levels = nodes.withColumns({"_lo": lo.cast("long"), "_hi": hi.cast("long")}).where("_lo < _hi").withColumn("_k", F.explode(F.expr("sequence(0, cast(ceil(log2(_hi - _lo + 1)) as int))")))
+    ends = levels.withColumns({"_a": low, "_b": high}).where("_a < _b")
+    blocks = F.array_compact(F.array(F.when(F.col("_a") % 2 != 0, F.col("_a")), F.when(F.col("_b") % 2 != 0, F.col("_b") - 1)))
+    return ends.withColumn("block", F.explode(blocks)).withColumnRenamed("_k", "level").drop("_lo", "_hi", "_a", "_b")
+
+
+def entry_blocks(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The rows of `nodes` with every (level, block) that holds their entry, of the levels that `blocks` uses (some dozens at most)."""
+    return nodes.crossJoin(F.broadcast(blocks.select("level").distinct())).withColumn("block", F.expr("shiftright(entry, level)"))
+
+
+def descendants(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """(grp, ancestor, node, distance) below the nodes of `queries` (grp, node).
 
-    A node's path names its ancestors, so the pairs come from an explode and an
-    equi-join with the queries; nothing is compared within a tree.
+    The intervals of the asked nodes are cut into aligned blocks of entries and
+    met there by the nodes inside, in an equi-join that gives each pair once;
+    nothing is compared within a tree.
     """
-    up = nodes.where("role = 'none'").select("grp", "node", "depth", F.posexplode(F.slice(F.split("path", joiner), 1, F.col("depth").cast("int") - 1)).alias("k", "ancestor"))
-    asked = queries.select("grp", F.col("node").alias("ancestor")).distinct()
-    return up.join(asked, ["grp", "ancestor"]).select("grp", "ancestor", "node", (F.col("depth") - F.col("k") - 1).alias("distance"))
+    nodes = nodes.where("role = 'none'").select("grp", "node", "depth", "size", "tour", "entry")
+    asked = queries.select(F.col("grp").alias("asked_grp"), F.col("node").alias("ancestor")).distinct()
+    known = nodes.where("size > 0").withColumnRenamed("depth", "top")
+    known = known.join(asked, known["grp"].eqNullSafe(asked["asked_grp"]) & (known["node"] == asked["ancestor"])).select("tour", "ancestor", "top", "entry", "size")
+    blocks = interval_blocks(known, F.col("entry") + 1, F.col("entry") + F.col("size") + 1).drop("entry", "size")
+    inside = entry_blocks(nodes.select("grp", "node", "depth", "tour", "entry"), blocks)
+    return inside.join(blocks, ["tour", "level", "block"]).select("grp", "ancestor", "node", (F.col("depth") - F.col("top")).alias("distance"))

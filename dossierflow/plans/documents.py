@@ -89,7 +89,7 @@ up AS (SELECT doc_uuid, node_id, parent FROM live WHERE contains(lower(heading),
 SELECT doc_uuid, node_id FROM up""")
 def subtree_search(spark, d):
     """Nodes that match a word or have a descendant that does."""
-    tree = section_tree(spark, d).where("role = 'none'").select("grp", "node", "path")
+    tree = section_tree(spark, d).where("role = 'none'").select("grp", "node", "tour", "entry", "size")
     s = table(spark, d, "sections", "doc_uuid", "node_id", "heading", "updated_at", "id").withColumn("node", X.ustrip(F.col("node_id")))
     last = O.last_per_key(s.withColumnRenamed("doc_uuid", "grp"), ["grp", "node"], ["updated_at", "id"], ["heading"])
     hits = last.where(F.lower("heading").contains("fuel")).join(tree, ["grp", "node"])

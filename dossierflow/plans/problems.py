@@ -52,6 +52,14 @@ def p1_tables(spark: SparkSession, data_dir: str) -> DataFrame:
     return shred(records, analyse(records)).withColumn("columns", F.to_json("columns"))
 
 
+@problems.query("p2_intervals")
+def p2_intervals(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Entry intervals of every node: its descendants are the nodes of its tour whose entry lies in (entry, entry + n_descendants]."""
+    rows = table(spark, data_dir, "sections", "id", "doc_uuid", "node_id", "parent_node_id", "updated_at")
+    h = hierarchy(rows, "doc_uuid", "node_id", "parent_node_id", [F.col("updated_at"), F.col("id")])
+    return h.select(F.col("grp").alias("doc_uuid"), F.col("node").alias("node_id"), "tour", "entry", F.col("size").alias("n_descendants"), "depth", F.col("role").alias("cycle_role"))
+
+
 P2_BELOW = f"""{P2_SQL[: P2_SQL.index("d AS (")].rstrip().rstrip(",")}, q AS (SELECT DISTINCT doc_uuid, {ustrip('node_id')} AS node_id FROM sections WHERE id % 100 = 0),
 p AS (SELECT doc_uuid, node_id AS descendant_id, unnest(chain[1:depth - 1]) AS node_id, depth - generate_subscripts(chain[1:depth - 1], 1) AS distance FROM t WHERE depth > 1)
 SELECT p.doc_uuid, p.node_id, p.descendant_id, p.distance::BIGINT AS distance FROM p JOIN q USING (doc_uuid, node_id)"""

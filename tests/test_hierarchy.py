@@ -8,6 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossierflow.operators import hierarchy as H
+from dossierflow.operators.graph import search_with_ancestors
+from dossierflow.plans.problems import problems
+from tests.conftest import DATA, needs_data
 
 
 def brute(rows):
@@ -101,3 +104,40 @@ def test_intervals_and_descendants(spark):
     assert by_interval == set(below) and below
     got = {(r.grp, r.ancestor, r.node): r.distance for r in H.descendants(h, h.select("grp", "node")).collect()}
     assert got == below
+
+
+def test_ids_that_hold_the_joiner(spark):
+    links = {"a/b": None, "a": "a/b", "c/d/e": "a", "f": "c/d/e", "g": "a", "h": None}
+    rows = [(g, n, p, 0) for g in ("x/y", None) for n, p in links.items()]
+    h = H.hierarchy(spark.createDataFrame(rows, "g string, n string, p string, t int"), "g", "n", "p", [F.col("t")], partitions=3)
+    below = {("a/b", "a", 1), ("a/b", "c/d/e", 2), ("a/b", "g", 2), ("a/b", "f", 3), ("a", "c/d/e", 1), ("a", "g", 1), ("a", "f", 2), ("c/d/e", "f", 1)}
+    got = [tuple(r) for r in H.descendants(h, h.select("grp", "node")).select("grp", "ancestor", "node", "distance").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(g, *x) for g in ("x/y", None) for x in below}
+    found = search_with_ancestors(h.where("role = 'none'"), h.where("node = 'f'"))
+    assert sorted((str(r.grp), r.node) for r in found.collect()) == sorted((g, n) for g in ("x/y", "None") for n in ("a/b", "a", "c/d/e", "f"))
+
+
+def test_intervals_as_blocks(spark):
+    cases = [(a, b) for a in range(-20, 20) for b in range(a, 25)] + [(2**40 - 3, 2**40 + 5)]
+    got = {c: [] for c in cases}
+    for r in H.interval_blocks(spark.createDataFrame(cases, "a long, b long"), F.col("a"), F.col("b")).collect():
+        got[r.a, r.b] += range(r.block << r.level, r.block + 1 << r.level)
+    assert all(sorted(x) == list(range(a, b)) for (a, b), x in got.items())
+
+
+@needs_data
+def test_intervals_of_every_node(spark):
+    q = problems.plans
+    nodes = q["p2_intervals"](spark, str(DATA)).collect()
+    found = {(r.doc_uuid, r.node_id): r for r in q["p2_found"](spark, str(DATA)).collect()}
+    assert len(nodes) == len(found)
+    tours = {}
+    for r in nodes:
+        assert (r.n_descendants, r.depth, r.cycle_role) == (found[r.doc_uuid, r.node_id].n_descendants, found[r.doc_uuid, r.node_id].depth, found[r.doc_uuid, r.node_id].cycle_role)
+        if r.cycle_role == "none":
+            tours.setdefault(r.tour, []).append(r)
+    for rows in tours.values():
+        for a in rows:
+            below = {b.node_id for b in rows if a.entry < b.entry <= a.entry + a.n_descendants}
+            path = found[a.doc_uuid, a.node_id].node_path + "/"
+            assert below == {b.node_id for b in rows if found[b.doc_uuid, b.node_id].node_path.startswith(path)}
