@@ -26,6 +26,9 @@ METRIC_CODES = {"grounding": "Grd", "jaccard": "Jac", "rouge1": "R1", "rouge2":
 #: Tokens before a full stop that don't end a reference sentence (fixed values).
 ABBREVIATIONS = frozenset("""e.g i.e eg ie etc vs viz cf al no nos fig figs eq eqs ref refs sec secs art arts para paras reg regs ch chap pt pts pp vol vols ed eds
 approx ca incl excl min max avg std est mr mrs ms dr prof sr jr st rev inc ltd co corp dept univ govt assn u.s u.k e.u u.n no.s""".split())
+#: Letters of elements per automaton.
+BLOCK_LETTERS = 1_000_000
+_CACHE: dict[int, object] = {}
 _BOUNDARY = re.compile(r"([.!?][\"'”’)\]]?)(\s+)")
 _TOKEN_BEFORE = re.compile(r"[A-Za-z]+(?:\.[A-Za-z]+)*$")
 
@@ -117,14 +120,59 @@ def with_average_row(df: DataFrame, label: str, numbers: list[str]) -> DataFrame
 
 
 def grounded_uniques(uniques: DataFrame, rows: DataFrame) -> DataFrame:
-    """Adds to each (column_name, element) whether some reference of its column's rows holds it.
+    """Adds to each (column_name, element) whether some reference of the rows holds it, be it of another cell or column.
 
-    An element is looked for in the references of the cells it comes from; only
-    what is not found there would need the other texts, and is reported false.
+    An element is looked for in the references of the cells it comes from; what
+    is not found there is searched in all distinct references by `found_anywhere`.
     """
     items = exploded_items(rows, ["column_name", "reference"]).select("column_name", F.col("item").alias("element"), X.grounded(F.col("item"), F.col("reference")).alias("g"))
-    hit = items.groupBy("column_name", "element").agg(F.max("g").alias("is_grounded"))
-    return uniques.join(hit, ["column_name", "element"], "left").withColumn("is_grounded", F.coalesce("is_grounded", F.lit(False)))
+    own = uniques.join(items.groupBy("column_name", "element").agg(F.max("g").alias("own")), ["column_name", "element"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    there = found_anywhere(own.where("not own").select("element").distinct(), rows.select("reference")).withColumn("there", F.lit(True))
+    return own.join(there, "element", "left").select(*uniques.columns, (F.col("own") | F.coalesce("there", F.lit(False))).alias("is_grounded"))
+
+
+def found_anywhere(elements: DataFrame, references: DataFrame) -> DataFrame:
+    """The distinct elements (element) that some text of `references` (reference) holds, letter case and white space aside.
+
+    Automata over blocks of a bounded number of the elements' letters run along
+    each distinct text, as in lower case and without white space. A passage
+    that runs on from one text into another doesn't count.
+    """
+    forms = lambda c: [F.lower(c), X.squash_ws(F.col(c))]
+    texts = references.where("reference != ''").select("reference").distinct().select(*forms("reference"))
+    found, block, size = None, [], 0
+
+    def scan(part: list[tuple[str, str, str]]) -> DataFrame:
+        def setup() -> list:
+            key = hash(tuple(part))
+            if key not in _CACHE:
+                import ahocorasick
+
+                _CACHE.clear()
+                _CACHE[key] = [ahocorasick.Automaton(), ahocorasick.Automaton()]
+                for k, a in enumerate(_CACHE[key], 1):
+                    for x in part:
+                        if x[k]:
+                            a.add_word(x[k], [*a.get(x[k], []), x[0]])
+                    if len(a):
+                        a.make_automaton()
+            return _CACHE[key]
+
+        def hits(automata: list, *text: str) -> Iterator[tuple]:
+            yield from ((e,) for e in {e for a, t in zip(automata, text) if len(a) for _, held in a.iter(t) for e in held})
+
+        return map_rows(texts, hits, "element string", setup)
+
+    for r in elements.where("element != ''").select("element", *forms("element")).distinct().toLocalIterator():
+        block.append(tuple(r))
+        size += len(r[0])
+        if size >= BLOCK_LETTERS:
+            part = scan(block)
+            found, block, size = part if found is None else found.unionAll(part), [], 0
+    if block or found is None:
+        part = scan(block)
+        found = part if found is None else found.unionAll(part)
+    return found.distinct()
 
 
 def pivot_sheet(rows: DataFrame, columns: list[str]) -> DataFrame:

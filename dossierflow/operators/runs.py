@@ -90,5 +90,4 @@ def unique_sheet(rows: DataFrame, order: str = "row_id") -> DataFrame:
     """Unique elements of every column of a run with counts, and whether they are grounded."""
     wide = rows.select(order, "column_name", "cell", "reference")
     u = unique_elements(wide.withColumn("element_source", F.col("cell")), order, ["element_source"]).select("element", "n")
-    hits = E.exploded_items(wide, ["reference"]).groupBy("item").agg(F.max(X.grounded(F.col("item"), F.col("reference"))).alias("is_grounded"))
-    return u.join(hits, u["element"] == hits["item"], "left").select("element", "n", "is_grounded")
+    return E.grounded_uniques(u.withColumn("column_name", F.lit("")), wide.withColumn("column_name", F.lit(""))).select("element", "n", "is_grounded")
