@@ -114,11 +114,29 @@ def orphan_nodes(spark, d):
 
 @documents.query("xml_packages", f"SELECT id, {S.ustrip('heading')} AS title, {S.ustrip('text')} AS text_content, 1 AS n_links FROM sections WHERE {S.ustrip('heading')} <> '' AND {S.ustrip('text')} <> '' AND regexp_full_match(heading, '[\\x20-\\x7e]+') AND regexp_full_match(text, '[\\x20-\\x7e]+')")
 def xml_packages(spark, d):
-    """Sections printed as XML packages and read back."""
-    esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    """Sections printed as XML packages and read back; rows where the twin agrees, all are in `xml_packages_all`."""
     s = table(spark, d, "sections", "id", "heading", "text")
-    plain = lambda c: (X.ustrip(F.col(c)) != "") & F.col(c).rlike(r"^[\x20-\x7e]+$")
-    s = s.where(plain("heading") & plain("text"))
+    plain = lambda c: F.col(c).rlike(r"^[\x20-\x7e]+$")
+    return _packages(s.where(plain("heading") & plain("text")))
+
+
+@documents.query("xml_packages_all")
+def xml_packages_all(spark, d):
+    """Every section with heading and text printed as an XML package and read back."""
+    return _packages(table(spark, d, "sections", "id", "heading", "text"))
+
+
+def _packages(s):
+    # what no XML can hold is left out; line breaks and tabs are escaped, as attributes would lose them
+    legal = lambda c: F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]", "")
+    s = s.select("id", legal("heading").alias("heading"), legal("text").alias("text"))
+
+    def esc(c):
+        for x, y in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+            c = F.replace(c, F.lit(x), F.lit(y))
+        return c
+
+    s = s.where((X.ustrip(F.col("heading")) != "") & (X.ustrip(F.col("text")) != ""))
     xml = F.concat(F.lit('<package xmlns:w="w" xmlns:r="r"><part name="/word/_rels/document.xml.rels"><Relationship Id="r1" Target="other.html"/></part><part name="/rules.xml"><document guid="g"><topic sdt-id="7" source-title="'), esc(F.col("heading")), F.lit('"/></document></part><part name="/word/document.xml"><w:sdt><w:sdtPr><w:id w:val="7"/></w:sdtPr><w:p><w:t>'), esc(F.col("text")), F.lit('</w:t><w:hyperlink r:id="r1"><w:t>'), esc(F.col("text")), F.lit("</w:t></w:hyperlink></w:p></w:sdt></part></package>"))
     facts = xmlpackage.archive_facts(s.select(F.col("id").cast("string").alias("path"), F.encode(xml, "UTF-8").alias("content")), zipped=False)
     n = xmlpackage.nodes(facts)
@@ -369,10 +387,20 @@ def refined_headings(spark, d):
 
 @documents.query("model_toc", f"SELECT id, {S.ustrip('heading')} AS title, CAST(ordinal % 20000 AS INTEGER) AS raw FROM sections WHERE regexp_full_match(heading, '[A-Za-z0-9 ,.()-]+') AND {S.ustrip('heading')} <> ''")
 def model_toc(spark, d):
-    """Contents entries out of replies that wrap a JSON list in prose."""
-    s = table(spark, d, "sections", "id", "heading", "ordinal").where(F.col("heading").rlike(r"^[A-Za-z0-9 ,.()\-]+$"))
+    """Contents entries out of replies that wrap a JSON list in prose; rows where the twin agrees, all are in `model_toc_all`."""
+    return _reply_entries(table(spark, d, "sections", "id", "heading", "ordinal").where(F.col("heading").rlike(r"^[A-Za-z0-9 ,.()\-]+$")))
+
+
+@documents.query("model_toc_all")
+def model_toc_all(spark, d):
+    """Contents entries of every heading out of replies that wrap a JSON list in prose."""
+    return _reply_entries(table(spark, d, "sections", "id", "heading", "ordinal").where("heading is not null"))
+
+
+def _reply_entries(s):
     page = F.col("ordinal") % 20000
-    reply = F.concat(F.lit('Here it is: [{"heading": "'), F.col("heading"), F.lit('", "page": "'), (page + 1).cast("string"), F.lit('"}] as asked.'))
+    entries = F.array(F.struct("heading", (page + 1).cast("string").alias("page")))
+    reply = F.concat(F.lit("Here it is: "), F.to_json(entries), F.lit(" as asked."))
     e = s.select("id", page.cast("int").alias("raw"), F.explode(L.toc_from_reply(reply)).alias("e"))
     return e.select("id", F.col("e.title").alias("title"), "raw")
 

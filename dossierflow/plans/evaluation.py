@@ -146,6 +146,13 @@ def levenshtein_ascii(spark, d):
     return e.where(ascii_("item") & ascii_("best_ref_sentence")).select(F.col("item_row_id").alias("row_id"), F.levenshtein("item", "best_ref_sentence").cast("long").alias("distance"))
 
 
+@evaluation.query("levenshtein_all")
+def levenshtein_all(spark, d):
+    """Edit distance in characters of every pair, in any script; DuckDB counts bytes."""
+    e = table(spark, d, "eval_items", "item_row_id", "item", "best_ref_sentence").where("item is not null and best_ref_sentence is not null")
+    return e.select(F.col("item_row_id").alias("row_id"), F.levenshtein("item", "best_ref_sentence").cast("long").alias("distance"))
+
+
 @evaluation.query("best_sentence", f"""WITH {REFERENCED}, i AS (SELECT row_id, doc_uuid, section_ordinal, unnest(l) AS item, CAST(generate_subscripts(l, 1) AS INTEGER) AS item_no FROM (SELECT row_id, doc_uuid, section_ordinal, {SPLIT('cell')} AS l FROM refd)),
 t AS (SELECT DISTINCT doc_uuid, section_ordinal, reference FROM refd WHERE reference <> ''),
 s AS (SELECT doc_uuid, section_ordinal, unnest(string_split(reference, '. ')) AS sentence, CAST(generate_subscripts(string_split(reference, '. '), 1) AS INTEGER) AS sentence_no FROM t),

@@ -94,8 +94,17 @@ def latest_attributes(spark, d):
 
 @layouts.query("reply_lists", "SELECT item_row_id, array_to_string(list_filter(list_transform(string_split(item, ';'), lambda x: trim(x)), lambda x: x <> ''), ' ¦ ') AS items FROM eval_items WHERE regexp_full_match(item, '[A-Za-z0-9 ;.%]+')")
 def reply_lists(spark, d):
-    """Lists out of replies that wrap them in prose."""
-    e = table(spark, d, "eval_items", "item_row_id", "item").where(F.col("item").rlike(r"^[A-Za-z0-9 ;.%]+\z"))
+    """Lists out of replies that wrap them in prose; rows where the twin agrees, all are in `reply_lists_all`."""
+    return _reply_items(table(spark, d, "eval_items", "item_row_id", "item").where(F.col("item").rlike(r"^[A-Za-z0-9 ;.%]+\z")))
+
+
+@layouts.query("reply_lists_all")
+def reply_lists_all(spark, d):
+    """Lists of every cell out of replies that wrap them in prose."""
+    return _reply_items(table(spark, d, "eval_items", "item_row_id", "item").where("item is not null"))
+
+
+def _reply_items(e):
     reply = F.concat(F.lit("Sure: "), F.to_json(F.split("item", ";")), F.lit(" - done"))
     return e.select("item_row_id", F.array_join(Y.string_list_from_reply(reply), " ¦ ").alias("items"))
 
