@@ -266,6 +266,36 @@ def bare_rule_match(spark, d):
     return R.match_bare(v, "value", t, "title").select("value", F.md5("title").alias("section"), "how")
 
 
+def _values(spark, d):
+    return table(spark, d, "eval_items", "item").select(F.explode(F.split("item", ";")).alias("value")).select(F.trim("value").alias("value"))
+
+
+def _titles(spark, d):
+    """Section texts, which the queries of this group take as titles, and headings."""
+    s = table(spark, d, "sections", "heading", "text")
+    return s.select(F.explode(F.array("heading", "text")).alias("title")).where("title is not null").distinct()
+
+
+@evaluation.query("bare_rule_match_all")
+def bare_rule_match_all(spark, d):
+    """Values that are bare rule numbers of any form against the section titles that hold the number."""
+    return R.match_bare(_values(spark, d).distinct(), "value", _titles(spark, d), "title")
+
+
+@evaluation.query("title_substrings")
+def title_substrings(spark, d):
+    """Values and section titles of which one holds the other."""
+    return R.match_titles(_values(spark, d), "value", _titles(spark, d), "title")
+
+
+@evaluation.query("section_tally_all")
+def section_tally_all(spark, d):
+    """Occurrences and values of every section title by all three paths of reference matching, in order."""
+    u = _values(spark, d)
+    n = u.where("value != ''").groupBy("value").agg(F.count("*").alias("n"))
+    return R.section_tally(R.match_sections(n, "value", _titles(spark, d), "title").select("value", "title").distinct(), n)
+
+
 SOURCES = f"""WITH u AS (SELECT unnest({SPLIT('item')}) AS value, section_title FROM eval_items WHERE column_name = 'References'),
 s AS (SELECT DISTINCT lower({S.ustrip('value')}) AS k, section_title FROM u WHERE {S.ustrip('section_title')} <> ''), n AS (SELECT value, count(*) AS n FROM u GROUP BY 1)"""
 
