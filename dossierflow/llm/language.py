@@ -78,7 +78,7 @@ CONTEXT, MIN_GAIN = 400, 0.7
 #: Phrases that a change of language inside a sentence must save to be tried.
 CHANGE = 2
 
-_MARKUP = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|&[a-zA-Z]{2,8};")
+_MARKUP = re.compile(r"</?[A-Za-z!][^<>]*>|&[a-zA-Z]{2,8};")
 _BLOCK_TAG = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|blockquote)\b", re.IGNORECASE)
 _BREAK = re.compile(r"(?<=\w)-\s*\n\s*(?=\w)")
 _CODE = re.compile(r"\b[A-Z]{2,4}\d? (?=\d)|https?://\S+|(?<![A-Za-z0-9.,()/:%+\-])[A-Za-z.,()/:%+\-]*[0-9][A-Za-z0-9.,()/:%+\-]*")

@@ -31,9 +31,10 @@ LEAK_SCHEMA = "doc_id long, item_id long, n_units int, start_char int, end_char
 
 #: Letters of items per automaton, about 60 bytes each in a worker.
 BLOCK_LETTERS = 1_000_000
+# a tag is sought up to the next angle bracket, so that stray ones cost no more than the text is long
 _WORD = re.compile(r"[^\W_]+")
-_SKIP = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|&(?:[a-zA-Z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,6});|[­​‌‍⁠﻿]+|-[^\S\n]*\r?\n\s*")
-_MARKUP = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|&(?:[a-zA-Z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,6});")
+_SKIP = re.compile(r"</?[A-Za-z!][^<>]*>|&(?:[a-zA-Z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,6});|[­​‌‍⁠﻿]+|-[^\S\n]*\r?\n\s*")
+_MARKUP = re.compile(r"</?[A-Za-z!][^<>]*>|&(?:[a-zA-Z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,6});")
 
 
 def letters(text: str) -> str:

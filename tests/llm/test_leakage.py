@@ -73,3 +73,12 @@ def test_operator(spark):
     items = spark.createDataFrame([(7, "en", ITEM), (8, None, ITEM), (9, "en", None), (10, "en", "a b")], "item_id long, lang string, text string")
     assert sorted({(r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()}) == [(1, 7), (1, 8), (4, 7), (4, 8)]
     assert find_leaks(docs.limit(0), items).collect() == [] and find_leaks(docs, items.limit(0)).collect() == []
+
+
+def test_tags_of_any_length():
+    words = WORDS[:12]
+    for size in (10, 400, 50_000):
+        text = " ".join(words[:6]) + f' <a href="{"x" * size}">' + " ".join(words[6:])
+        assert brute([(1, text)], [(7, " ".join(words))], 12) == {(1, 7)}
+        assert set(LeakIndex([(7, " ".join(words), False)], 12, 24).leaks(text)) == {7}
+    assert LeakIndex([(7, " ".join(words), False)], 12, 24).leaks("<a" * 200_000 + " " + " ".join(words)) != {}
