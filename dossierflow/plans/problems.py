@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossierflow.operators.hierarchy import descendants, hierarchy
 from dossierflow.operators.multivalue import CellGrammar, split_cells
-from dossierflow.operators.nested import analyse, hierarchy_rows, schema_edges, shred
+from dossierflow.operators.nested import analyse, flat_table, hierarchy_rows, schema_edges, shred
 from dossierflow.plans.registry import Registry
 from dossierflow.plans.sqltext import ustrip
 from dossierflow.sources.tables import table
@@ -52,6 +52,34 @@ def p1_tables(spark: SparkSession, data_dir: str) -> DataFrame:
     return shred(records, analyse(records)).withColumn("columns", F.to_json("columns"))
 
 
+def _flat(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
+    """One flat table; its rows name their record, their node and the node above it."""
+    records = table(spark, data_dir, "structured_json", "record_id", "payload")
+    graph = analyse(records)
+    own = flat_table(shred(records, graph), graph, name).where(F.col("parent_table").isin("record", "node"))
+    above = lambda c: F.when(c.contains("."), F.regexp_replace(c, r"\.[^.]+$", ""))
+    node = F.col("path") if name == "node" else above(F.col("path"))
+    return own.withColumns({"node_path": node, "parent_node_path": above(node)})
+
+
+@problems.query("p1_nodes")
+def p1_nodes(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Flat table of nodes, inlined fields as typed columns."""
+    return _flat(spark, data_dir, "node").drop("name", "value")
+
+
+@problems.query("p1_attributes")
+def p1_attributes(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Flat table of the nodes' attributes."""
+    return _flat(spark, data_dir, "attribute")
+
+
+@problems.query("p1_images")
+def p1_images(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Flat table of the nodes' images."""
+    return _flat(spark, data_dir, "image")
+
+
 @problems.query("p2_intervals")
 def p2_intervals(spark: SparkSession, data_dir: str) -> DataFrame:
     """Entry intervals of every node: its descendants are the nodes of its tour whose entry lies in (entry, entry + n_descendants]."""
