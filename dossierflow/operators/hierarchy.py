@@ -15,9 +15,11 @@ Rows (group, node, parent) form trees of unknown depth, possibly with circles.
    of descendants. Sweeping the nodes in entry order yields the paths: the
    ancestors of a partition's first node are those whose interval spans it.
 
-No step holds a whole group in one task. What crosses blocks is ranked in one
-task only while it is at most `bound` rows, beyond that by pointer jumping
-over the cluster, whose rounds grow with the logarithm of the rows.
+No step holds a whole group in one task: the number of blocks follows from the
+counted rows, so that a block has about ROWS_PER_BLOCK of them at any size.
+What crosses blocks is ranked in one task only while it is at most `bound`
+rows, beyond that by pointer jumping over the cluster, whose rounds grow with
+the logarithm of the rows.
 
 Edge cases: a null, blank or unknown parent makes a root; spaces around ids do
 not belong to them; of several rows of one node the last by `order` counts;
@@ -38,6 +40,8 @@ from dossierflow.session import materialise, n_partitions
 
 #: Rows that one task may rank or peel alone (16 to 48 bytes each).
 BOUND = 2_000_000
+#: Rows that a block aims at; a Python worker holds one block at a time, some 100 bytes a row.
+ROWS_PER_BLOCK = 500_000
 #: Ancestors of the partitions' first nodes that may be broadcast.
 OPENING = 200_000
 _BLOCK = 33  # monotonically_increasing_id() has the partition above this bit
@@ -302,7 +306,7 @@ def _sweep_together(own: pd.DataFrame, above: pd.DataFrame, joiner: str) -> pd.D
     return state.paths(own, [first if i == 0 and first else None for i in range(len(own))])
 
 
-def hierarchy(rows: DataFrame, group: str, node: str, parent: str, order: list, bound: int = BOUND, partitions: int | None = None) -> DataFrame:
+def hierarchy(rows: DataFrame, group: str, node: str, parent: str, order: list, bound: int = BOUND, partitions: int | None = None, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """grp, node, root_node, depth, size, path, role, tour, entry of every node.
 
     The descendants of a node are those with the same `tour` whose `entry` lies
@@ -311,8 +315,12 @@ def hierarchy(rows: DataFrame, group: str, node: str, parent: str, order: list,
     role is `none` in a tree, `on` for a node of a circle and `below` for one
     that hangs on a circle; for the last two root_node and path are '' and depth
     and size -1. `order` decides which of several rows of a node counts.
+
+    `rows` is counted first (for a table, from its files' footers); there are
+    at least `partitions` blocks, and more as soon as that many would hold more
+    than `rows_per_block` rows each. The steps run while the plan is made.
     """
-    p = partitions or n_partitions(rows.sparkSession)
+    p = max(partitions or n_partitions(rows.sparkSession), -(-rows.count() // rows_per_block))
     nodes = number_nodes(rows, group, node, parent, order, p)
     links = materialise(link_parents(nodes))
     circles = circle_nodes(links, bound).withColumn("circle", F.lit(True))
