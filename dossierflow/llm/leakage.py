@@ -8,12 +8,15 @@ both directions, letter by letter, and counts if n whole words agree; at a
 hyphen at a line's end a word may go on or end. For scripts without spaces
 the unit is the letter.
 
-The items are a stated query set: they are taken in blocks of a bounded number
-of letters, one automaton each, and run against all documents, whole texts.
+The items are a stated query set, held by the driver and by every Python
+worker: one automaton over all of them scans each text once. Only a set of
+more than SCAN_LETTERS letters is taken in several such scans, so that an
+automaton fits in a worker; the rows are the same.
 
 Edge cases: null or blank texts match nothing, nor do items with fewer than n
-words; equal items under several ids are all reported; repeated documents are
-reported each; an empty table gives an empty result.
+words; equal items under several ids are all reported; a passage that stands
+twice in a document is reported twice; repeated documents are reported each; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from pyspark.sql import functions as F
 
 from dossierflow.functions.arrowmap import map_rows, spread
 
-LEAK_SCHEMA = "doc_id long, item_id long, n_units int, start_char int, end_char int"
+LEAK_SCHEMA = "doc_id long, item_id long, passage_no int, n_units int, start_char int, end_char int"
 
-#: Letters of items per automaton, about 60 bytes each in a worker.
-BLOCK_LETTERS = 1_000_000
+#: Letters of items that one automaton takes, about 60 bytes each in a worker.
+SCAN_LETTERS = 4_000_000
 # a tag is sought up to the next angle bracket, so that stray ones cost no more than the text is long
 _WORD = re.compile(r"[^\W_]+")
 _SKIP = re.compile(r"</?[A-Za-z!][^<>]*>|&(?:[a-zA-Z]{2,8}|#\d{1,6}|#x[0-9a-fA-F]{1,6});|[­​‌‍⁠﻿]+|-[^\S\n]*\r?\n\s*")
@@ -116,63 +119,65 @@ class LeakIndex:
             self.automaton.make_automaton()
         self.empty = not found
 
-    def leaks(self, text: str) -> dict[int, tuple[int, int, int]]:
-        """item_id -> (units, start, end) of its longest run in the text."""
+    def leaks(self, text: str) -> dict[int, list[tuple[int, int, int]]]:
+        """item_id -> (units, start, end) of every passage of it in the text, in order."""
         if self.empty:
             return {}
         hits = list(self.automaton.iter(letters(text)))
         if not hits:
             return {}
         stream = Stream(text)
-        s, best, done = stream.text, {}, set()
+        s, found, done = stream.text, {}, set()
         if s != letters(text):
             hits = list(self.automaton.iter(s))
         for last, (size, places) in hits:
             first = last - size + 1
             for k, at in places:
                 item_id, t, starts, by_letter = self.items[k]
-                if (k, first - at, at) in done:
+                shift = first - at
+                if (k, shift, at) in done:
                     continue
                 a, b = 0, size
                 while first + a > 0 and at + a > 0 and s[first + a - 1] == t[at + a - 1]:
                     a -= 1
                 while first + b < len(s) and at + b < len(t) and s[first + b] == t[at + b]:
                     b += 1
-                shift = first - at
                 lo, hi = at + a, at + b
                 done.update((k, shift, x) for x in starts[bisect_left(starts, lo) : bisect_left(starts, hi)])
-                run = self._run(stream, starts, shift, lo, hi, by_letter)
-                if run and run[0] >= self.need[k] and run[0] > best.get(item_id, (0,))[0]:
-                    best[item_id] = (run[0], stream.offsets[run[1] + shift], stream.offsets[run[2] + shift - 1] + 1)
-        return best
+                for n, x, y in self._runs(stream, starts, shift, lo, hi, by_letter):
+                    if n >= self.need[k]:
+                        found.setdefault(item_id, set()).add((n, stream.offsets[x + shift], stream.offsets[y + shift - 1] + 1))
+        return {item_id: sorted(v, key=lambda p: p[1:]) for item_id, v in found.items()}
 
     @staticmethod
-    def _run(stream: Stream, starts: list[int], shift: int, lo: int, hi: int, by_letter: bool) -> tuple[int, int, int] | None:
-        """Longest run of whole units in item letters [lo, hi) whose boundaries agree."""
+    def _runs(stream: Stream, starts: list[int], shift: int, lo: int, hi: int, by_letter: bool) -> Iterator[tuple[int, int, int]]:
+        """Runs of whole units in item letters [lo, hi) whose boundaries agree: (units, first letter, end)."""
         if by_letter:
-            return hi - lo, lo, hi
-        best, begun = None, None
+            yield hi - lo, lo, hi
+            return
+        begun = None
         i = bisect_left(starts, lo)
         while i + 1 < len(starts) and starts[i + 1] <= hi:
             a, b = starts[i] + shift, starts[i + 1] + shift
             whole = (a in stream.hard or a in stream.soft) and (b in stream.hard or b in stream.soft) and not any(x in stream.hard for x in range(a + 1, b))
             if whole:
                 begun = i if begun is None else begun
-                if best is None or i + 1 - begun > best[0]:
-                    best = (i + 1 - begun, starts[begun], starts[i + 1])
-            else:
+            elif begun is not None:
+                yield i - begun, starts[begun], starts[i]
                 begun = None
             i += 1
-        return best
+        if begun is not None:
+            yield i - begun, starts[begun], starts[i]
 
 
 _CACHE: dict[int, LeakIndex] = {}
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, n_words: int = 12, n_letters: int = 24, letter_langs: tuple[str, ...] = ("ja", "zh", "th")) -> DataFrame:
-    """Each (doc_id, item_id) whose document holds n consecutive words of the item, with the longest run's place.
+def find_leaks(documents: DataFrame, items: DataFrame, n_words: int = 12, n_letters: int = 24, letter_langs: tuple[str, ...] = ("ja",), scan_letters: int = SCAN_LETTERS) -> DataFrame:
+    """Every passage of n consecutive words or more of an item in a document: (doc_id, item_id, passage_no, n_units, start_char, end_char).
 
-    Needs documents (doc_id, text) and items (item_id, lang, text).
+    Needs documents (doc_id, text) and items (item_id, lang, text). In items of
+    `letter_langs` the unit is the letter.
     """
     docs = spread(documents).select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull())
     result, block, size = None, [], 0
@@ -188,18 +193,24 @@ def find_leaks(documents: DataFrame, items: DataFrame, n_words: int = 12, n_lett
             return _CACHE[key]
 
         def rows(index: LeakIndex, doc_id: int, text: str) -> Iterator[tuple]:
-            for item_id, (n, a, b) in index.leaks(text).items():
-                yield doc_id, item_id, n, a, b
+            for item_id, passages in index.leaks(text).items():
+                for no, (n, a, b) in enumerate(passages, 1):
+                    yield doc_id, item_id, no, n, a, b
 
         return map_rows(docs, rows, LEAK_SCHEMA, setup)
 
     for r in items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text", F.coalesce(F.lower("lang").isin(*letter_langs), F.lit(False)).alias("by_letter")).distinct().toLocalIterator():
         block.append((r["item_id"], r["text"], r["by_letter"]))
         size += len(r["text"])
-        if size >= BLOCK_LETTERS:
+        if size >= scan_letters:
             part = scan(block)
             result, block, size = part if result is None else result.unionAll(part), [], 0
     if block or result is None:
         part = scan(block)
         result = part if result is None else result.unionAll(part)
     return result
+
+
+def leaked_items(passages: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of the passages, once for each scanned document and item."""
+    return passages.where(F.col("passage_no") == 1).select("doc_id", "item_id")

@@ -10,7 +10,10 @@ The blocks drawn are dealt to output shards by a splitting tree: at each node
 the counts by source of one half are a multivariate hypergeometric draw from
 those of the whole, so every shard gets an exact quota of each source's blocks.
 Blocks are disjoint, and each shard is shuffled on its own. The driver only
-holds counts by source and block, whose number is a parameter.
+holds counts by source and block, whose number is a parameter. The block that
+meets a quota's rest is cut on the executors: into sub-blocks of about
+BLOCK_ROWS rows each, of which whole ones are taken as long as they fit, so
+that only one sub-block is put in order, whatever the size of the source.
 
 Edge cases: targets whose source has no documents are reported with share 0
 and their weight goes to the others in proportion; documents of sources
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 from dossierflow.llm.tokens import DEFAULT_RANKS, with_token_counts
 from dossierflow.session import materialise
 
-#: Rows per block aimed at, and the most blocks a source may have.
-BLOCK_ROWS, MAX_BLOCKS, MAX_TARGETS = 2_000, 4_096, 10_000
+#: Rows per block aimed at, and the most blocks of all sources together (but for the few that every shard needs).
+BLOCK_ROWS, MAX_BLOCKS = 2_000, 65_536
 #: Drawn blocks up to which their table is broadcast.
 MAX_BROADCAST = 500_000
 
@@ -108,6 +111,29 @@ def plan_mixes(targets: list[tuple], blocks: dict[str, list[tuple[int, int, int]
     return MixPlan(picks, shares)
 
 
+DRAWN = ("mix_name", "source", "doc_id", "n_tokens", "draw", "shard")
+
+
+def cut_to_rest(drawn: DataFrame, seed: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows of partly drawn blocks in a random order up to the tokens of their `rest`.
+
+    A block is divided by a hash into sub-blocks of about block_rows rows; the
+    order goes by sub-block first. Running sums over sub-blocks tell which are
+    taken whole and which one is cut; only that one is sorted.
+    """
+    key = ["mix_name", "source", "block"]
+    sizes = drawn.groupBy(*key).agg(F.count("*").alias("n"))
+    number = F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows))
+    split = drawn.join(sizes, key).withColumn("sub", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.lit("sub")), number))
+    sums = split.groupBy(*key, "sub").agg(F.sum("n_tokens").alias("t"))
+    before = F.coalesce(F.sum("t").over(Window.partitionBy(*key).orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = split.join(sums.withColumn("before", before), [*key, "sub"]).where("before < rest")
+    whole = placed.where("before + t <= rest")
+    inner = Window.partitionBy(*key, "sub").orderBy(F.xxhash64(F.lit(seed), "doc_id", F.lit("cut")), "doc_id")
+    last = placed.where("before + t > rest").withColumn("upto", F.sum("n_tokens").over(inner)).where("before + upto <= rest").drop("upto")
+    return whole.unionByName(last)
+
+
 @dataclass
 class Mixture:
     draws: DataFrame
@@ -130,14 +156,14 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 17, shards
     spark = documents.sparkSession
     wanted = targets.select("mix_name", source_key(F.col("source")).alias("source"), "target_share", "max_repeats").where("mix_name is not null and source is not null and target_share is not null and max_repeats is not null")
     wanted = wanted.groupBy("mix_name", "source").agg(F.sum("target_share").alias("w"), F.max("max_repeats").alias("r"))
-    rows = wanted.limit(MAX_TARGETS + 1).collect()
-    if len(rows) > MAX_TARGETS:
-        raise ValueError("too many mix targets")
+    # the targets are a stated table of mixes
+    rows = wanted.collect()
     names = sorted({r["source"] for r in rows})
     keyed = documents.select("doc_id", "text", source_key(F.col("source")).alias("source")).where(F.col("source").isin(names) if names else F.lit(False))
     sized = materialise(with_token_counts(keyed, "doc_id", "text", "source", ranks).where("n_tokens > 0"))
     counts = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    n_blocks = {s: int(min(MAX_BLOCKS, max(8 * shards, -(-n // BLOCK_ROWS)))) for s, n in counts.items()}
+    most = max(8 * shards, MAX_BLOCKS // max(1, len(counts)))
+    n_blocks = {s: int(min(most, max(8 * shards, -(-n // BLOCK_ROWS)))) for s, n in counts.items()}
     number = F.lit(1)
     for s, n in n_blocks.items():
         number = F.when(F.col("source") == s, n).otherwise(number)
@@ -148,10 +174,14 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 17, shards
         blocks.setdefault(r["source"], []).append((r["block"], r["n"], r["t"]))
     made = plan_mixes([(r["mix_name"], r["source"], r["w"], r["r"]) for r in rows], blocks, shards, seed, total_tokens)
     picks = spark.createDataFrame(made.picks, PICK_SCHEMA)
-    # at most MAX_BLOCKS blocks a source, for each repeat of each mix; counted all the same
+    # at most MAX_BLOCKS blocks, for each repeat of each mix; counted all the same
     drawn = blocked.join(F.broadcast(picks) if len(made.picks) <= MAX_BROADCAST else picks, ["source", "block"])
-    inner = Window.partitionBy("mix_name", "source", "block").orderBy(F.xxhash64(F.lit(seed), "doc_id", F.lit("cut")), "doc_id")
-    cut = drawn.where("partial").withColumn("upto", F.sum("n_tokens").over(inner)).where("upto <= rest").drop("upto")
-    kept = drawn.where("not partial").unionByName(cut)
+    kept = drawn.where("not partial").select(*DRAWN).unionByName(cut_to_rest(drawn.where("partial"), seed).select(*DRAWN))
     slot = F.xxhash64(F.lit(seed), "doc_id", "draw", "shard")
     return Mixture(kept.select("mix_name", "shard", slot.alias("slot"), "source", "doc_id", "draw", "n_tokens"), spark.createDataFrame(made.shares, SHARE_SCHEMA))
+
+
+def shuffled_shards(draws: DataFrame) -> DataFrame:
+    """The draws in the random order of their slots within each shard, range by range."""
+    order = ["mix_name", "shard", "slot", "doc_id"]
+    return draws.repartitionByRange(*order).sortWithinPartitions(*order)

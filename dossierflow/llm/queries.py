@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from dossierflow.llm.canonical import canonical_groups, copy_links
 from dossierflow.llm.language import classify, mislabelled, train
-from dossierflow.llm.leakage import find_leaks
-from dossierflow.llm.mixing import Mixture, mix_sources
+from dossierflow.llm.leakage import find_leaks, leaked_items
+from dossierflow.llm.mixing import Mixture, mix_sources, shuffled_shards
 from dossierflow.llm.sentences import split_sentences
 from dossierflow.llm.split import cut_kinds, split_oversized
 from dossierflow.plans.registry import Registry
@@ -71,11 +71,12 @@ def _leaks(spark: SparkSession, data_dir: str) -> DataFrame:
 
 @llm_queries.query("p7_found", P7_SQL)
 def p7_found(spark: SparkSession, data_dir: str) -> DataFrame:
-    return _leaks(spark, data_dir).select("doc_id", "item_id")
+    return leaked_items(_leaks(spark, data_dir))
 
 
 @llm_queries.query("p7_passages")
 def p7_passages(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Every leaked passage with its place in the document."""
     return _leaks(spark, data_dir)
 
 
@@ -96,9 +97,8 @@ def p8_shares(spark: SparkSession, data_dir: str) -> DataFrame:
 
 @llm_queries.query("p8_shards")
 def p8_shards(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Every draw with its output shard, shuffled within the shard."""
-    draws = _mixture(spark, data_dir).draws
-    return draws.repartition("mix_name", "shard").sortWithinPartitions("mix_name", "shard", "slot", "doc_id")
+    """Every draw with its output shard, shuffled within the shard; ranges of slots keep a shard of any size in many tasks."""
+    return shuffled_shards(_mixture(spark, data_dir).draws)
 
 
 def _segments(spark: SparkSession, data_dir: str) -> DataFrame:

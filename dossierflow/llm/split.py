@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from dossierflow.functions.arrowmap import map_rows
 
-PIECE_SCHEMA = "id long, piece_no int, start_char int, end_char int, core_start int, cut string, longest_run int, max_chars int, piece string"
+PIECE_SCHEMA = "id long, piece_no int, start_char int, end_char int, core_start int, cut string, divided int, max_chars int, piece string"
 
 #: Boundaries from strongest to weakest; each cut falls behind the match.
 BOUNDARIES = (
@@ -32,7 +32,7 @@ BOUNDARIES = (
     ("sentence", re.compile(r"[.!?][\"'”’»)\]]*\s+|[。！？।][」』”’）]*\s*")),
     ("word", re.compile(r"\s+")),
 )
-_UNBROKEN = re.compile(r"[^\s.!?。！？।]+")
+_BREAK = re.compile(r"[\s.!?。！？।]")
 
 
 def bisect_cuts(text: str, limit: int) -> list[tuple[int, str]]:
@@ -77,9 +77,17 @@ def split_text(text: str, max_chars: int, overlap: int) -> list[tuple[int, int,
     return [(max(0, s - overlap), e, s, kind) for (s, kind), e in zip(starts, ends)]
 
 
-def longest_run(text: str) -> int:
-    """Longest stretch without whitespace or sentence mark."""
-    return max((m.end() - m.start() for m in _UNBROKEN.finditer(text)), default=0)
+def divided_stretches(text: str, cuts: list[int]) -> list[int]:
+    """For each cut the length of the stretch without whitespace or sentence mark that it divides (0 at the edge of one)."""
+    if not cuts:
+        return []
+    breaks = [-1, *(m.start() for m in _BREAK.finditer(text)), len(text)]
+    out = []
+    for at in cuts:
+        k = bisect_left(breaks, at)
+        a, b = breaks[k - 1] + 1, breaks[k]
+        out.append(b - a if a < at < b else 0)
+    return out
 
 
 def split_oversized(df: DataFrame, limits: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -94,14 +102,22 @@ def split_oversized(df: DataFrame, limits: DataFrame, id_col: str, text_col: str
     long_ = rows.join(one, "_s").where(F.char_length("_t") > F.col("_m")).select(F.col("_id").cast("long"), "_t", F.col("_m").cast("int"), F.col("_o").cast("int"))
 
     def pieces(rid: int, text: str, most: int, overlap: int) -> Iterator[tuple]:
-        run = longest_run(text)
-        for k, (a, b, core, kind) in enumerate(split_text(text, most, overlap), 1):
-            yield rid, k, a, b, core, kind, run, most, text[a:b]
+        made = split_text(text, most, overlap)
+        # the longest stretch that a forced cut of this text divides stands on each of its pieces
+        divided = max(divided_stretches(text, [core for _, _, core, kind in made if kind == "forced"]), default=0)
+        for k, (a, b, core, kind) in enumerate(made, 1):
+            yield rid, k, a, b, core, kind, divided, most, text[a:b]
 
     return map_rows(long_, pieces, PIECE_SCHEMA)
 
 
 def cut_kinds(pieces: DataFrame) -> DataFrame:
-    """(id, cut_kind) of each split text: `forced` if some stretch longer than the limit has no natural boundary."""
+    """(id, cut_kind) of each split text: `forced` if one of its forced cuts divides a stretch longer than the limit.
+
+    No piece is longer than the limit and no boundary lies inside a stretch,
+    so every stretch beyond the limit is divided by a forced cut. A forced cut
+    of a shorter stretch (the pieces' cores stay under the limit less the
+    overlap) leaves the text `natural`.
+    """
     first = pieces.where(F.col("piece_no") == 1)
-    return first.select("id", F.when(F.col("longest_run") > F.col("max_chars"), "forced").otherwise("natural").alias("cut_kind"))
+    return first.select("id", F.when(F.col("divided") > F.col("max_chars"), "forced").otherwise("natural").alias("cut_kind"))

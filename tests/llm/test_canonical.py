@@ -61,6 +61,12 @@ def test_folding_agrees_with_unicode(spark):
     assert all(len(v) == 1 for v in ours.values()) and all(len(v) == 1 for v in theirs.values())
 
 
+def test_marks_count_if_asked(spark):
+    rows = frame(spark, [(1, "कि"), (2, "का"), (3, "- का ."), (4, "\u0301का")])
+    assert {tuple(r) for r in copy_links(rows, "id", "heading").collect()} == {(1, 2), (1, 3), (1, 4)}
+    assert {tuple(r) for r in copy_links(rows, "id", "heading", marks=True).collect()} == {(2, 3), (2, 4)}
+
+
 @needs_data
 def test_whole_table(spark, duck):
     rows = duck.execute("select id, heading from sections").fetchall()

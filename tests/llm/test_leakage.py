@@ -3,7 +3,7 @@
 import random
 import re
 
-from dossierflow.llm.leakage import LeakIndex, Stream, find_leaks
+from dossierflow.llm.leakage import LeakIndex, Stream, find_leaks, leaked_items
 
 WORDS = [f"w{c}{d}" for c in "abcdefghij" for d in "xyz"]
 
@@ -46,9 +46,10 @@ ITEM = "one two three four five six seven eight nine ten eleven twelve thirteen"
 def test_formatting_does_not_matter_but_words_do():
     index = LeakIndex([(1, ITEM, False), (2, ITEM.upper().replace(" ", "\n"), False), (3, "too short", False)], 12, 24)
     hit = index.leaks("x. <p>ONE two, three-\nfour fi-\n  ve six <b>seven</b> eight\nnine ten: eleven&nbsp;twelve</p> y")
-    assert set(hit) == {1, 2} and hit[1][0] == 12
+    assert set(hit) == {1, 2} and [n for n, *_ in hit[1]] == [12]
     text = "x. <p>ONE two, three-\nfour fi-\n  ve six <b>seven</b> eight\nnine ten: eleven&nbsp;twelve</p> y"
-    assert text[hit[1][1] : hit[1][2]].startswith("ONE") and text[hit[1][1] : hit[1][2]].endswith("twelve")
+    _, a, b = hit[1][0]
+    assert text[a:b].startswith("ONE") and text[a:b].endswith("twelve")
     assert index.leaks("one two three four five six seven eight nine ten eleven") == {}
     assert index.leaks("xone two three four five six seven eight nine ten eleven twelve") == {}  # not the word `one`
     assert index.leaks("onetwo three four five six seven eight nine ten eleven twelve thirteen") == {}
@@ -82,3 +83,17 @@ def test_tags_of_any_length():
         assert brute([(1, text)], [(7, " ".join(words))], 12) == {(1, 7)}
         assert set(LeakIndex([(7, " ".join(words), False)], 12, 24).leaks(text)) == {7}
     assert LeakIndex([(7, " ".join(words), False)], 12, 24).leaks("<a" * 200_000 + " " + " ".join(words)) != {}
+
+
+def test_every_passage_of_a_pair(spark):
+    half = " ".join(ITEM.split()[:12])
+    text = f"{ITEM}. Other words. {half}, then stop {half}"
+    index = LeakIndex([(7, ITEM, False)], 12, 24)
+    got = index.leaks(text)[7]
+    assert [n for n, *_ in got] == [13, 12, 12] and [text[a:b] for _, a, b in got] == [ITEM, half, half]
+    docs = spark.createDataFrame([(1, text), (2, ITEM), (3, "no")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "en", ITEM), (8, "en", half), (9, "en", ITEM + " more")], "item_id long, lang string, text string")
+    for letters in (10, 10**6):
+        passages = find_leaks(docs, items, scan_letters=letters)
+        assert sorted((r.doc_id, r.item_id, r.passage_no) for r in passages.collect()) == [(1, k, n) for k in (7, 8, 9) for n in (1, 2, 3)] + [(2, 7, 1), (2, 8, 1), (2, 9, 1)]
+        assert sorted(tuple(r) for r in leaked_items(passages).collect()) == [(d, k) for d in (1, 2) for k in (7, 8, 9)]

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from dossierflow.llm.mixing import mix_sources, plan_mixes, split_tree
+from dossierflow.llm.mixing import cut_to_rest, mix_sources, plan_mixes, shuffled_shards, split_tree
 
 
 def test_splitting_tree_is_exact():
@@ -44,6 +44,22 @@ def test_shares_and_caps(spark):
     assert key(mix) == key(again)
 
 
+def test_partial_blocks_are_cut_by_sub_blocks(spark):
+    rows = [("m", s, b, i, 1 + i % 7, 3, 0, 500 + 100 * b) for s in "xy" for b in (1, 2) for i in range(1000)]
+    drawn = spark.createDataFrame(rows, "mix_name string, source string, block int, doc_id long, n_tokens long, draw int, shard int, rest long")
+    kept = cut_to_rest(drawn, 5, block_rows=50).groupBy("source", "block").sum("n_tokens").collect()
+    assert len(kept) == 4 and all(0 <= 500 + 100 * r["block"] - r["sum(n_tokens)"] < 7 for r in kept)
+    assert cut_to_rest(drawn.limit(0), 5).collect() == []
+
+
+def test_shards_are_in_random_order_over_many_tasks(spark):
+    rows = [("m", i % 2, (i * 7919) % 10007, "s", i, 1, 1) for i in range(2000)]
+    draws = spark.createDataFrame(rows, "mix_name string, shard int, slot long, source string, doc_id long, draw int, n_tokens long")
+    out = shuffled_shards(draws)
+    got = [(r.shard, r.slot) for r in out.collect()]
+    assert len(got) == 2000 and got == sorted(got)
+
+
 def test_empty(spark):
     targets = spark.createDataFrame([("m", "a", 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
     mix = mix_sources(docs(spark, []), targets)

@@ -1,9 +1,11 @@
 """Splitting at natural boundaries."""
 
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from dossierflow.llm.split import bisect_cuts, cut_kinds, longest_run, split_oversized, split_text
+from dossierflow.llm.split import bisect_cuts, cut_kinds, divided_stretches, split_oversized, split_text
 
 TEXT = st.text(alphabet="abc .!?。\n\t", max_size=300)
 
@@ -27,8 +29,23 @@ def test_strongest_boundary_near_the_middle():
     assert [k for _, k in bisect_cuts("x" * 100, 60)] == ["forced"]
 
 
-def test_runs():
-    assert longest_run("aaa bb. cccc") == 4 and longest_run("") == 0 and longest_run("。。") == 0
+def longest_run(text):
+    return max(map(len, re.split(r"[\s.!?。！？।]", text)))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abcdefg .。\n", max_size=200), st.integers(2, 30), st.integers(0, 40))
+def test_kinds_from_cuts_agree_with_the_definition(text, limit, overlap):
+    made = split_text(text, limit, overlap)
+    divided = divided_stretches(text, [core for _, _, core, kind in made if kind == "forced"])
+    if len(text) > limit:
+        assert (max(divided, default=0) > limit) == (longest_run(text) > limit)
+
+
+def test_forced_cuts_of_short_words_stay_natural(spark):
+    limits = spark.createDataFrame([("s", 100, 20)], "source string, max_chars int, overlap_chars int")
+    pieces = split_oversized(frame(spark, [(1, " ".join(["w" * 95] * 3), "s", 0, "")]), limits, "id", "text", "source")
+    assert {r.cut for r in pieces.collect()} >= {"forced"} and [r.cut_kind for r in cut_kinds(pieces).collect()] == ["natural"]
 
 
 def frame(spark, rows):
