@@ -1,10 +1,14 @@
 """Sentence boundaries over many languages and scripts.
 
-A pushdown automaton walks the marks of a text: end marks, quotation marks,
-brackets and, in Thai, spaces. Its stack holds the quotations and brackets that
-are open and do close within the paragraph; an end mark counts only while the
-stack is empty, or when the quotation it stands in closes and the text goes on
-like a new sentence. List marks at a sentence's start belong to it. Words
+A pushdown automaton walks the marks of a text: list marks, end marks,
+quotation marks, brackets and, in Thai, spaces. At the bottom of its stack are
+the list levels that are open, each with the kind and number of its last mark:
+the first mark of a kind opens a level, the next number goes on with it, and a
+mark of an outer level closes those inside. Above them are the quotations and
+brackets that are open and do close within the paragraph; an end mark counts
+only while there are none, or when the quotation it stands in closes and the
+text goes on like a new sentence. List marks at a sentence's start belong to
+it; one in order starts a sentence even where its text is in lower case. Words
 before a full stop are looked up in a trie of abbreviations, read backwards.
 
 Offsets are in code points. Edge cases: null and blank texts give no sentence;
@@ -60,6 +64,59 @@ _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 _CJK_CONTINUES = "，、；：,.;:とのをがにはもでやへなだ。！？）)"
 
 
+_MARK = re.compile(r"\(?(\d{1,3}|[a-zA-Z]|[ivxlc]{2,5}|[IVXLC]{2,5})([.)])\s")
+_ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
+
+
+def roman(numeral: str) -> int | None:
+    """Value of a lower-case roman numeral, or null if it is none."""
+    values = [_ROMAN.get(c, 0) for c in numeral]
+    n = sum(-v if v < max(values[i + 1 :], default=0) else v for i, v in enumerate(values))
+    tens, ones = divmod(n, 10)
+    made = ("", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc")[tens] + ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")[ones] if 0 < n < 100 else ""
+    return n if made == numeral else None
+
+
+class Levels:
+    """The open list levels: (kind, number) of the last mark of each, outermost first."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+
+    @staticmethod
+    def readings(mark: re.Match) -> list[tuple[str, int]]:
+        """What a mark may stand for: its number as a digit, a letter or a roman numeral, by its closing sign and case."""
+        body, sign = mark.group(1), mark.group(2)
+        if body.isdigit():
+            return [(f"1{sign}", int(body))]
+        case = "A" if body.isupper() else "a"
+        value = roman(body.lower())
+        out = [(f"{case}{sign}", ord(body.lower()) - 96)] if len(body) == 1 else []
+        return out + ([(f"{'I' if case == 'A' else 'i'}{sign}", value)] if value else [])
+
+    def place(self, mark: re.Match) -> tuple[int, tuple[str, int]] | None:
+        """Depth and reading at which a mark goes on with an open level, the innermost first, or opens one; None if it does neither."""
+        read = self.readings(mark)
+        for depth in range(len(self.stack) - 1, -1, -1):
+            kind, n = self.stack[depth]
+            if (kind, n + 1) in read:
+                return depth, (kind, n + 1)
+        first = next((r for r in read if r[1] == 1), None)
+        return (len(self.stack), first) if first else None
+
+    def enter(self, mark: re.Match | None) -> None:
+        """Takes a mark at a sentence's start: levels inside its own are closed."""
+        at = mark and self.place(mark)
+        if at:
+            del self.stack[at[0] :]
+            self.stack.append(at[1])
+
+    def goes_on(self, mark: re.Match | None) -> bool:
+        """Whether a mark is the next of an open level."""
+        at = mark and self.place(mark)
+        return bool(at) and at[0] < len(self.stack)
+
+
 def _trie() -> dict:
     root: dict = {}
     for kind, words in ((1, NONFINAL), (2, EITHER)):
@@ -106,11 +163,11 @@ def _all_caps(text: str) -> bool:
     return text.isupper() and sum(map(str.isalpha, text)) >= 4
 
 
-def _starts_sentence(text: str, k: int, caps_follow_ok: bool, s: int, i: int) -> bool:
+def _starts_sentence(text: str, k: int, caps_follow_ok: bool, s: int, i: int, levels: Levels) -> bool:
     """Whether a new sentence can start at k; the one before runs from s to i."""
     c = text[k]
     if c.islower():
-        return bool(_LIST_MARK.match(text, k)) and len(text) > k + 2 and text[k + 1] == ")"
+        return bool(_LIST_MARK.match(text, k)) and len(text) > k + 2 and (text[k + 1] == ")" or levels.goes_on(_MARK.match(text, k)))
     if c.isalpha():
         if not caps_follow_ok and c.isupper():
             m = _WORD.match(text, k)
@@ -126,7 +183,7 @@ def _starts_sentence(text: str, k: int, caps_follow_ok: bool, s: int, i: int) ->
     return False
 
 
-def _full_stop(text: str, s: int, i: int, j: int, k: int) -> bool:
+def _full_stop(text: str, s: int, i: int, j: int, k: int, levels: Levels) -> bool:
     """Whether the single full stop at i ends the sentence begun at s; the next text is at k."""
     before, c = text[i - 1] if i > s else " ", text[k]
     kind, entry = abbreviation(text, s, i)
@@ -160,7 +217,7 @@ def _full_stop(text: str, s: int, i: int, j: int, k: int) -> bool:
         return False
     if i - s < 12 and _LIST_ONLY.match(text[s:i]):
         return False
-    if not _starts_sentence(text, k, kind != 2, s, i):
+    if not _starts_sentence(text, k, kind != 2, s, i, levels):
         return False
     if kind == 1:
         return False
@@ -179,8 +236,9 @@ def _full_stop(text: str, s: int, i: int, j: int, k: int) -> bool:
     return True
 
 
-def paragraph_spans(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+def paragraph_spans(text: str, a: int, b: int, levels: Levels) -> Iterator[tuple[int, int]]:
     s = _WS.match(text, a, b).end()
+    levels.enter(_MARK.match(text, s, b))
     stack: list[tuple[str, int]] = []  # (closers, position of the opener)
     absent: set[str] = set()  # closers that don't come any more in this paragraph
     at = s
@@ -207,14 +265,14 @@ def paragraph_spans(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
             elif "!" in m.group() or "?" in m.group():
                 n = text[k]
                 if k > j:
-                    if _starts_sentence(text, k, True, s, i):
+                    if _starts_sentence(text, k, True, s, i, levels):
                         end = j
                 elif n.isupper() or n in "¿¡\"“„«‘「『(" or (n.isalpha() and not n.islower()):
                     end = j
             elif j - i > 1 or c == "…":
-                if k > j and _starts_sentence(text, k, False, s, i) and not text[k].isdigit():
+                if k > j and _starts_sentence(text, k, False, s, i, levels) and not text[k].isdigit():
                     end = j
-            elif _full_stop(text, s, i, j, k):
+            elif _full_stop(text, s, i, j, k, levels):
                 end = j
         else:
             if stack and c in stack[-1][0] and not (c in "’‘" and j < b and text[j].isalnum()):
@@ -245,17 +303,18 @@ def paragraph_spans(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
             if k >= b:
                 end = j
             elif c in BRACKET_CLOSERS:
-                if opened == s and k > j and _starts_sentence(text, k, False, s, i):
+                if opened == s and k > j and _starts_sentence(text, k, False, s, i, levels):
                     end = j
             elif text[p] in _CJK_MARKS:
                 if k > j or text[k] not in _CJK_CONTINUES:
                     end = j
-            elif _starts_sentence(text, k, False, s, i) and not (k == j and not text[k].isupper()):
+            elif _starts_sentence(text, k, False, s, i, levels) and not (k == j and not text[k].isupper()):
                 end = j
         if end >= 0:
             if end > s:
                 yield s, end
             s = at = _WS.match(text, end, b).end()
+            levels.enter(_MARK.match(text, s, b))
             stack = []
     e = b
     while e > s and text[e - 1].isspace():
@@ -268,11 +327,11 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of every sentence, without white space at the ends."""
     if not text or text.isspace():
         return []
-    out, a = [], 0
+    out, a, levels = [], 0, Levels()
     for m in _BLANK_LINE.finditer(text):
-        out.extend(paragraph_spans(text, a, m.start()))
+        out.extend(paragraph_spans(text, a, m.start(), levels))
         a = m.end()
-    out.extend(paragraph_spans(text, a, len(text)))
+    out.extend(paragraph_spans(text, a, len(text), levels))
     return out
 
 

@@ -77,3 +77,34 @@ def test_operator(spark):
 def test_odd_texts_stay_linear(text):
     spans = sentence_spans(text)
     assert spans and spans[-1][1] <= len(text)
+
+
+def spans(text):
+    from dossierflow.llm.sentences import sentence_spans
+
+    return [text[a:b] for a, b in sentence_spans(text)]
+
+
+def test_list_levels_are_a_stack():
+    import re
+
+    from dossierflow.llm.sentences import _MARK, Levels, roman
+
+    assert [roman(x) for x in ("i", "iv", "ix", "xiv", "xl", "c", "iix", "vv", "ab")] == [1, 4, 9, 14, 40, None, None, None, None]
+    levels = Levels()
+    seen = []
+    for mark in ("1.", "a)", "b)", "i)", "ii)", "c)", "2.", "a)", "7.", "3."):
+        levels.enter(re.match(_MARK, mark + " "))
+        seen.append(len(levels.stack))
+    # `i)` opens roman numbers, `c)` closes them, `2.` closes the letters, and `7.` is no mark in order
+    assert seen == [1, 2, 2, 3, 3, 2, 1, 2, 2, 1]
+    assert levels.stack == [("1.", 3)]
+
+
+def test_marks_in_order_start_sentences_in_lower_case():
+    assert spans("a. the pump is tested. b. the valve is closed. c. the log is kept.") == ["a. the pump is tested.", "b. the valve is closed.", "c. the log is kept."]
+    assert spans("i) the pump is tested. ii) the valve is closed.") == ["i) the pump is tested.", "ii) the valve is closed."]
+    # not in order: no list
+    assert spans("See the pump of type. b. the valve is closed.") == ["See the pump of type. b. the valve is closed."]
+    # levels stay open over blank lines
+    assert spans("a. the pump is tested.\n\nb. the valve. c. the log.") == ["a. the pump is tested.", "b. the valve.", "c. the log."]
