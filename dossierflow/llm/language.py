@@ -3,15 +3,19 @@
 Cross-parsing: a text is cut greedily into the longest phrases that occur in
 the reference text of a language, found by walking that language's suffix
 automaton; the language that needs the fewest phrases per letter wins.
-Candidates are the languages that use the text's script.
+Candidates are the languages whose labelled text is written in the text's
+script. A text is parsed even where one language alone uses its script: how far
+its phrases are from those of that language then gives the confidence.
 
 The reference texts come from labelled documents: a sample, bounded per
 language, spread by a hash over all documents with that label, whose
 sentences are kept where a classifier trained on the rest of the sample agrees
 with the label, so that wrong labels and mixed documents don't leak in.
 
-Sentences are classified one by one; those without enough letters take the
-language of their neighbours. A document's language is that of most of its
+A document is parsed in all candidates at once; one that falls behind is left
+where it does. Sentences that the document's main language explains throughout
+are settled by that; all others are classified one by one, and those without
+enough letters take the language of their neighbours. A document's language is that of most of its
 letters. All documents are classified, whole texts. The confidence of a
 sentence is its lead over the second language, in parts of the lead at which
 that one is no longer followed; of a segment, the mean over its letters.
@@ -29,6 +33,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -55,13 +60,12 @@ NOTATIONS = {
     "th": "th tha thai ไทย",
     "hi": "hi hin hindi हिन्दी",
 }
-#: Scripts of the languages (fixed values).
-SCRIPTS = {"latin": ("en", "de", "fr", "es", "it", "pt", "nl"), "cyrillic": ("ru",), "greek": ("el",), "kana": ("ja",), "han": ("zh", "ja"), "thai": ("th",), "devanagari": ("hi",)}
 _RANGES = {"latin": "A-Za-zÀ-ÖØ-öø-ɏ", "cyrillic": "Ѐ-ԯ", "greek": "Ͱ-Ͽἀ-῿", "kana": "ぁ-ゖァ-ヺー", "han": "一-鿿㐀-䶿", "thai": "ก-๎", "devanagari": "ऀ-ॿ"}
 _SCRIPT = {k: re.compile(f"[{r}]") for k, r in _RANGES.items()}
 #: A character of these scripts stands for so many letters of an alphabet.
 _WEIGHT = {"kana": 2.5, "han": 2.5}
-_LETTER = {name: s for s, names in SCRIPTS.items() for name in names}
+#: Share of a language's letters from which a script beside its main one counts as its own.
+MIN_SHARE = 0.2
 
 #: Bounds of the sample: documents and letters per language, letters of reference text, and the longest text it takes.
 SAMPLE_DOCS, SAMPLE_LETTERS, REFERENCE_LETTERS, SAMPLE_TEXT = 250, 150_000, 30_000, 20_000
@@ -77,6 +81,10 @@ MIN_PART, ODD_RATE = 20, 0.13
 CONTEXT, MIN_GAIN = 400, 0.7
 #: Phrases that a change of language inside a sentence must save to be tried.
 CHANGE = 2
+#: Letters between two comparisons of the languages of a document, and phrases beyond FAR times the fewest by which one may be behind.
+STEP, SLACK = 32, 1
+#: Stands between the pieces of a sentence while their letters are taken out.
+_CUT = "\x01"
 
 _MARKUP = re.compile(r"</?[A-Za-z!][^<>]*>|&[a-zA-Z]{2,8};")
 _BLOCK_TAG = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|blockquote)\b", re.IGNORECASE)
@@ -90,6 +98,8 @@ _INDIC = re.compile("[\u0900-\u0e7f]")
 _NON_LETTER_INDIC = re.compile("[^\\w\u0900-\u0e7f]+|[\\d_]+")
 _FOREIGN = re.compile("[\u0370-\u052f\u0900-\u097f\u0e00-\u0e7f\u1f00-\u1fff\u3040-\u30ff\u3400-\u9fff]")
 _NON_LETTER = re.compile(r"[\W\d_]+")
+_DIGIT = re.compile(r"\d")
+_ASCII = {i: chr(i).lower() if chr(i).isalpha() or i == 1 else " " for i in range(128)}
 
 
 def label_language(c: Column) -> Column:
@@ -110,13 +120,30 @@ def plain(text: str) -> str:
     """Letters of a text as parsed: markup, codes and digits out, accents folded, words one space apart."""
     if "<" in text or "&" in text:
         text = _MARKUP.sub(" ", text)
-    text = _CODE.sub(" ", _BREAK.sub("", text))
+    if "-" in text and "\n" in text:
+        text = _BREAK.sub("", text)
+    # every code holds a digit or an address
+    if _DIGIT.search(text) or "http" in text:
+        text = _CODE.sub(" ", text)
     if text.isascii():
-        return " ".join(_NON_LETTER.sub(" ", text.lower()).split())
+        return " ".join(text.translate(_ASCII).replace(_CUT, " ").split())
     folded = _ACCENTS.sub("", unicodedata.normalize("NFD", text)).casefold()
     return " ".join((_NON_LETTER_INDIC if _INDIC.search(folded) else _NON_LETTER).sub(" ", folded).split())
 
 
+def plain_pieces(pieces: list[str]) -> list[str]:
+    """`plain` of the pieces of a sentence."""
+    text = _CUT.join(pieces)
+    if len(pieces) == 1 or not text.isascii() or text.count(_CUT) >= len(pieces) or "<" in text or "&" in text:
+        return [plain(p) for p in pieces]
+    if "-" in text and "\n" in text:
+        text = _BREAK.sub("", text)
+    if _DIGIT.search(text) or "http" in text:
+        text = _CODE.sub(" ", text)
+    out = [" ".join(p.split()) for p in text.translate(_ASCII).split(_CUT)]
+    return out if len(out) == len(pieces) else [plain(p) for p in pieces]
+
+
 def script_of(text: str) -> tuple[str, float]:
     """Script of most letters and its share; kana makes a han text Japanese."""
     if text.isascii():
@@ -195,6 +222,20 @@ class SuffixAutomaton:
             at = to
         return count + (at is not root)
 
+    def walk(self, at: dict, text: str) -> tuple[dict, int]:
+        """The state behind `text` from the state `at`, and the phrases completed on the way."""
+        root, count = self.root, 0
+        for c in text:
+            to = at.get(c)
+            if to is None:
+                count += at is not root
+                to = root.get(c)
+                if to is None:
+                    count += 1
+                    to = root
+            at = to
+        return at, count
+
     def ends(self, pieces: list[str]) -> list[int]:
         """Phrases completed before the first piece and by the end of each, in one walk over all."""
         root, count, out = self.root, 0, [0]
@@ -215,15 +256,20 @@ class SuffixAutomaton:
 
 @dataclass
 class LanguageModel:
-    """Reference text by language; automata are built once per process."""
+    """Reference text by language, the languages of each script, and by language the phrases per letter of its own text and of text that is none.
+
+    Automata are built once per process.
+    """
 
     references: dict[str, str]
+    scripts: dict[str, tuple[str, ...]]
+    rates: dict[str, tuple[float, float]]
 
     def automata(self) -> dict[str, SuffixAutomaton]:
         key = hashlib.sha1(repr(sorted(self.references.items())).encode()).hexdigest()
         if key not in _BUILT:
             _BUILT.clear()
-            _BUILT[key] = {k: SuffixAutomaton(v) for k, v in self.references.items() if len(SCRIPTS[_LETTER[k]]) > 1 or k in ("ja", "zh")}
+            _BUILT[key] = {k: SuffixAutomaton(v) for k, v in self.references.items()}
         return _BUILT[key]
 
 
@@ -236,16 +282,14 @@ class Classifier:
 
     def scores(self, text: str) -> tuple[dict[str, float], int]:
         """Phrases per letter by candidate language, and the letters they stand for; {} if there are too few."""
-        script, share = script_of(text)
-        if not script:
+        script, _ = script_of(text)
+        names = self.model.scripts.get(script, ())
+        if not names:
             return {}, 0
-        names = [x for x in SCRIPTS[script] if x in self.model.references or len(SCRIPTS[script]) == 1]
         letters = plain(text)
         size = int(len(letters) * _WEIGHT.get(script, 1.0))
-        if size < MIN_LETTERS or not names:
+        if size < MIN_LETTERS:
             return {}, 0
-        if len(names) == 1:
-            return {names[0]: 1.0 - share}, size
         padded, best, counts = f" {letters} ", None, {}
         # a language that needs FAR times the fewest phrases so far is not followed further
         for x in sorted(names, key=lambda x: x != self.hint):
@@ -255,6 +299,91 @@ class Classifier:
         self.hint = min(counts, key=counts.get)
         return counts, size
 
+    def settled(self, text: str, spans: list[tuple[int, int]], hint: str | None) -> dict[int, tuple[dict[str, float], int]]:
+        """The sentences (by number) that the document's main language explains throughout, with their scores.
+
+        All sentences in the script of most letters are parsed as one stream,
+        in every candidate. A language is left as soon as it needs FAR times
+        the phrases of the best one, and SLACK more, up to the same place. A
+        sentence is settled if it has enough letters, and neither it nor a
+        stretch of it between turns is odd in the main language.
+        """
+        parts, weight = [], {}
+        for k, (a, b) in enumerate(spans):
+            sentence = text[a:b]
+            script, _ = script_of(sentence)
+            if script not in self.model.scripts:
+                continue
+            pieces = plain_pieces([sentence[i:j] for i, j in zip(*self._turns(sentence))])
+            size = sum(map(len, pieces))
+            weight[script] = weight.get(script, 0) + size
+            parts.append((k, script, pieces, size))
+        if not weight:
+            return {}
+        script = max(weight, key=weight.get)
+        alone = len(self.model.scripts[script]) == 1
+        parts = [p for p in parts if p[1] == script]
+        stream, at, marks = [], 0, []  # marks: where pieces end in the stream
+        for _, _, pieces, _ in parts:
+            for p in pieces:
+                if p:
+                    stream.append(p)
+                    at += len(p) + 1
+                marks.append(at)
+        stream = "".join(f"{p} " for p in stream)
+        steps = sorted({*marks, *range(STEP, len(stream), STEP), len(stream)} - {0})
+        names, at = list(self.model.scripts[script]), min(1, len(steps))
+        # the start of the text tells which language is followed first, and which are left at once
+        begun = {x: self._follow(x, stream, steps[:at]) for x in names}
+        names.sort(key=lambda x: begun[x][1][-1:])
+        main, least, second = None, None, None
+        for x in names:
+            sums = self._follow(x, stream, steps, begun[x], least)[1]
+            if len(sums) < len(steps):
+                continue
+            if least is None or sums[-1] < least[-1]:
+                main, least, second = x, sums, main and (main, least[-1])
+            elif second is None or sums[-1] < second[1]:
+                second = x, sums[-1]
+        # where another language is near, every sentence is looked at
+        if second and second[1] < NEAR * least[-1]:
+            return {}
+        sums = {0: 0, **dict(zip(steps, least))}
+        lead = second[1] / sums[len(stream)] if second and sums.get(len(stream)) else FAR
+        factor, out, m = _WEIGHT.get(script, 1.0), {}, 0
+        for k, _, pieces, size in parts:
+            ends = [marks[m - 1] if m else 0, *marks[m : m + len(pieces)]]
+            m += len(pieces)
+            if int(size * factor) < 2 * MIN_PART:
+                continue
+            counts = [sums[e] for e in ends]
+            rate = (counts[-1] - counts[0]) / (size * factor)
+            if _mixed_scripts(text[spans[k][0] : spans[k][1]]) or not alone and (rate > ODD_RATE or _odd(counts, [0, *accumulate(factor * len(p) for p in pieces)])):
+                continue
+            out[k] = {main: rate, **({second[0]: rate * lead} if second else {x: rate * FAR for x in self.model.scripts[script] if x != main})}, int(size * factor)
+        return out
+
+    def _follow(self, name: str, stream: str, steps: list[int], begun: tuple[dict, list[int]] | None = None, least: list[int] | None = None) -> tuple[dict, list[int]]:
+        """The parse's state and its phrases up to each step; fewer than all steps if the language falls behind `least`."""
+        automaton = self.automata[name]
+        state, sums = (begun[0], list(begun[1])) if begun else (automaton.root.get(" ", automaton.root), [])
+        n, i = (sums[-1], steps[len(sums) - 1]) if sums else (0, 0)
+        if least is not None and sums and n > FAR * least[len(sums) - 1] + SLACK:
+            return state, sums[:-1]
+        for m in range(len(sums), len(steps)):
+            state, more = automaton.walk(state, stream[i : steps[m]])
+            i, n = steps[m], n + more
+            if least is not None and n > FAR * least[m] + SLACK:
+                break
+            sums.append(n)
+        return state, sums
+
+    def _turns(self, part: str) -> tuple[list[int], list[int]]:
+        """Starts and stops of the stretches of a sentence between places where another may begin unmarked."""
+        coded = "http" in part or _DIGIT.search(part)
+        turns = [m.span() for m in _TURN.finditer(part) if not (coded and self._is_code(part, m.end()))]
+        return [0, *(j for _, j in turns)], [*(i for i, _ in turns), len(part)]
+
     def refined(self, text: str, a: int, b: int) -> list[tuple[int, int, dict[str, float], int]]:
         """The span with its scores, cut where sentences of two languages follow each other without a mark."""
         out, todo = [], [(a, b)]
@@ -277,12 +406,8 @@ class Classifier:
 
         A place is judged by up to CONTEXT characters on either side.
         """
-        if min(counts.values()) <= ODD_RATE:
-            if part.isascii() or not _FOREIGN.search(part):
-                return None
-            groups = {"han" if k == "kana" else k for k, p in _SCRIPT.items() if len(p.findall(part)) * _WEIGHT.get(k, 1.0) >= MIN_PART}
-            if len(groups) < 2:
-                return None
+        if (len(counts) == 1 or min(counts.values()) <= ODD_RATE) and not _mixed_scripts(part):
+            return None
         best = None
         for m in _TURN.finditer(part):
             i, j = m.span()
@@ -307,19 +432,14 @@ class Classifier:
         either side as the shorter of them has.
         """
         main = min(counts, key=counts.get)
-        turns = [m.span() for m in _TURN.finditer(part) if not self._is_code(part, m.end())]
-        starts, stops = [0, *(j for _, j in turns)], [*(i for i, _ in turns), len(part)]
+        starts, stops = self._turns(part)
+        if len(starts) == 1:
+            return []
         pieces = [plain(part[i:j]) for i, j in zip(starts, stops)]
-        sizes = np.cumsum([0, *map(len, pieces)]).tolist()
         own = self.automata[main].ends(pieces)
-        k, odd = 0, False
-        for n in range(1, len(sizes)):
-            while sizes[n] - sizes[k + 1] >= MIN_PART:
-                k += 1
-            odd = odd or sizes[n] - sizes[k] >= MIN_PART and own[n] - own[k] > ODD_RATE * (sizes[n] - sizes[k])
-        if not odd:
+        if not _odd(own, [0, *accumulate(map(len, pieces))]):
             return []
-        names = [x for x in SCRIPTS["latin" if main in SCRIPTS["latin"] else "han"] if x in self.automata]
+        names = list(counts)
         walked = [own if x == main else self.automata[x].ends(pieces) for x in names]
         least, back = [0.0] * len(names), []
         for n in range(len(pieces)):
@@ -348,19 +468,27 @@ class Classifier:
         code = _CODE.match(part, at)
         return bool(code) and not _LIST_NUMBER.match(part, at) and code.end() > at + 2
 
+    def _likeness(self, name: str, rate: float) -> float:
+        """Confidence where a script has one language only: 1 for its usual phrases per letter, 0 for those of text that is none."""
+        own, none = self.model.rates[name]
+        return min(1.0, max(0.0, (none - rate) / (none - own))) if none > own else 0.0
+
     @staticmethod
     def _cost(counts: dict[str, float], size: int) -> float:
         return max(min(counts.values()), 0.01) * size
 
-    def segments(self, text: str) -> list[tuple[int, int, str | None, float, int]]:
+    def segments(self, text: str, hint: str | None = None) -> list[tuple[int, int, str | None, float, int]]:
         """Runs of sentences in one language: (start, end, language, confidence, letters).
 
         A sentence that the document's main language, or a neighbour's, explains
-        nearly as well as the best one belongs to that language.
+        nearly as well as the best one belongs to that language. `hint` is the
+        language tried first.
         """
         text = without_markup(text)
+        spans = sentence_spans(text)
+        known = self.settled(text, spans, hint)
         self.hint = None
-        scored = [x for a, b in sentence_spans(text) for x in self.refined(text, a, b)]
+        scored = [x for k, (a, b) in enumerate(spans) for x in ([(a, b, *known[k])] if k in known else self.refined(text, a, b))]
         weight: dict[str, int] = {}
         for _, _, counts, size in scored:
             if counts:
@@ -381,7 +509,7 @@ class Classifier:
             if name != main:
                 name = next((x for x in around if x in counts and counts[x] <= NEAR * counts[name]), name)
             second = min((c for x, c in counts.items() if x != name), default=None)
-            conf = 1.0 - counts[name] if second is None else min(1.0, max(0.0, (second - counts[name]) / ((FAR - 1) * counts[name]))) if counts[name] else 1.0
+            conf = self._likeness(name, counts[name]) if second is None else min(1.0, max(0.0, (second - counts[name]) / ((FAR - 1) * counts[name]))) if counts[name] else 1.0
             if runs and runs[-1][2] in (name, None):
                 r = runs[-1]
                 r[3] = (r[3] * r[4] + conf * w) / (r[4] + w)
@@ -391,6 +519,24 @@ class Classifier:
         return [tuple(r) for r in runs]
 
 
+def _mixed_scripts(part: str) -> bool:
+    """Whether two scripts have letters enough for a sentence each."""
+    if part.isascii() or not _FOREIGN.search(part):
+        return False
+    return len({"han" if k == "kana" else k for k, p in _SCRIPT.items() if len(p.findall(part)) * _WEIGHT.get(k, 1.0) >= MIN_PART}) > 1
+
+
+def _odd(counts: list[int], sizes: list[float]) -> bool:
+    """Whether some stretch of MIN_PART letters or a little more needs more than ODD_RATE phrases a letter; both lists are running sums."""
+    k = 0
+    for n in range(1, len(sizes)):
+        while sizes[n] - sizes[k + 1] >= MIN_PART:
+            k += 1
+        if sizes[n] - sizes[k] >= MIN_PART and counts[n] - counts[k] > ODD_RATE * (sizes[n] - sizes[k]):
+            return True
+    return False
+
+
 def _grams(s: str) -> list[str]:
     s = f" {s} "
     return [s[i : i + 4] for i in range(len(s) - 3)]
@@ -398,15 +544,14 @@ def _grams(s: str) -> list[str]:
 
 def clean_sample(rows: list[tuple[str, str]], rounds: int = 4) -> dict[str, list[str]]:
     """Sentences by language from labelled texts, without those that another language explains better."""
+    main = {x: max(own, key=own.get) for x, own in sample_scripts(rows).items()}
     sentences: list[tuple[str, str]] = []
     for lang, text in rows:
         for a, b in sentence_spans(text):
             s = text[a:b]
-            script, share = script_of(s)
-            if script and lang in SCRIPTS[script] and not (lang == "ja" and script == "han") and len(p := plain(s)) >= MIN_LETTERS:
+            if script_of(s)[0] == main.get(lang) and len(p := plain(s)) >= MIN_LETTERS:
                 sentences.append((lang, p))
     names = sorted({x for x, _ in sentences})
-    latin = [x for x in names if x in SCRIPTS["latin"]]
     # a sentence found under several labels belongs to the one that has it most often for its size
     size_of = Counter(x for x, _ in sentences)
     often = Counter(sentences)
@@ -415,8 +560,45 @@ def clean_sample(rows: list[tuple[str, str]], rounds: int = 4) -> dict[str, list
         if s not in owner or n / size_of[x] > often[owner[s], s] / size_of[owner[s]]:
             owner[s] = x
     kept = [(x, s) for s, x in owner.items()]
-    rest = [(x, s) for x, s in kept if x not in latin]
-    return _by_language(names, rest + _consistent([(x, s) for x, s in kept if x in latin], often, latin, rounds))
+    groups: dict[str, list[str]] = {}
+    for x in names:
+        groups.setdefault(main[x], []).append(x)
+    return _by_language(names, [k for group in groups.values() for k in _consistent([(x, s) for x, s in kept if x in group], often, group, rounds)])
+
+
+def sample_scripts(rows: list[tuple[str, str]]) -> dict[str, dict[str, float]]:
+    """Letters by language and script of the sentences' scripts."""
+    out: dict[str, dict[str, float]] = {}
+    for lang, text in rows:
+        for a, b in sentence_spans(text):
+            if script := script_of(text[a:b])[0]:
+                own = out.setdefault(lang, {})
+                own[script] = own.get(script, 0) + b - a
+    return out
+
+
+def candidate_scripts(references: dict[str, str]) -> dict[str, tuple[str, ...]]:
+    """Languages by script: a language's main script, and any other that has MIN_SHARE of its reference's letters."""
+    shares: dict[str, list[tuple[float, str]]] = {}
+    for x, text in references.items():
+        n = {k: len(p.findall(text)) for k, p in _SCRIPT.items()}
+        total = sum(n.values())
+        for k in n:
+            # kana stands for any text that holds some
+            if total and (n[k] >= MIN_SHARE * total or k == "kana" and n[k] >= 0.05 * total):
+                shares.setdefault(k, []).append((-round(n[k] / total, 1), x))
+    return {k: tuple(x for _, x in sorted(own)) for k, own in shares.items()}
+
+
+def phrase_rates(references: dict[str, str]) -> dict[str, tuple[float, float]]:
+    """By language the phrases per letter of one half of its text in the other, and of the same letters read backwards."""
+    out = {}
+    for x, text in references.items():
+        half = len(text) // 2
+        first, rest = SuffixAutomaton(text[:half]), text[half:]
+        size = max(1.0, len(rest) * max((_WEIGHT.get(k, 1.0) for k, p in _SCRIPT.items() if p.search(rest)), default=1.0))
+        out[x] = first.phrases(rest) / size, first.phrases(rest[::-1]) / size
+    return out
 
 
 def _consistent(kept: list[tuple[str, str]], often: Counter, names: list[str], rounds: int) -> list[tuple[str, str]]:
@@ -475,7 +657,7 @@ def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_letters:
     labelled = documents.select("doc_id", "text", label_language(F.col("lang")).alias("l")).where("l is not null and text is not null")
     counts = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return LanguageModel({})
+        return LanguageModel({}, {}, {})
     take = F.lit(0.0)
     for name, n in counts.items():
         take = F.when(F.col("l") == name, min(1.0, sample_docs / n)).otherwise(take)
@@ -510,14 +692,18 @@ def build_model(sentences: dict[str, list[str]], reference_letters: int = REFERE
                 break
         if text:
             references[name] = " " + "  ".join(text) + " "
-    return LanguageModel(references)
+    return language_model(references)
+
+
+def language_model(references: dict[str, str]) -> LanguageModel:
+    return LanguageModel(references, candidate_scripts(references), phrase_rates(references))
 
 
 def classify(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """One row per segment of every document, with the document's language; see SEGMENT_SCHEMA."""
 
     def rows(c: Classifier, doc_id: int, label: str | None, text: str) -> Iterator[tuple]:
-        segments = c.segments(text)
+        segments = c.segments(text, label)
         known = [s for s in segments if s[2]]
         if not known:
             yield doc_id, label, label or "und", 0.0, 1, 1, 0, len(text), label or "und", 0.0

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from dossierflow.llm.language import Classifier, LanguageModel, SuffixAutomaton, build_model, classify, clean_sample, label_language, mislabelled, plain, script_of, train
+from dossierflow.llm.language import Classifier, SuffixAutomaton, build_model, classify, clean_sample, label_language, language_model, mislabelled, plain, plain_pieces, script_of, train
 from tests.conftest import DATA, needs_data
 
 
@@ -22,7 +22,9 @@ def test_phrases_are_greedy_longest_matches(reference, text):
 EN = "the operator must test the oxygen mask before the next departure and record the result of the test in the log"
 NL = "de exploitant moet vóór het volgende vertrek het zuurstofmasker controleren en het resultaat van de proef vastleggen"
 DE = "der betreiber muss vor dem nächsten abflug die sauerstoffmaske prüfen und das ergebnis der prüfung eintragen"
-MODEL = LanguageModel({"en": EN, "nl": plain(NL), "de": plain(DE)})
+RU = "каждый член экипажа проверяет кислородную маску перед следующим вылетом и записывает результат проверки в журнал"
+JA = "運航者は次の出発の前に酸素マスクを試験し結果を記録簿に記録しなければならない"
+MODEL = language_model({"en": EN, "nl": plain(NL), "de": plain(DE), "ru": plain(RU), "ja": plain(JA)})
 
 
 def segments(text):
@@ -78,7 +80,7 @@ def test_operator_edges(spark):
     assert sorted(tuple(r) for r in mislabelled(seg).collect()) == [(2, 0, "en"), (3, 0, "en"), (7, 0, "en"), (7, 24, "nl"), (8, 0, "und")]
     assert classify(df.limit(0), MODEL).collect() == []
     assert train(df.limit(0)).references == {}
-    assert classify(df, LanguageModel({})).count() == 6
+    assert classify(df, language_model({})).count() == 6
 
 
 @needs_data
@@ -103,3 +105,36 @@ def test_foreign_sentence_behind_many_native_ones():
 def test_foreign_words_inside_a_sentence_make_no_segment():
     text = " ".join(["The operator must test the oxygen mask Sauerstoffmaske Prüfung before the next departure"] * 5)
     assert segments(text) == [(text, "en")]
+
+
+def test_candidates_come_from_the_reference_texts():
+    assert MODEL.scripts == {"latin": ("de", "en", "nl"), "cyrillic": ("ru",), "kana": ("ja",), "han": ("ja",)}
+
+
+def test_a_script_of_one_language_is_parsed_too():
+    own = Classifier(MODEL).segments("Каждый член экипажа проверяет кислородную маску перед следующим вылетом.")
+    other = Classifier(MODEL).segments("Рақмет сізге, бүгін ауа райы өте жақсы болды, ұшақ кешікті.")
+    assert own[0][2] == other[0][2] == "ru" and own[0][3] > 0.9 > 0.5 > other[0][3]
+
+
+def test_one_pass_agrees_with_sentence_by_sentence():
+    import random
+
+    rnd = random.Random(4)
+    words = {x: t.split() for x, t in MODEL.references.items() if x != "ja"}
+    for _ in range(60):
+        names = rnd.choices(list(words), k=rnd.choice([1, 1, 2, 3]))
+        text = " ".join((" ".join(rnd.choices(words[x], k=rnd.randint(3, 25)))).capitalize() + "." for x in names for _ in range(rnd.randint(1, 4)))
+        c = Classifier(MODEL)
+        fast = [r[:3] for r in c.segments(text)]
+        c.settled = lambda *_: {}
+        assert [r[:3] for r in c.segments(text)] == fast
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="abZ é1.-<&\n/", max_size=12), min_size=1, max_size=5))
+def test_pieces_are_plain_one_by_one(pieces):
+    got = plain_pieces(pieces)
+    assert len(got) == len(pieces) and all(set(x) <= set("abzé e") for x in got)
+    if not any(c in x for x in pieces for c in "-1<&"):
+        assert got == [plain(x) for x in pieces]
