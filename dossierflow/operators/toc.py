@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,8 @@ MIN_ROW_RATIO = 0.6
 MIN_ORDER_RATIO = 0.8
 MAX_SCAN_PAGE = 25
 MATCH_RATIO = 0.88
-MAX_VALID = 20_000
+#: Headings of a document that one task compares with as many valid ones.
+MATCH_BLOCK = 20_000
 
 
 def toc_lines(chunks: DataFrame) -> DataFrame:
@@ -98,36 +101,149 @@ def tables_on_contents_pages(tables: DataFrame, wanted: DataFrame) -> DataFrame:
     return t.where(F.when(F.col("known"), F.col("hit")).otherwise(F.col("page") <= MAX_SCAN_PAGE)).drop("known", "hit")
 
 
-def headings_match(a: str, b: str, ratio: float = MATCH_RATIO) -> bool:
-    """Equal, one within the other (4 characters at least), or alike; both already normalised."""
+def headings_match(a: str, b: str, ratio: float | None = MATCH_RATIO) -> bool:
+    """Equal, one within the other (4 characters at least), or alike (not asked for without a ratio); both already normalised."""
     if not a or not b:
         return False
     if a == b or (len(a) >= 4 and len(b) >= 4 and (a in b or b in a)):
         return True
+    if ratio is None:
+        return False
     m = SequenceMatcher(None, a, b)
     return m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and m.ratio() >= ratio
 
 
-def match_headings(headings: DataFrame, valid: list[str], ratio: float = MATCH_RATIO) -> DataFrame:
-    """The first valid heading in list order that matches each distinct heading, or null.
+class HeadingIndex:
+    """The first of a list of normalised headings that matches a heading, found without comparing it with all.
+
+    Equality is a lookup, containment a search by automaton and in the joined
+    list. Two texts of T letters together that are alike at ratio r have M >=
+    rT/2 letters in at most T - 2M + 1 common blocks, hence at least M - 2(T -
+    2M + 1) three-letter grams in common; only those that do are compared, in
+    order. At 0.88 only pairs of 4 and 5 letters can do without a common gram:
+    they differ by one letter put in, and are looked up by that.
+    """
 
-    `valid` is a stated list, at most MAX_VALID long (a document's contents);
-    `headings` (a column `heading`) may be any number of rows: only their
-    distinct normalised forms are compared.
+    def __init__(self, keys: list[str], ratio: float | None = MATCH_RATIO):
+        import ahocorasick
+
+        self.keys, self.ratio = keys, ratio
+        self.exact: dict[str, int] = {}
+        self.tiny: dict[str, list[int]] = {}
+        self.held = ahocorasick.Automaton()
+        grams: dict[str, list[int]] = {}
+        for i, k in enumerate(keys):
+            if k in self.exact:
+                continue
+            self.exact[k] = i
+            if len(k) >= 4:
+                self.held.add_word(k, i)
+            for short in {k} if len(k) == 4 else {k[:j] + k[j + 1 :] for j in range(5)} if len(k) == 5 else ():
+                self.tiny.setdefault(short, []).append(i)
+            if ratio is not None:
+                for g in _grams(k):
+                    grams.setdefault(g, []).append(i)
+        if len(self.held):
+            self.held.make_automaton()
+        self.sizes = np.array([len(k) for k in keys], dtype=np.int64)
+        self.grams = {g: np.array(v, dtype=np.int64) for g, v in grams.items()}
+        self.starts, at = [], 0
+        for k in keys:
+            self.starts.append(at)
+            at += len(k) + 1
+        self.joined = "\n".join(keys)
+
+    def first(self, key: str) -> int | None:
+        """Place of the first heading of the list that matches `key`."""
+        if not key or not self.keys:
+            return None
+        best = self.exact.get(key, len(self.keys))
+        if len(key) >= 4:
+            if len(self.held):
+                best = min((i for _, i in self.held.iter(key) if i < best), default=best)
+            at = self.joined.find(key)
+            while at >= 0:
+                i = bisect_right(self.starts, at) - 1
+                if i >= best:
+                    break
+                if len(self.keys[i]) >= 4:
+                    best = i
+                    break
+                at = self.joined.find(key, at + 1)
+        if self.ratio is not None and best:
+            best = self._first_alike(key, best)
+        return best if best < len(self.keys) else None
+
+    def _first_alike(self, key: str, best: int) -> int:
+        n = len(key)
+        lists = [self.grams[g] for g in _grams(key) if g in self.grams]
+        total = n + self.sizes[:best]
+        if self.ratio >= 0.88:
+            shared = np.bincount(np.concatenate(lists), minlength=len(self.keys))[:best] if lists else np.zeros(best, np.int64)
+            likely = shared >= np.maximum(1, np.ceil(total / 2 - 2.5 * (1 - self.ratio) * total - 2 - 1e-9))
+        else:
+            likely = np.ones(best, bool)
+        likely &= 2 * np.minimum(n, self.sizes[:best]) >= self.ratio * total - 1e-9
+        places = np.flatnonzero(likely).tolist()
+        if n in (4, 5):
+            near = [key] if n == 4 else [key[:j] + key[j + 1 :] for j in range(5)]
+            places = sorted({*places, *(i for x in near for i in self.tiny.get(x, ()) if i < best)})
+        m = SequenceMatcher(None)
+        for i in places:
+            # the second text is the one that a matcher prepares, so the order is kept as in headings_match
+            m.set_seqs(key, self.keys[i])
+            if m.quick_ratio() >= self.ratio and m.ratio() >= self.ratio:
+                return i
+        return best
+
+
+def _grams(key: str) -> list[str]:
+    """Three-letter grams, repeated ones told apart by their number."""
+    seen: dict[str, int] = {}
+    out = []
+    for i in range(len(key) - 2):
+        g = key[i : i + 3]
+        n = seen[g] = seen.get(g, 0) + 1
+        out.append(g if n == 1 else f"{g}{n}")
+    return out
+
+
+def match_headings(headings: DataFrame, valid: DataFrame, ratio: float | None = MATCH_RATIO, block: int = MATCH_BLOCK) -> DataFrame:
+    """(doc_uuid, key, known, known_pos): for each normalised heading of a document the first of its valid ones that matches; those without are left out.
+
+    `headings` has (doc_uuid, key), `valid` (doc_uuid, key, heading, first_pos)
+    and, if places are shared, first_id. Only distinct keys are compared. A
+    document of more than `block` valid or other headings is divided by hash;
+    each of its blocks names its first match, and the first of these counts, so
+    no task holds a whole document of unknown size.
     """
-    if len(valid) > MAX_VALID:
-        raise ValueError("match against the entries of one document at a time")
-    spark = headings.sparkSession
-    keys = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(valid)], "i int, v string").select(X.normalize_heading(F.col("v")), "i").orderBy("i").collect()]
-    exact = {}
-    for i, k in enumerate(keys):
-        exact.setdefault(k, i)
-
-    def rows(key: str) -> Iterator[tuple]:
-        stop = exact.get(key, len(keys))
-        hit = next((i for i in range(stop) if headings_match(key, keys[i], ratio)), stop if stop < len(keys) else None)
-        yield key, None if hit is None else valid[hit], hit
-
-    keyed = headings.select("heading", X.normalize_heading(F.col("heading")).alias("key"))
-    found = map_rows(keyed.select("key").where("key != ''").distinct(), rows, "key string, matched string, match_pos int")
-    return keyed.join(found, "key", "left").select("heading", "matched", "match_pos")
+    doc = F.coalesce("doc_uuid", F.lit("\x00")).alias("doc")
+    tie = F.col("first_id").cast("long") if "first_id" in valid.columns else F.lit(0).cast("long")
+    h = headings.select(doc, "key").where("key != ''").distinct()
+    v = valid.select(doc, "key", "heading", F.col("first_pos").cast("long").alias("pos"), tie.alias("tie")).where("key != ''")
+    n_v = v.groupBy("doc").agg(F.ceil(F.count("*") / block).cast("int").alias("vs"))
+    sizes = h.groupBy("doc").agg(F.ceil(F.count("*") / block).cast("int").alias("hs")).join(n_v, "doc")
+    part = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = v.join(sizes, "doc").withColumns({"vb": part("vs")}).withColumn("hb", every("hs"))
+    right = h.join(sizes, "doc").withColumns({"hb": part("hs")}).withColumn("vb", every("vs"))
+    none = F.lit(None)
+    rows = left.select("doc", "vb", "hb", F.lit(0).alias("kind"), "pos", "tie", "key", "heading").unionAll(right.select("doc", "vb", "hb", F.lit(1).alias("kind"), none.cast("long").alias("pos"), none.cast("long").alias("tie"), "key", none.cast("string").alias("heading")))
+    # a block's valid headings come first, in order
+    ordered = rows.repartition("doc", "vb", "hb").sortWithinPartitions("doc", "vb", "hb", "kind", F.col("pos").asc_nulls_first(), "tie", "key")
+
+    def match(state: dict, doc: str, vb: int, hb: int, kind: int, pos: int | None, tie: int | None, key: str, heading: str | None) -> Iterator[tuple]:
+        if state.get("of") != (doc, vb, hb):
+            state.update(of=(doc, vb, hb), valid=[], index=None)
+        if kind == 0:
+            state["valid"].append((key, heading, pos, tie))
+            return
+        if state["index"] is None:
+            state["index"] = HeadingIndex([x[0] for x in state["valid"]], ratio)
+        at = state["index"].first(key)
+        if at is not None:
+            yield doc, key, *state["valid"][at][1:]
+
+    found = map_rows(ordered, match, "doc string, key string, known string, known_pos long, tie long", dict)
+    first = found.groupBy("doc", "key").agg(F.min_by(F.struct("known", "known_pos"), F.struct("known_pos", "tie")).alias("f"))
+    return first.select(F.nullif(F.col("doc"), F.lit("\x00")).alias("doc_uuid"), "key", "f.known", "f.known_pos")

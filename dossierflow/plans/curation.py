@@ -12,6 +12,7 @@ from dossierflow.operators import triage as G
 from dossierflow.plans import sqltext as S
 from dossierflow.plans.registry import Registry
 from dossierflow.plans.sqltext import CHUNKS, q
+from dossierflow.session import materialise
 from dossierflow.sources.tables import table
 
 curation = Registry()
@@ -49,19 +50,23 @@ def boilerplate_texts(spark, d):
     return G.boilerplate(chunks(spark, d), min_pages=1)
 
 
-HEADS = f"keyed AS (SELECT doc_uuid, pos, id, heading, {S.norm_heading('heading')} AS key FROM chunks), heads AS (SELECT doc_uuid, key, heading, pos AS first_pos FROM keyed WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_uuid, key ORDER BY pos, id) = 1)"
+HEADS = f"keyed AS (SELECT doc_uuid, pos, id, heading, page, {S.norm_heading('heading')} AS key FROM chunks), heads AS (SELECT doc_uuid, key, heading, pos AS first_pos FROM keyed WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_uuid, key ORDER BY pos, id) = 1)"
 
 
 @curation.query("ordered_distinct_headings", f"WITH {CHUNKS}, {HEADS} SELECT * FROM heads")
 def ordered_distinct_headings(spark, d):
-    return G.collect_headings(chunks(spark, d))
+    return G.collect_headings(chunks(spark, d)).drop("first_id")
 
 
+KNOWN = "known AS (SELECT h.doc_uuid, h.key, arg_min(v.heading, (v.pos, v.id)) AS known FROM (SELECT DISTINCT doc_uuid, key FROM keyed WHERE key <> '') h JOIN valid v ON h.doc_uuid = v.doc_uuid AND (h.key = v.key OR (length(h.key) >= 4 AND length(v.key) >= 4 AND (contains(h.key, v.key) OR contains(v.key, h.key)))) GROUP BY 1, 2)"
+FIRSTS = "firsts AS (SELECT doc_uuid, key, heading, pos, id FROM keyed WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_uuid, key ORDER BY pos, id) = 1)"
+VALID = f"valid AS (SELECT * FROM firsts WHERE {S.plausible('heading')})"
+
 TRIAGE = f"""{CHUNKS}, {HEADS},
 boiler AS (SELECT doc_uuid, norm FROM (SELECT doc_uuid, {S.casefold(S.collapse('text'))} AS norm, coalesce(page, -1) AS page FROM chunks) WHERE norm <> '' AND length(norm) <= 200 GROUP BY 1, 2 HAVING count(DISTINCT page) >= 4),
-valid AS (SELECT doc_uuid, key, heading AS known FROM heads WHERE {S.plausible('heading')}),
+{FIRSTS}, {VALID}, {KNOWN},
 c AS (SELECT c.*, {S.collapse('c.text')} AS norm, v.known, b.norm IS NOT NULL AS is_repeated
-      FROM chunks c LEFT JOIN valid v ON c.doc_uuid = v.doc_uuid AND v.key = {S.norm_heading('c.heading')}
+      FROM chunks c LEFT JOIN known v ON c.doc_uuid = v.doc_uuid AND v.key = {S.norm_heading('c.heading')}
       LEFT JOIN boiler b ON c.doc_uuid = b.doc_uuid AND b.norm = {S.casefold(S.collapse('c.text'))}),
 s AS (SELECT *, CASE WHEN list_has_any(labels, ['document_index']) THEN 'index' WHEN norm = '' THEN 'empty'
         WHEN len(labels) > 0 AND len(list_filter(labels, lambda x: x NOT IN ('page_header', 'page_footer'))) = 0 THEN 'furniture'
@@ -75,27 +80,59 @@ triaged AS (SELECT doc_uuid, pos, id,
   CASE WHEN step = 'short' OR (step = 'continue' AND cur IS NOT NULL) THEN 'medium' WHEN step = 'continue' THEN 'low' ELSE 'high' END AS confidence FROM w)"""
 
 
-def triaged(spark, d):
-    c = chunks(spark, d)
-    return G.triage(c, G.valid_headings(c), G.boilerplate(c))
+def marked(spark, d):
+    """Keys and flags of all chunks, written once without their texts."""
+    return materialise(G.marked(chunks(spark, d)).drop("text"))
+
+
+def triaged(spark, d, ratio=G.MATCH_RATIO):
+    m = marked(spark, d)
+    return G.triage(m, G.valid_headings(m), G.boilerplate(m), ratio=ratio)
+
+
+def contained(spark, d):
+    """Triage in which headings match if they are equal or one holds the other, which SQL can say as well."""
+    return triaged(spark, d, ratio=None)
+
 
+TRIAGE_COLUMNS = ("doc_uuid", "pos", "id", "action", "heading_out", "confidence")
 
-@curation.query("triage_actions", f"WITH {TRIAGE} SELECT * FROM triaged")
+
+@curation.query("triage_actions")
 def triage_actions(spark, d):
-    return triaged(spark, d).select("doc_uuid", "pos", "id", "action", "heading_out", "confidence")
+    """Decisions of all chunks, with headings that are merely alike."""
+    return triaged(spark, d).select(*TRIAGE_COLUMNS)
+
+
+@curation.query("triage_contained", f"WITH {TRIAGE} SELECT * FROM triaged")
+def triage_contained(spark, d):
+    return contained(spark, d).select(*TRIAGE_COLUMNS)
+
+
+# The contents are the headings that carry a page; the first chunk of a document is taken for the printed contents.
+TOC_TRIAGE = TRIAGE.replace(FIRSTS, FIRSTS.replace("key <> ''", "key <> '' AND page IS NOT NULL")).replace(VALID, "valid AS (SELECT * FROM firsts)").replace("WHEN norm = '' THEN 'empty'", "WHEN pos = 0 THEN 'toc' WHEN norm = '' THEN 'empty'").replace("('index', 'empty'", "('index', 'toc', 'empty'")
+
+
+@curation.query("triage_toc", f"""WITH {TOC_TRIAGE}, told AS (SELECT id, last_value(CASE step WHEN 'known' THEN true WHEN 'numbered' THEN false END IGNORE NULLS) OVER (PARTITION BY doc_uuid ORDER BY pos, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t FROM s)
+SELECT triaged.*, CASE WHEN action = 'log' THEN t END AS toc_match FROM triaged JOIN told USING (id)""")
+def triage_toc(spark, d):
+    """Triage against a table of contents, which holds the headings that carry a page."""
+    m = marked(spark, d)
+    entries = G.collect_headings(m.where("page is not null"))
+    return G.triage(m, entries, G.boilerplate(m), m.where("pos = 0").select("doc_uuid", "pos"), ratio=None).select(*TRIAGE_COLUMNS, "toc_match")
 
 
 @curation.query("triage_summary", f"""WITH {TRIAGE} SELECT doc_uuid, count(*) AS total, count(*) FILTER (action = 'log') AS n_log, count(*) FILTER (action = 'skip') AS n_skip, count(*) FILTER (action = 'review') AS n_review,
 count(*) FILTER (action = 'merge') AS n_merge, count(*) FILTER (confidence = 'low') AS low_confidence, round_even(100.0::DOUBLE * count(*) FILTER (action IN ('log', 'skip', 'merge')) / count(*), 1)::DOUBLE AS auto_handled_pct FROM triaged GROUP BY 1""")
 def triage_summary(spark, d):
-    return G.triage_summary(triaged(spark, d)).withColumn("auto_handled_pct", F.col("auto_handled_pct").cast("double"))
+    return G.triage_summary(contained(spark, d)).withColumn("auto_handled_pct", F.col("auto_handled_pct").cast("double"))
 
 
 @curation.query("triage_view", f"WITH {TRIAGE} SELECT t.doc_uuid, t.id, t.action FROM triaged t JOIN chunks c USING (id) WHERE t.action = 'log' AND contains({S.casefold('c.heading || chr(32) || c.text')}, 'fuel')")
 def triage_view(spark, d):
     """The review tool's view: kept chunks that hold a search word."""
-    t = triaged(spark, d).where("action = 'log'")
-    return t.where(X.casefold(F.concat_ws(" ", "heading", "text")).contains("fuel")).select("doc_uuid", "id", "action")
+    hits = chunks(spark, d).where(X.casefold(F.concat_ws(" ", "heading", "text")).contains("fuel")).select("id")
+    return contained(spark, d).where("action = 'log'").join(hits, "id").select("doc_uuid", "id", "action")
 
 
 @curation.query("heading_forward_fill", f"WITH {CHUNKS} SELECT doc_uuid, pos, id, heading, last_value(nullif(heading, '') IGNORE NULLS) OVER (PARTITION BY doc_uuid ORDER BY pos, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading_above FROM chunks")
@@ -168,7 +205,7 @@ SELECT t.doc_uuid, t.id, CASE p.status WHEN 'skip' THEN 'skip' WHEN 'log' THEN '
 def resume_overlay(spark, d):
     s = table(spark, d, "sections", "doc_uuid", "id", "decision", "updated_at").where("decision <> ''")
     past = s.select("doc_uuid", "id", F.col("updated_at").alias("seq"), F.when(F.col("decision") == "skip", "skipped").when(F.col("decision") == "log", "logged (auto)").otherwise(F.col("decision")).alias("status"))
-    return M.overlay_history(triaged(spark, d), past).select("doc_uuid", "id", "action", "resumed")
+    return M.overlay_history(contained(spark, d), past).select("doc_uuid", "id", "action", "resumed")
 
 
 @curation.query("bulk_edit", f"WITH {DECISIONS} SELECT id, CASE WHEN action = 'review' THEN 'log' ELSE action END AS action, CASE WHEN action = 'review' THEN 'Reviewed' ELSE heading END AS heading, action = 'review' AS edited FROM decisions")
@@ -191,7 +228,7 @@ def use_heading_above(spark, d):
 def versioned_save(spark, d):
     """Documents whose saved review differs from what triage proposes now."""
     old = decisions(spark, d).select("doc_uuid", "id", "action")
-    return M.changed_documents(old, triaged(spark, d).select("doc_uuid", "id", "action"), ["id", "action"])
+    return M.changed_documents(old, contained(spark, d).select("doc_uuid", "id", "action"), ["id", "action"])
 
 
 @curation.query("section_edits", f"""WITH s AS (SELECT doc_uuid, ordinal, any_value(heading) AS heading, any_value(text) AS text, count(*) AS n FROM sections GROUP BY 1, 2 HAVING count(*) = 1)
@@ -265,6 +302,6 @@ def contents_tables(spark, d):
 
 @curation.query("fuzzy_headings")
 def fuzzy_headings(spark, d):
-    """The corpus's headings against a stated list of section titles."""
-    valid = ["Fuel system – records", "Cabin crew – general", "Ice detection – qualification", "Rest period – changes", "AMC1 APO.CAM.100 | Rest period – operating procedures | Subpart G", "Night operations – limitations"]
-    return T.match_headings(table(spark, d, "sections", "heading").where("heading is not null").distinct(), valid)
+    """Every heading of a document with the first of the document's valid headings that it matches."""
+    m = marked(spark, d)
+    return T.match_headings(m, G.valid_headings(m))

@@ -382,7 +382,7 @@ def refined_headings(spark, d):
     from dossierflow.operators.triage import chunk_view, collect_headings
 
     h = collect_headings(chunk_view(table(spark, d, "sections", "doc_uuid", "ordinal", "id", "heading", "text", "labels_json", "page")))
-    return L.refined_headings(h, h.where(F.char_length("key") % 2 == 0))
+    return L.refined_headings(h, h.where(F.char_length("key") % 2 == 0)).drop("first_id")
 
 
 @documents.query("model_toc", f"SELECT id, {S.ustrip('heading')} AS title, CAST(ordinal % 20000 AS INTEGER) AS raw FROM sections WHERE regexp_full_match(heading, '[A-Za-z0-9 ,.()-]+') AND {S.ustrip('heading')} <> ''")

@@ -1,6 +1,8 @@
 """Triage, contents, merge folding and blocked windows against sequential loops."""
 
 import random
+import re
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,7 +101,7 @@ def test_triage_precedence(spark):
         *[chunk("d", 10 + i, "", "running footer of the book", page=i) for i in range(4)],
     ]
     c = spark.createDataFrame(rows, "doc_uuid string, pos long, id long, heading string, text string, labels array<string>, page int")
-    valid = spark.createDataFrame([("d", "general", "General")], "doc_uuid string, key string, heading string")
+    valid = spark.createDataFrame([("d", "general", "General", 0)], "doc_uuid string, key string, heading string, first_pos long")
     got = {r.id: (r.action, r.heading_out, r.confidence) for r in G.triage(c, valid, G.boilerplate(c)).collect()}
     assert got[0] == ("review", "", "low") and got[1][0] == "skip" and got[2] == ("log", "1. Scope", "high") and got[3] == ("log", "1. Scope", "medium")
     assert got[4][0] == "skip" and got[5] == ("skip", "", "high") and got[6] == ("skip", "", "medium")
@@ -122,10 +124,93 @@ def test_toc_run_stops_at_text(spark):
     assert sorted((r.title, r.page) for r in entries) == [("1. Scope", 1), ("2. Terms", 2), ("3. Rules", 3)]
 
 
-def test_fuzzy_headings_take_the_first_match(spark):
-    df = spark.createDataFrame([("Fuel system records",), ("FUEL SYSTEM",), ("fuel sistem records",), ("Else",), (None,), ("",)], "heading string")
-    got = {r.heading: r.matched for r in T.match_headings(df, ["Fuel system", "Fuel system records", "Other"]).collect()}
-    assert got == {"Fuel system records": "Fuel system", "FUEL SYSTEM": "Fuel system", "fuel sistem records": "Fuel system records", "Else": None, None: None, "": None}
+POOL = ["1.2 Fuel system", "Fuel system", "Fuel sistem", "Fuel system – records", "Fuel system – recorbs", "GENERAL", "General.", "generel", "abcd", "abXcd", "ab", "Cabin crew", "Cabin crew – general provisions", "", "3. Scope", "odd", "Page 3", "Äußere Türen", "ÄUSSERE TÜREN", "aaaa aaaa", "aaaaaaaaa"]
+
+
+def key_of(h):
+    return re.sub(r"\s+", " ", h or "").strip().strip(" .:;-–—_·").casefold()
+
+
+def firsts(chunks):
+    """Distinct headings in their first spelling, in order."""
+    seen = {}
+    for r in chunks:
+        if key_of(r[3]):
+            seen.setdefault(key_of(r[3]), r[3])
+    return list(seen.values())
+
+
+def sequential(chunks, valid, repeated, toc=(), ratio=0.88):
+    """The decisions of one document, chunk after chunk."""
+    out, current, from_toc = {}, "", None
+    alike = lambda a, b: bool(a and b) and (a == b or (len(a) >= 4 and len(b) >= 4 and (a in b or b in a)) or (ratio is not None and SequenceMatcher(None, a, b).ratio() >= ratio))
+    for _, pos, i, heading, text, labels, _ in chunks:
+        norm = re.sub(r"\s+", " ", text).strip()
+        numbered = bool(re.match(r"\s*(\d+(\.\d+)*\.?)\s+\S", heading))
+        if "document_index" in labels or pos in toc or not norm or norm.casefold() in repeated or len(norm) < 25:
+            out[i] = ("skip", heading, None)
+            continue
+        match = next((v for v in valid if alike(key_of(heading), key_of(v))), None)
+        if match:
+            current, from_toc = match, True
+        elif heading and numbered:
+            current, from_toc = heading, False
+        out[i] = ("log", current, from_toc) if current else ("review", heading, None)
+    return out
+
+
+@pytest.mark.parametrize("ratio,block", [(0.88, 20_000), (0.88, 3), (None, 20_000)])
+def test_triage_against_a_loop(spark, ratio, block, monkeypatch):
+    rnd = random.Random(block)
+    rows, k = [], 0
+    for d in (*(f"d{i}" for i in range(15)), None):
+        for p in range(rnd.randint(0, 25)):
+            k += 1
+            rows.append((d, p, k, rnd.choice(POOL), rnd.choice(["short", "  ", *["This is text long enough to be content."] * 5]), rnd.choice([["text"]] * 6 + [["document_index"]]), rnd.choice([1, 2, None])))
+    c = spark.createDataFrame(rows, "doc_uuid string, pos long, id long, heading string, text string, labels array<string>, page int")
+    match = T.match_headings
+    monkeypatch.setattr(G, "match_headings", lambda h, v, r: match(h, v, r, block))
+    entries = G.collect_headings(c.where("page = 1"))
+    valid = G.valid_headings(c)
+    none = G.boilerplate(c).limit(0)
+    plain = {r.id: (r.action, r.heading_out) for r in G.triage(c, valid, none, ratio=ratio).collect()}
+    toc = {r.id: (r.action, r.heading_out, r.toc_match) for r in G.triage(c, entries, none, c.where("pos = 0").select("doc_uuid", "pos"), ratio=ratio).collect()}
+    assert len(plain) == len(toc) == len(rows)
+    furniture = lambda h: not h or bool(re.match(r"(?i)^page\s+\d+", h)) or not (3 <= len(h.strip(" .·•_-")) <= 160)
+    for d in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == d]
+        names = [h for h in firsts(own) if not furniture(h)]
+        for i, (a, h, _) in sequential(own, names, set(), ratio=ratio).items():
+            assert plain[i] == (a, h)
+        for i, x in sequential(own, firsts([r for r in own if r[6] == 1]), set(), {0}, ratio).items():
+            assert toc[i] == x
+
+
+def test_heading_index_agrees_with_comparing_all():
+    rnd = random.Random(6)
+    letters = ["abcd", "abcdefgh –", "ab"]
+    for n in range(150):
+        base = ["".join(rnd.choices(letters[n % 3], k=rnd.randint(1, rnd.choice([5, 12, 40])))).strip() for _ in range(12)]
+        def edited(x):
+            x = list(x)
+            for _ in range(rnd.randint(0, 3)):
+                at = rnd.randrange(len(x) + 1)
+                x[at : at + rnd.randint(0, 2)] = rnd.choices(letters[n % 3], k=rnd.randint(0, 2))
+            return "".join(x).strip()
+        keys = [edited(rnd.choice(base)) for _ in range(25)]
+        keys = [k for k in keys if k]
+        for ratio in (0.88, None, 0.7):
+            index = T.HeadingIndex(keys, ratio)
+            for h in [edited(rnd.choice(base)) for _ in range(25)] + keys:
+                assert index.first(h) == next((i for i, k in enumerate(keys) if T.headings_match(h, k, ratio)), None), (h, keys, ratio)
+
+
+def test_match_headings_edges(spark):
+    v = spark.createDataFrame([("d", "fuel system", "Fuel system", 1), (None, "x", "X", 0), ("d", "", "", 0)], "doc_uuid string, key string, heading string, first_pos long")
+    h = spark.createDataFrame([("d", "fuel sistem", 1), ("d", "fuel sistem", 2), (None, "x", 0), ("e", "fuel system", 0), ("d", "", 0), ("d", None, 0)], "doc_uuid string, key string, known int")
+    got = sorted((str(r.doc_uuid), r.key, r.known, r.known_pos) for r in T.match_headings(h, v).collect())
+    assert got == [("None", "x", "X", 0), ("d", "fuel sistem", "Fuel system", 1)]
+    assert T.match_headings(h.limit(0), v).collect() == [] and T.match_headings(h, v.limit(0)).collect() == []
 
 
 def test_versions_and_edits(spark):
