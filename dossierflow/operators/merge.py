@@ -4,21 +4,29 @@ Decisions are rows (doc_uuid, pos, id, action, heading, text, labels, page)
 with a unique id and action log, review, skip or merge. A `merge` row's text goes to the
 nearest row above that is kept; with none above, it is kept itself.
 
+Where a row goes is worked out on positions, keys and lengths alone; each text
+then moves once, to the row it becomes part of. A section (or a kept row with
+its merges) comes in parts of about PART_CHARS characters, numbered from 0, so
+that no cell outgrows a task: its text is the parts' texts with SEPARATOR
+between, its ids, labels and pages are those of its parts. Heading, first
+position and number of chunks are those of the whole on every part.
+
 Edge cases: null texts count as empty; a run of merges lands in one row;
-merges behind a skip pass over it; an empty table gives an empty table.
-Sections of more than PART_CHUNKS chunks come in parts, so that no task has to
-hold an unbounded group; part 0 is the whole section of any other.
+merges behind a skip pass over it; a null document is a document of its own; a
+part whose rows hold no text has the text ''; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossierflow.functions import text as X
 from dossierflow.operators.ordered import carry_last, first_per_key, running_sum
 
-PART_CHUNKS = 2_000
+#: Characters of a part; a row counts ROW_CHARS more, for what else is kept of it.
+PART_CHARS, ROW_CHARS = 8_000_000, 16
 SEPARATOR = "\n\n"
 
 
@@ -35,37 +43,95 @@ def block_text(text: Column, heading: Column, add_heading: Column) -> Column:
 
 
 def merge_groups(decisions: DataFrame) -> DataFrame:
-    """Adds gid (the kept row a row belongs to, counted from 1 in its document; null for skips) and kept."""
+    """Adds gid (the kept row a row belongs to, counted from 1 in its document; null for skips) and kept.
+
+    All columns go through the windows: pass slim rows.
+    """
     kept0 = ~F.col("action").isin("skip", "merge")
-    # the windows run over positions and actions alone; texts meet their group in one join on the row's id
-    slim = decisions.select("doc_uuid", "pos", "id", "action")
-    d = running_sum(slim, ["doc_uuid"], "pos", ["id"], {"kept_upto": kept0.cast("int"), "merges_upto": (F.col("action") == "merge").cast("int")})
+    d = running_sum(decisions, ["doc_uuid"], "pos", ["id"], {"kept_upto": kept0.cast("int"), "merges_upto": (F.col("action") == "merge").cast("int")})
+    # a document whose first row that isn't skipped is a merge keeps that one, which the sum doesn't count
+    first = decisions.where("action != 'skip'").groupBy(_doc().alias("_d")).agg(F.min_by("action", F.struct("pos", "id")).alias("first"))
+    d = d.withColumn("_d", _doc()).join(first, "_d", "left")
+    begun = (F.col("first") == "merge") & ((F.col("kept_upto") > 0) | (F.col("merges_upto") > 0))
+    gid = F.col("kept_upto") + F.coalesce(begun, F.lit(False)).cast("int")
     orphan = (F.col("action") == "merge") & (F.col("kept_upto") == 0) & (F.col("merges_upto") == 1)
-    d = d.withColumn("kept", kept0 | orphan).drop("kept_upto", "merges_upto")
-    d = running_sum(d, ["doc_uuid"], "pos", ["id"], {"gid": F.col("kept").cast("int")})
-    told = d.select("id", "kept", F.when(F.col("action") != "skip", F.col("gid")).alias("gid"))
-    rest = [c for c in decisions.columns if c not in ("doc_uuid", "pos", "id", "action")]
-    if not rest:
-        return d.withColumn("gid", F.when(F.col("action") != "skip", F.col("gid")))
-    return decisions.join(told, "id")
+    return d.withColumns({"gid": F.when(F.col("action") != "skip", gid), "kept": kept0 | orphan}).drop("_d", "first", "kept_upto", "merges_upto")
+
+
+def _doc(c: str = "doc_uuid") -> Column:
+    return F.coalesce(c, F.lit("\x00"))
 
 
-def resolve_merges(decisions: DataFrame) -> DataFrame:
-    """One row per kept row: its text with the texts merged into it, labels and pages united in order.
+def folded_rows(decisions: DataFrame) -> DataFrame:
+    """Slim rows of everything that is kept or merged: id, _doc, pos, size, lead, the kept row they belong to (gid, kept_pos, kept_id, key, heading) and `has_item`, `trimmed`.
+
+    A kept row gives its text as it is, without trailing white space if text
+    is merged into it, and nothing if it is blank then; a merged row gives its
+    block unless that is blank.
+    """
+    text = F.coalesce("text", F.lit(""))
+    blank = X.ustrip(F.when(F.col("action") == "merge", block_text(F.col("text"), F.col("heading"), F.col("add_heading"))).otherwise(text)) == ""
+    alone = X.ustrip(text) == ""
+    slim = decisions.select("doc_uuid", "pos", "id", "action", "heading", blank.alias("blank"), alone.alias("alone"), (F.char_length(text) + F.char_length(F.coalesce("heading", F.lit("")))).alias("size"))
+    d = merge_groups(slim).where(F.col("gid").isNotNull()).withColumn("_doc", _doc())
+    own = F.struct("pos", "id", "heading", "alone")
+    folds = d.groupBy("_doc", "gid").agg(F.min(F.when(F.col("kept"), own)).alias("k"), F.count_if(~F.col("kept") & ~F.col("blank")).alias("added"))
+    rows = d.select("_doc", "gid", "pos", "id", "kept", "blank", "size").join(folds, ["_doc", "gid"])
+    has_item = F.when(F.col("kept"), (F.col("added") == 0) | ~F.col("k.alone")).otherwise(~F.col("blank"))
+    return rows.select("id", "_doc", "gid", "pos", "size", F.col("kept").alias("lead"), F.col("k.pos").alias("kept_pos"), F.col("k.id").alias("kept_id"), F.col("k.heading").alias("heading"), has_item.alias("has_item"), (F.col("kept") & (F.col("added") > 0)).alias("trimmed"))
+
+
+def in_parts(rows: DataFrame, keys: list[str], part_chars: int = PART_CHARS) -> DataFrame:
+    """Adds part, first (kept_pos, kept_id, heading) and n_chunks of the whole to slim rows grouped by `keys`.
+
+    Only wholes beyond part_chars need running sums; for all others the part
+    is 0 anyway.
+    """
+    weight = F.col("size") + ROW_CHARS
+    wholes = rows.groupBy(*keys).agg(F.sum(weight).alias("_all"), F.count_if("lead").alias("n_chunks"), F.min(F.struct("kept_pos", "kept_id", "heading")).alias("first"))
+    heavy = wholes.where(F.col("_all") > part_chars).select(*keys)
+    sums = running_sum(rows.join(heavy, keys, "left_semi").select("id", *keys, "kept_pos", "kept_id", "pos", "size"), keys, "kept_pos", ["kept_id", "pos", "id"], {"_before": weight}, inclusive=False)
+    part = sums.select("id", F.floor(F.col("_before") / part_chars).cast("long").alias("part"))
+    return rows.join(wholes.drop("_all"), keys).join(part, "id", "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+
+
+def assembled(decisions: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
+    """The parts of the wholes: keys, part, heading, first_pos, first_id, n_chunks, text, chunk_ids, merged_from, labels, pages."""
+    lost = [c for c, t in (("labels", "array<string>"), ("page", "int")) if c not in decisions.columns]
+    held = decisions.withColumns({c: F.lit(None).cast({"labels": "array<string>", "page": "int"}[c]) for c in lost})
+    held = held.select("id", "labels", "page", F.col("heading").alias("_own"), *(["add_heading"] if "add_heading" in decisions.columns else [F.lit(False).alias("add_heading")]), F.coalesce("text", F.lit("")).alias("text"))
+    full = held.join(placed, "id")
+    text = F.when(F.col("lead"), F.when(F.col("trimmed"), rstrip(F.col("text"))).otherwise(F.col("text"))).otherwise(block_text(F.col("text"), F.col("_own"), F.col("add_heading")))
+    row = F.struct("kept_pos", "kept_id", "pos", "id", "lead", "labels", "page", F.when(F.col("has_item"), text).alias("item"))
+    g = full.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.min("first").alias("first"), F.min("n_chunks").alias("n_chunks"))
+    of = lambda name: F.transform("rows", lambda r: r[name])
+    none = F.array().cast("array<string>")
+    labels = F.flatten(F.transform("rows", lambda r: F.coalesce(r["labels"], none)))
+    return g.select(
+        *keys, "part", F.col("first.heading").alias("heading"), F.col("first.kept_pos").alias("first_pos"), F.col("first.kept_id").alias("first_id"), F.col("n_chunks").cast("long").alias("n_chunks"),
+        F.array_join(F.filter(of("item"), lambda x: x.isNotNull()), SEPARATOR).alias("text"),
+        of("id").alias("chunk_ids"), F.transform(F.filter("rows", lambda r: ~r["lead"]), lambda r: r["id"]).alias("merged_from"),
+        _union_lists(F.coalesce(F.col("rows")[0]["labels"], none), labels).alias("labels"), F.array_distinct(F.filter(of("page"), lambda p: p.isNotNull())).alias("pages"),
+    )
+
+
+def with_add_heading(decisions: DataFrame) -> DataFrame:
+    return decisions if "add_heading" in decisions.columns else decisions.withColumn("add_heading", F.lit(False))
+
+
+def resolve_merges(decisions: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """One row per kept row and part: its text with the texts merged into it, labels and pages united in order.
 
     Optional boolean column add_heading asks for the heading line of a merged row.
     """
-    if "add_heading" not in decisions.columns:
-        decisions = decisions.withColumn("add_heading", F.lit(False))
-    d = merge_groups(decisions).where(F.col("gid").isNotNull())
-    piece = F.when(F.col("kept"), F.coalesce("text", F.lit(""))).otherwise(block_text(F.col("text"), F.col("heading"), F.col("add_heading")))
-    row = F.struct("pos", "id", "kept", "heading", "labels", "page", piece.alias("piece"))
-    g = d.groupBy("doc_uuid", "gid").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    first = F.filter("rows", lambda r: r["kept"])[0]
-    added = F.filter(F.transform(F.filter("rows", lambda r: ~r["kept"]), lambda r: r["piece"]), lambda p: X.ustrip(p) != "")
-    base = rstrip(first["piece"])
-    text = F.when(F.size(added) == 0, first["piece"]).otherwise(F.array_join(F.concat(F.when(base != "", F.array(base)).otherwise(F.array().cast("array<string>")), added), SEPARATOR))
-    return g.select("doc_uuid", F.col("gid"), first["pos"].alias("pos"), first["id"].alias("id"), first["heading"].alias("heading"), text.alias("text"), F.transform(F.filter("rows", lambda r: ~r["kept"]), lambda r: r["id"]).alias("merged_from"), _union_lists(first["labels"], F.flatten(F.transform("rows", lambda r: r["labels"]))).alias("labels"), F.array_distinct(F.filter(F.transform("rows", lambda r: r["page"]), lambda p: p.isNotNull())).alias("pages"))
+    decisions = with_add_heading(decisions)
+    placed = in_parts(folded_rows(decisions), ["_doc", "gid"], part_chars)
+    a = assembled(decisions, placed, ["_doc", "gid"])
+    return a.select(_nulled("_doc").alias("doc_uuid"), "gid", "part", F.col("first_pos").alias("pos"), F.col("first_id").alias("id"), "heading", "text", "merged_from", "labels", "pages")
+
+
+def _nulled(c: str) -> Column:
+    return F.nullif(F.col(c), F.lit("\x00"))
 
 
 def _union_lists(first: Column, all_: Column) -> Column:
@@ -79,31 +145,43 @@ def merge_targets(decisions: DataFrame) -> DataFrame:
     return carry_last(decisions, ["doc_uuid"], "pos", ["id"], {"target_id": kept}, inclusive=False).select("doc_uuid", "pos", "id", "action", "target_id")
 
 
-def build_sections(kept: DataFrame, key: Column, part_chunks: int = PART_CHUNKS) -> DataFrame:
-    """Sections of kept rows (doc_uuid, pos, id, heading, text): one row per document and key, in parts beyond part_chunks rows."""
-    k = kept.withColumn("key", key)
-    sizes = k.groupBy("doc_uuid", "key").agg(F.count("*").alias("n"), F.min(F.struct("pos", "id", "heading")).alias("f"))
-    big = sizes.where(F.col("n") > part_chunks).select(F.col("doc_uuid"), "key", F.lit(True).alias("big"))
-    k = k.join(big, [k["doc_uuid"].eqNullSafe(big["doc_uuid"]), k["key"] == big["key"]], "left").select(k["*"], "big")
-    part = F.when(F.col("big"), F.floor(F.col("pos") / part_chunks)).otherwise(F.lit(0)).cast("long")
-    g = k.groupBy("doc_uuid", "key", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("pos", "id", "heading", "text"))).alias("rows"))
-    return g.select("doc_uuid", "key", "part", F.col("rows")[0]["heading"].alias("heading"), F.col("rows")[0]["pos"].alias("first_pos"), F.size("rows").cast("long").alias("n_chunks"), F.array_join(F.transform("rows", lambda r: F.coalesce(r["text"], F.lit(""))), SEPARATOR).alias("merged_text"))
+def kept_rows(kept: DataFrame, key: Column) -> DataFrame:
+    """Slim rows, as of folded_rows, of rows that are kept as they are, with the key of their section."""
+    size = F.char_length(F.coalesce("text", F.lit(""))) + F.char_length(F.coalesce("heading", F.lit("")))
+    return kept.select("id", _doc().alias("_doc"), "pos", size.alias("size"), F.lit(True).alias("lead"), F.col("pos").alias("kept_pos"), F.col("id").alias("kept_id"), "heading", F.lit(True).alias("has_item"), F.lit(False).alias("trimmed"), key.alias("key"))
+
+
+def merged_rows(decisions: DataFrame) -> DataFrame:
+    """Slim rows of decisions with merges folded in, and the key of their section: the kept row's normalised heading."""
+    return folded_rows(decisions).withColumn("key", X.normalize_heading(F.col("heading")))
+
+
+def section_members(rows: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """(doc_uuid, key, part, kept_id, id, pos): which chunks make up which section, one row each."""
+    return in_parts(rows, ["_doc", "key"], part_chars).select(_nulled("_doc").alias("doc_uuid"), "key", "part", "kept_id", "id", "pos")
 
 
-def merged_sections(decisions: DataFrame) -> DataFrame:
+def build_sections(decisions: DataFrame, rows: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """Sections of the slim rows with the decisions' texts: doc_uuid, key, part, heading, first_pos, n_chunks, merged_text, chunk_ids, labels, pages."""
+    a = assembled(decisions, in_parts(rows, ["_doc", "key"], part_chars), ["_doc", "key"])
+    return a.select(_nulled("_doc").alias("doc_uuid"), "key", "part", "heading", "first_pos", "n_chunks", F.col("text").alias("merged_text"), "chunk_ids", "labels", "pages")
+
+
+def merged_sections(decisions: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     """Sections by normalised heading from decisions, merges folded in first; blank headings form one section."""
-    return build_sections(resolve_merges(decisions), X.normalize_heading(F.col("heading")))
+    decisions = with_add_heading(decisions)
+    return build_sections(decisions, merged_rows(decisions), part_chars)
 
 
-def sections_by_exact_heading(kept: DataFrame) -> DataFrame:
+def sections_by_exact_heading(kept: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     """Sections by the heading as written (the sequential review's grouping)."""
-    return build_sections(kept, F.coalesce("heading", F.lit("")))
+    return build_sections(kept, kept_rows(kept, F.coalesce("heading", F.lit(""))), part_chars)
 
 
-def baseline_sections(chunks: DataFrame) -> DataFrame:
+def baseline_sections(chunks: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     """Sections by heading, or `General`, from chunks with text."""
     named = chunks.where(X.ustrip(F.coalesce("text", F.lit(""))) != "").withColumn("heading", F.when(F.coalesce("heading", F.lit("")) == "", "General").otherwise(F.col("heading")))
-    return build_sections(named, F.col("heading"))
+    return build_sections(named, kept_rows(named, F.col("heading")), part_chars)
 
 
 # ---- review history and edits ----
@@ -166,8 +244,3 @@ def section_edits(sections: DataFrame, edits: DataFrame) -> DataFrame:
 def rows_from_orphans(decisions: DataFrame) -> DataFrame:
     """Merges with nothing above them, which are kept as rows of their own."""
     return merge_groups(decisions.select("doc_uuid", "pos", "id", "action")).where((F.col("action") == "merge") & F.col("kept")).select("doc_uuid", "pos", "id")
-
-
-def bounded_rank(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
-    """The first `most` rows of each key; Spark limits each group before the shuffle."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= most)

@@ -6,21 +6,28 @@ and a second window carries the summaries along the blocks of a group. A group
 of n rows costs tasks of block size and one of n / block rows.
 
 `position` is a numeric column; a null position sorts first. Ties are broken
-by `ties`. Rows keep all their columns.
+by `ties`. Rows keep all their columns. Rows without a position are divided by
+their first tie where that is a number; rows that share one position stay in
+one block.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 BLOCK = 10_000
+#: Blocks of rows without position come before all others.
+_NULLS = -(1 << 62)
 
 
 def _blocks(df: DataFrame, keys: list[str], position: str, ties: list[str], block: int):
     # null-safe keys: a null group is a group
     safe = [F.coalesce(F.col(k).cast("string"), F.lit("\x00")).alias(f"_k{i}") for i, k in enumerate(keys)]
-    out = df.select("*", *safe, F.coalesce(F.floor(F.col(position) / block), F.lit(-1)).alias("_b"))
+    numeric = ties and isinstance(df.schema[ties[0]].dataType, NumericType)
+    without = F.lit(_NULLS) + (F.coalesce(F.floor(F.col(ties[0]) / block), F.lit(-(1 << 52))) if numeric else F.lit(0))
+    out = df.select("*", *safe, F.coalesce(F.floor(F.col(position) / block), without).cast("long").alias("_b"))
     names = [f"_k{i}" for i in range(len(keys))]
     within = Window.partitionBy(*names, "_b").orderBy(F.col(position).asc_nulls_first(), *ties)
     return out, names, within, Window.partitionBy(*names).orderBy("_b")

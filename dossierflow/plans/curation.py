@@ -172,25 +172,47 @@ def merge_targets(spark, d):
     return M.merge_targets(decisions(spark, d))
 
 
-# groups beyond the size of a part come in parts in the query as in its twin
-SECTIONS = """sized AS (SELECT *, count(*) OVER (PARTITION BY doc_uuid, key) AS n_all FROM kept),
-parted AS (SELECT *, CASE WHEN n_all > 2000 THEN CAST(floor(pos / 2000) AS BIGINT) ELSE 0 END AS part FROM sized)
-SELECT doc_uuid, key, part, arg_min(heading, (pos, id)) AS heading, min(pos) AS first_pos, count(*) AS n_chunks, string_agg(text, chr(10) || chr(10) ORDER BY pos, id) AS merged_text FROM parted GROUP BY 1, 2, 3"""
+# `ids`: what a kept row is made of, itself first
+SECTIONS = """SELECT doc_uuid, key, 0::BIGINT AS part, arg_min(heading, (pos, id)) AS heading, min(pos) AS first_pos, count(*) AS n_chunks, string_agg(text, chr(10) || chr(10) ORDER BY pos, id) AS merged_text, string_agg(ids, ',' ORDER BY pos, id) AS chunk_ids FROM kept GROUP BY 1, 2"""
+FOLDED_IDS = f"ids AS (SELECT doc_uuid, gid, string_agg(id::VARCHAR, ',' ORDER BY pos, id) AS ids FROM g WHERE action <> 'skip' GROUP BY 1, 2), kept AS (SELECT f.*, ids, {S.norm_heading('heading')} AS key FROM folded f JOIN ids USING (doc_uuid, gid))"
 
 
-@curation.query("merged_sections", f"WITH {FOLD}, kept AS (SELECT *, {S.norm_heading('heading')} AS key FROM folded), {SECTIONS}")
+def as_rows(sections):
+    """Sections with their chunks' ids as text."""
+    return sections.withColumn("chunk_ids", F.array_join("chunk_ids", ",")).drop("labels", "pages")
+
+
+@curation.query("merged_sections", f"WITH {FOLD}, {FOLDED_IDS} {SECTIONS}")
 def merged_sections(spark, d):
-    return M.merged_sections(decisions(spark, d))
+    return as_rows(M.merged_sections(decisions(spark, d)))
+
+
+@curation.query("section_members", f"WITH {FOLD}, {FOLDED_IDS} SELECT g.doc_uuid, k.key, 0::BIGINT AS part, k.id AS kept_id, g.id, g.pos FROM g JOIN kept k ON g.doc_uuid = k.doc_uuid AND g.gid = k.gid WHERE g.action <> 'skip'")
+def section_members(spark, d):
+    """Which chunks make up which section."""
+    return M.section_members(M.merged_rows(M.with_add_heading(decisions(spark, d))))
+
+
+ROWS_OF = "m AS (SELECT k.doc_uuid, k.key, k.pos AS kpos, k.id AS kid, g.pos, g.id, g.labels, g.page FROM g JOIN kept k ON g.doc_uuid = k.doc_uuid AND g.gid = k.gid WHERE g.action <> 'skip')"
+
+
+@curation.query("section_labels", f"""WITH {FOLD}, {FOLDED_IDS}, {ROWS_OF}, l AS (SELECT doc_uuid, key, unnest(labels) AS label, generate_subscripts(labels, 1) AS n, kpos, kid, pos, id FROM m),
+fl AS (SELECT doc_uuid, key, label, min((kpos, kid, pos, id, n)) AS first_at FROM l GROUP BY 1, 2, 3), fp AS (SELECT doc_uuid, key, page, min((kpos, kid, pos, id)) AS first_at FROM m WHERE page IS NOT NULL GROUP BY 1, 2, 3),
+al AS (SELECT doc_uuid, key, string_agg(label, ',' ORDER BY first_at) AS labels FROM fl GROUP BY 1, 2), ap AS (SELECT doc_uuid, key, string_agg(page::VARCHAR, ',' ORDER BY first_at) AS pages FROM fp GROUP BY 1, 2)
+SELECT k.doc_uuid, k.key, coalesce(labels, '') AS labels, coalesce(pages, '') AS pages FROM (SELECT DISTINCT doc_uuid, key FROM kept) k LEFT JOIN al USING (doc_uuid, key) LEFT JOIN ap USING (doc_uuid, key)""")
+def section_labels(spark, d):
+    """Labels and pages of every section in the order of its chunks."""
+    return M.merged_sections(decisions(spark, d)).select("doc_uuid", "key", F.array_join("labels", ",").alias("labels"), F.array_join("pages", ",").alias("pages"))
 
 
-@curation.query("sections_by_exact_heading", f"WITH {DECISIONS}, kept AS (SELECT *, heading AS key FROM decisions WHERE action IN ('log', 'review')), {SECTIONS}")
+@curation.query("sections_by_exact_heading", f"WITH {DECISIONS}, kept AS (SELECT *, heading AS key, id::VARCHAR AS ids FROM decisions WHERE action IN ('log', 'review')) {SECTIONS}")
 def sections_by_exact_heading(spark, d):
-    return M.sections_by_exact_heading(decisions(spark, d).where("action in ('log', 'review')"))
+    return as_rows(M.sections_by_exact_heading(decisions(spark, d).where("action in ('log', 'review')")))
 
 
-@curation.query("baseline_sections", f"WITH {CHUNKS}, kept AS (SELECT * REPLACE (CASE WHEN heading = '' THEN 'General' ELSE heading END AS heading), CASE WHEN heading = '' THEN 'General' ELSE heading END AS key FROM chunks WHERE {S.ustrip('text')} <> ''), {SECTIONS}")
+@curation.query("baseline_sections", f"WITH {CHUNKS}, kept AS (SELECT * REPLACE (CASE WHEN heading = '' THEN 'General' ELSE heading END AS heading), CASE WHEN heading = '' THEN 'General' ELSE heading END AS key, id::VARCHAR AS ids FROM chunks WHERE {S.ustrip('text')} <> '') {SECTIONS}")
 def baseline_sections(spark, d):
-    return M.baseline_sections(chunks(spark, d))
+    return as_rows(M.baseline_sections(chunks(spark, d)))
 
 
 @curation.query("review_history", f"""WITH {FOLD}, t AS (SELECT doc_uuid, gid, id AS into_id FROM g WHERE kept)

@@ -66,12 +66,50 @@ def test_merged_labels_and_orphans(spark):
 def test_sections_in_parts_keep_all_text(spark):
     rows = [("d", p, p, "log", "Part 21 " if p % 2 else "PART 21", f"t{p}", [], None, False) for p in range(30)] + [(None, 0, 99, "log", "x", "t", [], None, False)]
     df = spark.createDataFrame(rows, SCHEMA)
-    from dossierflow.functions.text import normalize_heading
+    whole = M.merged_sections(df).collect()
+    assert {r.doc_uuid for r in whole} == {"d", None} and len(whole) == 2
+    whole = next(r for r in whole if r.doc_uuid)
+    assert whole.merged_text == "\n\n".join(f"t{p}" for p in range(30)) and whole.heading == "PART 21" and whole.chunk_ids == list(range(30))
+    parts = sorted((r for r in M.merged_sections(df, part_chars=90).collect() if r.doc_uuid), key=lambda r: r.part)
+    assert len(parts) > 5 and "\n\n".join(r.merged_text for r in parts) == whole.merged_text and [i for r in parts for i in r.chunk_ids] == whole.chunk_ids
+    assert {(r.heading, r.first_pos, r.n_chunks) for r in parts} == {("PART 21", 0, 30)}
 
-    whole = M.build_sections(df, normalize_heading(F.col("heading"))).where("doc_uuid = 'd'").collect()
-    assert len(whole) == 1 and whole[0].merged_text == "\n\n".join(f"t{p}" for p in range(30)) and whole[0].heading == "PART 21"
-    parts = sorted(M.build_sections(df, normalize_heading(F.col("heading")), part_chunks=7).where("doc_uuid = 'd'").collect(), key=lambda r: r.part)
-    assert len(parts) == 5 and "\n\n".join(r.merged_text for r in parts) == whole[0].merged_text
+
+@pytest.mark.parametrize("seed,part_chars", [(0, 10**6), (1, 10**6), (2, 60), (3, 25)])
+def test_sections_with_their_links(spark, seed, part_chars):
+    rows = random_decisions(seed)
+    folds = fold(rows)
+    at = {r[2]: r for r in rows}
+    want = {}
+    for d, i, text, merged in sorted(folds, key=lambda f: (f[0], at[f[1]][1], f[1])):
+        ids = [i, *merged]
+        s = want.setdefault((d, key_of(at[i][4])), {"heading": at[i][4], "texts": [], "ids": [], "labels": None, "pages": []})
+        s["texts"].append(text)
+        s["ids"] += ids
+        for x in ids:
+            if s["labels"] is None:
+                s["labels"] = list(at[x][6])
+            s["labels"] += [y for y in at[x][6] if y not in s["labels"]]
+            s["pages"] += [y for y in [at[x][7]] if y is not None and y not in s["pages"]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for r in sorted(M.merged_sections(df, part_chars=part_chars).collect(), key=lambda r: r.part):
+        got.setdefault((r.doc_uuid, r.key), []).append(r)
+    assert set(got) == set(want)
+    for k, parts in got.items():
+        assert [i for r in parts for i in r.chunk_ids] == want[k]["ids"] and {r.heading for r in parts} == {want[k]["heading"]}
+        if part_chars > 10**5:
+            assert len(parts) == 1 and parts[0].merged_text == "\n\n".join(want[k]["texts"])
+            assert parts[0].labels == want[k]["labels"] and parts[0].pages == want[k]["pages"] and parts[0].n_chunks == len(want[k]["texts"])
+    members = M.section_members(M.merged_rows(df), part_chars).collect()
+    assert sorted((r.doc_uuid, r.key, r.id) for r in members) == sorted((*k, i) for k, s in want.items() for i in s["ids"])
+
+
+def test_folds_in_parts(spark):
+    rows = [("d", p, p, "log" if p == 0 else "merge", "h", f"text {p}", [], None, False) for p in range(40)]
+    parts = sorted(M.resolve_merges(spark.createDataFrame(rows, SCHEMA), part_chars=200).collect(), key=lambda r: r.part)
+    assert len(parts) > 3 and {(r.id, r.heading) for r in parts} == {(0, "h")}
+    assert "\n\n".join(r.text for r in parts) == "\n\n".join(f"text {p}" for p in range(40)) and [i for r in parts for i in r.merged_from] == list(range(1, 40))
 
 
 @pytest.mark.parametrize("block", [1, 3, 1000])
