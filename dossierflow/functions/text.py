@@ -6,6 +6,8 @@ null means missing; a null argument gives null unless said otherwise.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -166,14 +168,52 @@ def bare_rule_number(c: Column) -> Column:
     return F.when(F.char_length(n) > 3, n)
 
 
-def strip_parentheticals(c: Column, levels: int = 5) -> Column:
-    """Text without (nested) parentheses, tidied at the ends."""
+PARENTHETICAL = r"\([^()]*\)"
+
+
+def strip_parentheticals(c: Column) -> Column:
+    """Text without parentheses of any depth, tidied at the ends; ones without a partner stay.
+
+    Each pass takes the innermost ones. A text whose parentheses are not used
+    up by the first passes gets as many more as it has opening ones left.
+    """
     out = F.coalesce(c, F.lit(""))
-    for _ in range(levels):
-        out = F.regexp_replace(out, r"\([^()]*\)", " ")
+    for _ in range(2):
+        out = F.regexp_replace(out, PARENTHETICAL, " ")
+    left = F.when(out.rlike(PARENTHETICAL), count_of(out, "(")).otherwise(0)
+    out = F.aggregate(F.array_repeat(F.lit(0), left), out, lambda t, _: F.regexp_replace(t, PARENTHETICAL, " "))
     return F.btrim(collapse_ws(out), F.lit(" ,;:-"))
 
 
+# ---- sentences of references (fixed values) ----
+ABBREVIATIONS = (
+    "e.g", "i.e", "eg", "ie", "etc", "vs", "viz", "cf", "al", "no", "nos", "fig", "figs", "eq", "eqs", "ref", "refs", "sec", "secs", "art", "arts", "para", "paras", "reg", "regs",
+    "ch", "chap", "pt", "pts", "pp", "vol", "vols", "ed", "eds", "approx", "ca", "incl", "excl", "min", "max", "avg", "std", "est", "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "rev",
+    "inc", "ltd", "co", "corp", "dept", "univ", "govt", "assn", "u.s", "u.k", "e.u", "u.n", "no.s",
+)
+
+
+def _sentence_gap() -> str:
+    """Pattern of the white space between two sentences of a reference.
+
+    Behind an end mark (and one closing sign), but not behind a digit, an
+    abbreviation or an initial with its stop, nor before a lower-case letter.
+    """
+    end = r"[.!?][\"'”’)\]]?"
+    word = r"(?<![A-Za-z])(?<![A-Za-z]\.)"
+    vetoes = (rf"\d{end}", rf"{word}(?i:{'|'.join(map(re.escape, ABBREVIATIONS))}){end}", rf"{word}[A-Z]{end}")
+    return rf"(?U)(?<={end}){''.join(f'(?<!{v})' for v in vetoes)}\s++(?!\p{{Ll}})"
+
+
+SENTENCE_GAP = _sentence_gap()
+
+
+def reference_sentences(c: Column) -> Column:
+    """Sentences of a reference text, careful rather than keen; [] for null and blank."""
+    pieces = F.transform(F.split(ustrip(F.coalesce(c, F.lit(""))), SENTENCE_GAP), ustrip)
+    return F.filter(pieces, lambda x: x != "")
+
+
 # ---- chains ----
 
 
@@ -257,11 +297,6 @@ def json_object_in(c: Column) -> Column:
     return F.when((body != "") & F.try_parse_json(body).isNotNull(), body)
 
 
-def string_list(c: Column) -> Column:
-    """Non-blank stripped lines."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|\r|\n"), ustrip), lambda x: x != "")
-
-
 def preview(c: Column, limit: int = 180) -> Column:
     t = collapse_ws(F.coalesce(c, F.lit("")))
     return F.when(F.char_length(t) > limit, F.concat(F.substring(t, 1, limit), F.lit(" …"))).otherwise(t)

@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossierflow.functions import text as X
 from dossierflow.functions.arrowmap import map_rows
+from dossierflow.operators.store import with_new_ids
+from dossierflow.session import n_partitions
 
 UI_SEPARATORS = (";", "|", "\n", "\t", ",")
 
@@ -29,10 +31,20 @@ def unique_elements(df: DataFrame, order: str, columns: list[str], separators: t
     return g.select("column_name", "element", "n", "first_seen")
 
 
+def placed(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """Adds each row's place in the order of its group, from 1.
+
+    Ranges of rows in the order (group, order) are numbered, then each group
+    starts anew: no task sorts a group of any size. Runs jobs.
+    """
+    numbered = with_new_ids(rows, [F.col(group), *order], 0, n_partitions(rows.sparkSession), "_at")
+    first = numbered.groupBy(F.col(group).alias("_g")).agg(F.min("_at").alias("_first"))
+    return numbered.join(first, F.col(group).eqNullSafe(F.col("_g"))).withColumn("place", (F.col("_at") - F.col("_first") + 1).cast("int")).drop("_at", "_g", "_first")
+
+
 def ranked(uniques: DataFrame, by_count: bool) -> DataFrame:
-    """Elements with their place in the output order of their column; a sort over distinct elements."""
-    order = [F.desc("n"), F.lower("element"), F.col("element")] if by_count else [F.col("element")]
-    return uniques.withColumn("place", F.row_number().over(Window.partitionBy("column_name").orderBy(*order)))
+    """Elements with their place in the output order of their column."""
+    return placed(uniques, "column_name", [F.desc("n"), F.lower("element"), F.col("element")] if by_count else [F.col("element")])
 
 
 def side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -60,11 +72,6 @@ def similar_words(a: str | None, b: str | None, threshold: float = 0.8) -> bool:
     return bool(x and y) and SequenceMatcher(None, x, y).ratio() >= threshold
 
 
-def similar_length(a: Column, b: Column, threshold: float = 0.7) -> Column:
-    la, lb = F.char_length(a), F.char_length(b)
-    return F.when(F.greatest(la, lb) == 0, F.lit(True)).otherwise(F.least(la, lb) / F.greatest(la, lb) >= threshold)
-
-
 def merge_near_duplicates(df: DataFrame, id_col: str, first: str, second: str) -> DataFrame:
     """(id, merged): two lists of a row merged in order, leaving out what is like an element kept before.
 

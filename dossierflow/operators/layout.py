@@ -69,6 +69,14 @@ def table_rows(tables: DataFrame) -> DataFrame:
     return tables.select("doc_uuid", "table_index", F.posexplode(rows).alias("row_no", "cells")).withColumn("cells", F.transform("cells", lambda c: F.coalesce(c, F.lit(""))))
 
 
+PREVIEW_ROWS, PREVIEW_COLUMNS = 200, 30
+
+
+def preview(rows: DataFrame, order: str) -> DataFrame:
+    """The first rows and columns of a table, as the viewer shows them."""
+    return rows.orderBy(order).limit(PREVIEW_ROWS).select(*rows.columns[:PREVIEW_COLUMNS])
+
+
 def section_title(number: Column, headings: Column) -> Column:
     """`[n] A → B`, or `[n] Untitled`."""
     label = F.when(F.size(F.coalesce(headings, F.array().cast("array<string>"))) > 0, F.array_join(headings, " → ")).otherwise("Untitled")
@@ -125,14 +133,11 @@ def convert_files(files: DataFrame, converter: Callable[[], Callable[[bytes], li
 
 
 def pick_embedding_model(models: DataFrame, preferred: list[str]) -> str | None:
-    """The first preferred model among a service's embedding models (by name, then by part of it), else the first of them, else the first preferred.
-
-    A service lists a few dozen names; at most 10,000 are taken.
-    """
+    """The first preferred model among a service's embedding models (by name, then by part of it), else the first of them, else the first preferred."""
     low = F.lower("name")
-    names = [r["name"] for r in models.where(low.contains("embed") | low.startswith("e5")).select("name").distinct().orderBy("name").limit(10_000).collect()]
-    for p in preferred:
-        hit = next((n for n in names if n == p), None) or next((n for n in names if p in n), None)
-        if hit:
-            return hit
-    return names[0] if names else next(iter(preferred), None)
+    names = models.where(low.contains("embed") | low.startswith("e5")).select("name")
+    rank = F.lit(None).cast("int")
+    for n, p in reversed([(2 * i + k, c) for i, p in enumerate(preferred) for k, c in enumerate((F.col("name") == p, F.col("name").contains(p)))]):
+        rank = F.when(p, n).otherwise(rank)
+    best = names.agg(F.min(F.struct(F.coalesce(rank, F.lit(1 << 30)).alias("rank"), "name")).alias("b")).head()["b"]
+    return best["name"] if best else next(iter(preferred), None)

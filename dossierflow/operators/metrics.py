@@ -187,11 +187,11 @@ def sequence_ratio(a: str, b: str) -> float:
 SCORE_SCHEMA = "pair_id long, rouge1 double, rouge2 double, rougeL double, bleu double, similarity_ratio double, word_error_rate double, substitutions int, insertions int, deletions int, sequence_ratio double"
 
 
-def score_pairs(pairs: DataFrame, wanted: tuple[str, ...] = METRICS) -> DataFrame:
+def score_pairs(pairs: DataFrame, wanted: tuple[str, ...] = METRICS, id_type: str = "long") -> DataFrame:
     """Scores of (pair_id, candidate, reference); metrics not wanted stay null."""
     want = frozenset(wanted)
 
-    def rows(pid: int, c: str | None, r: str | None) -> Iterator[tuple]:
+    def rows(pid, c: str | None, r: str | None) -> Iterator[tuple]:
         if not c or not r or not c.strip() or not r.strip():
             yield (pid, *[None] * 10)
             return
@@ -199,4 +199,4 @@ def score_pairs(pairs: DataFrame, wanted: tuple[str, ...] = METRICS) -> DataFram
         wer = word_errors(c, r) if "word_error_rate" in want else (None,) * 4
         yield (pid, rouge_n(ct, rt, 1) if "rouge1" in want else None, rouge_n(ct, rt, 2) if "rouge2" in want else None, rouge_l(ct, rt) if "rougeL" in want else None, bleu(c, r) if "bleu" in want else None, indel_ratio(c, r) if "similarity_ratio" in want else None, *wer, sequence_ratio(c, r) if "sequence_ratio" in want else None)
 
-    return map_rows(spread(pairs).select(F.col("pair_id").cast("long"), "candidate", "reference"), rows, SCORE_SCHEMA)
+    return map_rows(spread(pairs).select(F.col("pair_id").cast(id_type), "candidate", "reference"), rows, SCORE_SCHEMA.replace("pair_id long", f"pair_id {id_type}"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from dossierflow.functions import text as X
 from dossierflow.operators import evaluate as E
 from dossierflow.operators import metrics as K
+from dossierflow.operators import refs as R
 from dossierflow.operators.items import unique_elements
 from dossierflow.sources import sinks
 
@@ -53,10 +54,11 @@ def evaluate_run(rows: DataFrame, references: DataFrame, metrics: list[str]) ->
             by_metric[m] = E.best_sentences(keys, sentences, ["section_title"], m, native[m])
     scored = tuple(m for m in metrics if m in K.METRICS)
     if scored:
-        pairs = keys.join(sentences, "section_title").withColumn("pair_id", F.xxhash64("item", "sentence"))
-        # each distinct pair of texts is scored once
-        one = pairs.groupBy("item", "sentence").agg(F.first("pair_id").alias("pair_id"))
-        scores = K.score_pairs(one.select("pair_id", F.col("item").alias("candidate"), F.col("sentence").alias("reference")), scored).dropDuplicates(["pair_id"])
+        # each distinct pair of texts is scored once; 256 bits stand for the pair in the join
+        pair = F.sha2(F.concat(F.char_length("item").cast("string"), F.lit(":"), "item", "sentence"), 256)
+        pairs = keys.join(sentences, "section_title").withColumn("pair_id", pair)
+        one = pairs.groupBy("pair_id").agg(F.first("item").alias("candidate"), F.first("sentence").alias("reference"))
+        scores = K.score_pairs(one.select("pair_id", "candidate", "reference"), scored, "string")
         for m in scored:
             values = scores.select("pair_id", F.col(m).alias("value"))
             sent = pairs.join(values, "pair_id").select(*keys.columns, "sentence_no", "sentence", "value").where("value is not null")
@@ -86,6 +88,33 @@ def evaluate_workbook(spark: SparkSession, workbook: str, references: DataFrame,
     return out
 
 
+COVERAGE_LABEL, NO_MATCH = "— COVERAGE —", "— no match —"
+
+
+def uniq_eval_sheet(rows: DataFrame, order: str = "row_id") -> DataFrame:
+    """Unique elements of each column with count and whether some reference holds them, closed by a row with the column's coverage."""
+    u = rows.select("column_name", order, F.posexplode(X.split_items(F.col("cell"))).alias("k", "element")).groupBy("column_name", "element").agg(F.count("*").alias("n"))
+    g = E.grounded_uniques(u.select("column_name", "element"), rows).join(u, ["column_name", "element"])
+    lines = g.select("column_name", F.lit(0).alias("is_total"), "element", "n", F.initcap(F.col("is_grounded").cast("string")).alias("grounded"))
+    total = g.groupBy("column_name").agg(F.count_if("is_grounded").alias("t"), F.count("*").alias("a"))
+    return lines.unionByName(total.select("column_name", F.lit(1).alias("is_total"), F.lit(COVERAGE_LABEL).alias("element"), F.lit(None).cast("long").alias("n"), E.coverage_text(F.col("t"), F.col("a")).alias("grounded")))
+
+
+def write_uniques(rows: DataFrame, titles: DataFrame, workbook: str, run: str) -> list[str]:
+    """Writes the sheets of unique elements, of their evaluation and of the matches of reference columns; gives their names.
+
+    `rows` has (row_id, section_title, column_name, cell, reference), `titles` (title_id, title).
+    """
+    names = [f"Uniq {run}"[:31], f"Uniq Eval {run}"[:31], f"Ref Map {run}"[:31]]
+    u = rows.select("column_name", F.explode(X.split_items(F.col("cell"))).alias("value"), "section_title")
+    counts = u.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    sinks.write_sheet(counts, workbook, names[0])
+    sinks.write_sheet(uniq_eval_sheet(rows), workbook, names[1])
+    refs = counts.where(X.is_reference_column(F.col("column_name")))
+    sinks.write_sheet(R.ref_map(refs, u, titles), workbook, names[2])
+    return names
+
+
 def unique_sheet(rows: DataFrame, order: str = "row_id") -> DataFrame:
     """Unique elements of every column of a run with counts, and whether they are grounded."""
     wide = rows.select(order, "column_name", "cell", "reference")

@@ -52,7 +52,7 @@ def add_columns(stored: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return stored.withColumns({c: F.lit(None).cast(t) for c, t in wanted.items() if c not in stored.columns})
 
 
-def with_new_ids(rows: DataFrame, order: list[Column], start: int, partitions: int) -> DataFrame:
+def with_new_ids(rows: DataFrame, order: list[Column], start: int, partitions: int, name: str = "id") -> DataFrame:
     """Consecutive ids after `start` in a given order, numbered by ranges, not in one task."""
     from dossierflow.session import materialise
 
@@ -60,7 +60,7 @@ def with_new_ids(rows: DataFrame, order: list[Column], start: int, partitions: i
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before", "_first")
     # one row for each partition
-    return ranged.join(F.broadcast(offsets), "_p").withColumn("id", F.col("_m") - F.col("_first") + F.col("_before") + 1 + start).drop("_p", "_m", "_before", "_first")
+    return ranged.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_m") - F.col("_first") + F.col("_before") + 1 + start).drop("_p", "_m", "_before", "_first")
 
 
 def resolve_by_name(names: DataFrame, documents: DataFrame) -> DataFrame:
@@ -80,7 +80,8 @@ def build_corpus(documents: DataFrame, sections: DataFrame, per_section: int = 1
     """Lines of the prompt corpus: documents by recency, their first sections, until `total` characters are reached.
 
     A line has two characters at least, so no more than total / 2 documents can
-    matter; only their rows are put in one order.
+    matter; their lengths alone are put in one order. Lines are then numbered
+    within their document, and only of the documents that begin below the total.
     """
     head, body = X.ustrip(F.coalesce("heading", F.lit(""))), F.substring(X.ustrip(F.coalesce("text", F.lit(""))), 1, per_section)
     line = F.when(head != "", F.concat(F.lit("- "), head, F.lit(": "), body)).otherwise(F.concat(F.lit("- "), body))
@@ -88,9 +89,13 @@ def build_corpus(documents: DataFrame, sections: DataFrame, per_section: int = 1
     recent = live.orderBy(F.desc("updated_at"), "doc_uuid").limit(total // 2 + 1).select("doc_uuid", "doc_name", "updated_at")
     # the documents are at most total / 2; their sections are limited before the join
     rows = first_sections(sections, per_document).join(F.broadcast(recent), "doc_uuid").select("doc_uuid", "doc_name", "updated_at", "ordinal", "id", line.alias("line"))
-    w = Window.orderBy(F.desc("updated_at"), "doc_uuid", "ordinal", "id")
-    before = F.coalesce(F.sum(F.char_length("line")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("before", before).where(F.col("before") < total).select("doc_uuid", "doc_name", "ordinal", "id", "line", "before")
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a document, at most total / 2 of them
+    sums = rows.groupBy("doc_uuid", "updated_at").agg(F.sum(F.char_length("line")).alias("chars"))
+    begins = sums.select("doc_uuid", before(Window.orderBy(F.desc("updated_at"), "doc_uuid"), "chars").alias("begins")).where(F.col("begins") < total)
+    own = rows.join(F.broadcast(begins), "doc_uuid")
+    within = Window.partitionBy("doc_uuid").orderBy("ordinal", "id")
+    return own.withColumn("before", F.col("begins") + before(within, F.char_length("line"))).where(F.col("before") < total).select("doc_uuid", "doc_name", "ordinal", "id", "line", "before")
 
 
 def corpus_text(lines: DataFrame) -> DataFrame:
@@ -107,15 +112,17 @@ def failed(columns: list[str]) -> Column:
 def rate_window(calls: DataFrame, ts: str, seconds: int) -> DataFrame:
     """How many calls fall into the seconds up to each call (itself included).
 
-    Calls are bucketed by the window's length: each looks at its own bucket and
-    the one before, so no task needs the whole history.
+    Calls of one instant are counted first, so that a burst costs one row.
+    Instants are bucketed by the window's length: each looks at its own bucket
+    and the one before, so no task needs the whole history.
     """
     stamped = calls.withColumn("_s", F.unix_micros(F.col(ts).cast("timestamp")))
     span = seconds * 1_000_000
-    own = stamped.withColumns({"_g": F.floor(F.col("_s") / span), "_own": F.lit(True)})
-    carried = stamped.withColumns({"_g": F.floor(F.col("_s") / span) + 1, "_own": F.lit(False)})
+    instants = stamped.where("_s is not null").groupBy("_s").agg(F.count("*").alias("_n"))
+    both = instants.select("_s", "_n", F.explode(F.array(F.struct(F.floor(F.col("_s") / span).alias("_g"), F.lit(True).alias("_own")), F.struct((F.floor(F.col("_s") / span) + 1).alias("_g"), F.lit(False).alias("_own")))).alias("_b")).select("_s", "_n", "_b.*")
     w = Window.partitionBy("_g").orderBy("_s").rangeBetween(-span, 0)
-    return own.unionByName(carried).withColumn("calls_in_window", F.count("*").over(w)).where("_own").drop("_g", "_own", "_s")
+    counted = both.withColumn("calls_in_window", F.sum("_n").over(w)).where("_own").select("_s", "calls_in_window")
+    return stamped.join(counted, "_s", "left").drop("_s")
 
 
 class TableStore:

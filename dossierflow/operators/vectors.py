@@ -5,7 +5,9 @@ Everything is native: aggregate and zip_with run in the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,17 +30,27 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / n))).otherwise(F.lit(0.0))
 
 
-def cosine_to_queries(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors of each query: a stated query set against all rows.
+#: Numbers of query vectors that one broadcast may hold (8 bytes each).
+BROADCAST_NUMBERS = 8_000_000
 
-    Queries are broadcast only because they are a stated set; each task keeps
-    its own k best before the shuffle (rank in a window over the query).
-    """
-    from pyspark.sql import Window
 
-    pairs = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.bround(cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
+def cosine_to_queries(vectors: DataFrame, queries: DataFrame, k: int, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
+    """The k nearest vectors (vec_id, embedding) of each query (query_id, q): a stated query set against all rows.
+
+    The queries are counted, and taken in as many blocks as the size of a
+    broadcast asks for, one pass over the vectors each. A task keeps its own k
+    best before the shuffle (rank in a window over the query).
+    """
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("q")).alias("width")).head()
+    blocks = max(1, -(-size["n"] * max(size["width"] or 1, 1) // broadcast_numbers))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def nearest(block: int) -> DataFrame:
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        pairs = vectors.join(F.broadcast(own), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.bround(cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
+        return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionAll, map(nearest, range(blocks)))
 
 
 def centroids(vectors: DataFrame, group: str) -> DataFrame:

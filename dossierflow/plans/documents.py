@@ -112,16 +112,11 @@ def orphan_nodes(spark, d):
     return n.where("parent != ''").join(n.select("doc_uuid", F.col("node_id").alias("parent")), ["doc_uuid", "parent"], "left_anti").select("doc_uuid", "node_id", "parent")
 
 
-@documents.query("xml_packages", f"SELECT id, {S.ustrip('heading')} AS title, {S.ustrip('text')} AS text_content, 1 AS n_links FROM sections WHERE {S.ustrip('heading')} <> '' AND {S.ustrip('text')} <> '' AND regexp_full_match(heading, '[\\x20-\\x7e]+') AND regexp_full_match(text, '[\\x20-\\x7e]+')")
-def xml_packages(spark, d):
-    """Sections printed as XML packages and read back; rows where the twin agrees, all are in `xml_packages_all`."""
-    s = table(spark, d, "sections", "id", "heading", "text")
-    plain = lambda c: F.col(c).rlike(r"^[\x20-\x7e]+$")
-    return _packages(s.where(plain("heading") & plain("text")))
+LEGAL = lambda c: f"regexp_replace({c}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{{fffe}}\\x{{ffff}}]', '', 'g')"
 
 
-@documents.query("xml_packages_all")
-def xml_packages_all(spark, d):
+@documents.query("xml_packages", f"WITH l AS (SELECT id, {S.ustrip(LEGAL('heading'))} AS title, {S.ustrip(LEGAL('text'))} AS text_content FROM sections) SELECT id, title, text_content, 1 AS n_links FROM l WHERE title <> '' AND text_content <> ''")
+def xml_packages(spark, d):
     """Every section with heading and text printed as an XML package and read back."""
     return _packages(table(spark, d, "sections", "id", "heading", "text"))
 
@@ -188,10 +183,10 @@ def registry_join(spark, d):
     return i.select("id", "doc_uuid", "workspace_id").join(w, "workspace_id").select("id", "doc_uuid", "workspace_id", stamp(F.col("last_seen")).alias("last_seen"))
 
 
-@documents.query("latest_by_name", "WITH l AS (SELECT doc_name, arg_max(doc_uuid, (updated_at, doc_uuid)) AS u FROM documents_index WHERE doc_name IS NOT NULL AND updated_at IS NOT NULL GROUP BY 1), n AS (SELECT DISTINCT section_title AS name FROM eval_items WHERE section_title IS NOT NULL UNION SELECT DISTINCT doc_name FROM documents_index WHERE doc_name IS NOT NULL) SELECT name, coalesce(u, substr(sha1('pdf::' || name), 1, 16)) AS doc_uuid, u IS NULL AS minted FROM n LEFT JOIN l ON l.doc_name = n.name")
+@documents.query("latest_by_name", "WITH l AS (SELECT doc_name, arg_max(doc_uuid, (updated_at IS NOT NULL, coalesce(updated_at, TIMESTAMP '1970-01-01'), doc_uuid)) AS u FROM documents_index WHERE doc_name IS NOT NULL GROUP BY 1), n AS (SELECT DISTINCT section_title AS name FROM eval_items WHERE section_title IS NOT NULL UNION SELECT DISTINCT doc_name FROM documents_index WHERE doc_name IS NOT NULL) SELECT name, coalesce(u, substr(sha1('pdf::' || name), 1, 16)) AS doc_uuid, u IS NULL AS minted FROM n LEFT JOIN l ON l.doc_name = n.name")
 def latest_by_name(spark, d):
     names = table(spark, d, "eval_items", "section_title").where("section_title is not null").select(F.col("section_title").alias("name")).union(table(spark, d, "documents_index", "doc_name").where("doc_name is not null"))
-    return T.resolve_by_name(names, table(spark, d, "documents_index").where("updated_at is not null"))
+    return T.resolve_by_name(names, table(spark, d, "documents_index"))
 
 
 @documents.query("sections_topn", "SELECT doc_uuid, id, CAST(row_number() OVER (PARTITION BY doc_uuid ORDER BY ordinal, id) AS INTEGER) AS rank FROM sections QUALIFY rank <= 5")
@@ -226,9 +221,9 @@ def add_only_migration(spark, d):
     return T.add_columns(table(spark, d, "documents_index", "id", "doc_uuid"), {"doc_uuid": "string", "toc_source": "string", "num_tables": "bigint"})
 
 
-@documents.query("new_ids", "SELECT item_row_id, 1000 + row_number() OVER (ORDER BY evaluated_at, item_row_id) AS id FROM eval_items WHERE evaluated_at IS NOT NULL")
+@documents.query("new_ids", "SELECT item_row_id, 1000 + row_number() OVER (ORDER BY evaluated_at NULLS FIRST, item_row_id) AS id FROM eval_items")
 def new_ids(spark, d):
-    r = table(spark, d, "eval_items", "item_row_id", "evaluated_at").where("evaluated_at is not null")
+    r = table(spark, d, "eval_items", "item_row_id", "evaluated_at")
     return T.with_new_ids(r, [F.col("evaluated_at"), F.col("item_row_id")], 1000, n_partitions(spark)).select("item_row_id", "id")
 
 
@@ -385,14 +380,8 @@ def refined_headings(spark, d):
     return L.refined_headings(h, h.where(F.char_length("key") % 2 == 0)).drop("first_id")
 
 
-@documents.query("model_toc", f"SELECT id, {S.ustrip('heading')} AS title, CAST(ordinal % 20000 AS INTEGER) AS raw FROM sections WHERE regexp_full_match(heading, '[A-Za-z0-9 ,.()-]+') AND {S.ustrip('heading')} <> ''")
+@documents.query("model_toc", f"SELECT id, {S.ustrip('heading')} AS title, CAST(ordinal % 20000 AS INTEGER) AS raw FROM sections WHERE {S.ustrip('heading')} <> ''")
 def model_toc(spark, d):
-    """Contents entries out of replies that wrap a JSON list in prose; rows where the twin agrees, all are in `model_toc_all`."""
-    return _reply_entries(table(spark, d, "sections", "id", "heading", "ordinal").where(F.col("heading").rlike(r"^[A-Za-z0-9 ,.()\-]+$")))
-
-
-@documents.query("model_toc_all")
-def model_toc_all(spark, d):
     """Contents entries of every heading out of replies that wrap a JSON list in prose."""
     return _reply_entries(table(spark, d, "sections", "id", "heading", "ordinal").where("heading is not null"))
 

@@ -11,6 +11,7 @@ from dossierflow.operators import evaluate as E
 from dossierflow.operators import items as I
 from dossierflow.operators import metrics as K
 from dossierflow.operators import refs as R
+from dossierflow.operators import runs as U
 from dossierflow.operators import vectors as V
 from dossierflow.plans import sqltext as S
 from dossierflow.plans.registry import Registry
@@ -139,13 +140,6 @@ def jaccard_cells(spark, d):
     return e.select(F.col("item_row_id").alias("row_id"), X.jaccard(F.col("item"), F.col("best_ref_sentence")).alias("score"))
 
 
-@evaluation.query("levenshtein_ascii", "SELECT item_row_id AS row_id, CAST(levenshtein(item, best_ref_sentence) AS BIGINT) AS distance FROM eval_items WHERE regexp_full_match(item, '[\\x01-\\x7f]+') AND regexp_full_match(best_ref_sentence, '[\\x01-\\x7f]+')")
-def levenshtein_ascii(spark, d):
-    e = table(spark, d, "eval_items", "item_row_id", "item", "best_ref_sentence")
-    ascii_ = lambda c: F.col(c).rlike(r"^[\x01-\x7f]+$")
-    return e.where(ascii_("item") & ascii_("best_ref_sentence")).select(F.col("item_row_id").alias("row_id"), F.levenshtein("item", "best_ref_sentence").cast("long").alias("distance"))
-
-
 @evaluation.query("levenshtein_all")
 def levenshtein_all(spark, d):
     """Edit distance in characters of every pair, in any script; DuckDB counts bytes."""
@@ -166,6 +160,14 @@ def best_sentence(spark, d):
     return E.best_sentences(items, s, ["doc_uuid", "section_ordinal"], "jaccard", X.jaccard(F.col("item"), F.col("sentence"))).select("row_id", "item_no", "item", "best_score", "best_no")
 
 
+@evaluation.query("best_reference_sentence")
+def best_reference_sentence(spark, d):
+    """Best sentence of each item by Jaccard index, sentences as references are cut."""
+    r = referenced(spark, d).withColumn("section", F.concat_ws(":", "doc_uuid", "section_ordinal"))
+    s = E.with_sentences(r.where("reference != ''").select("section", F.col("reference").alias("text")).distinct())
+    return E.best_sentences(E.exploded_items(r, ["row_id", "section"]), s, ["section"], "jaccard", X.jaccard(F.col("item"), F.col("sentence")))
+
+
 @evaluation.query("sentence_split")
 def sentence_split(spark, d):
     s = table(spark, d, "sections", "id", "text").select(F.col("id").cast("string").alias("section"), "text")
@@ -194,9 +196,13 @@ def run_summary(spark, d):
     return g.select("n_true", "n_false", E.coverage_text(F.col("n_true"), F.col("n_true") + F.col("n_false")).alias("coverage"))
 
 
-@evaluation.query("uniq_eval", f"""WITH {REFERENCED}, i AS (SELECT column_name, reference, unnest({SPLIT('cell')}) AS element FROM refd),
-g AS (SELECT column_name, element, max((reference <> '' AND (contains(lower(reference), lower(element)) OR ({S.squash('element')} <> '' AND contains({S.squash('reference')}, {S.squash('element')}))))::INT) AS hit FROM i GROUP BY 1, 2)
-SELECT column_name, count(*) AS n_unique, sum(hit)::BIGINT AS n_grounded, round_even(100.0::DOUBLE * sum(hit) / count(*), 1)::DOUBLE AS coverage_pct FROM g GROUP BY 1""")
+# Every distinct element against every distinct reference.
+GROUNDED = f"""r AS (SELECT DISTINCT lower(reference) AS low, {S.squash('reference')} AS squashed FROM refd WHERE reference <> ''), i AS (SELECT column_name, unnest({SPLIT('cell')}) AS element FROM refd), e AS (SELECT DISTINCT element, lower(element) AS low, {S.squash('element')} AS squashed FROM i),
+h AS (SELECT DISTINCT e.element FROM e JOIN r ON contains(r.low, e.low) OR (e.squashed <> '' AND contains(r.squashed, e.squashed))),
+g AS (SELECT column_name, element, count(*) AS n, element IN (SELECT element FROM h) AS hit FROM i GROUP BY 1, 2)"""
+
+
+@evaluation.query("uniq_eval", f"WITH {REFERENCED}, {GROUNDED} SELECT column_name, count(*) AS n_unique, count(*) FILTER (hit) AS n_grounded, round_even(100.0::DOUBLE * count(*) FILTER (hit) / count(*), 1)::DOUBLE AS coverage_pct FROM g GROUP BY 1")
 def uniq_eval(spark, d):
     r = referenced(spark, d)
     u = E.exploded_items(r, ["column_name"]).select("column_name", F.col("item").alias("element")).distinct()
@@ -204,6 +210,13 @@ def uniq_eval(spark, d):
     return g.groupBy("column_name").agg(F.count("*").alias("n_unique"), F.count_if("is_grounded").alias("n_grounded")).withColumn("coverage_pct", E.coverage(F.col("n_grounded"), F.col("n_unique")))
 
 
+@evaluation.query("uniq_eval_sheet", f"""WITH {REFERENCED}, {GROUNDED} SELECT column_name, 0 AS is_total, element, n, CASE WHEN hit THEN 'True' ELSE 'False' END AS grounded FROM g
+UNION ALL SELECT column_name, 1, '— COVERAGE —', NULL, count(*) FILTER (hit) || '/' || count(*) || ' (' || round_even(100.0::DOUBLE * count(*) FILTER (hit) / count(*), 1)::DOUBLE || '%)' FROM g GROUP BY 1""")
+def uniq_eval_sheet(spark, d):
+    """The sheet of unique elements: element, count, grounded, and a row of coverage for each column."""
+    return U.uniq_eval_sheet(referenced(spark, d))
+
+
 @evaluation.query("reference_lookup", f"""WITH r AS (SELECT heading, text, id AS pos FROM sections WHERE heading IS NOT NULL), x AS (SELECT heading, arg_min(coalesce(text, ''), pos) AS t FROM r GROUP BY 1), l AS (SELECT lower({S.ustrip('heading')}) AS k, arg_min(coalesce(text, ''), pos) AS t FROM r GROUP BY 1)
 SELECT e.item_row_id AS row_id, length(coalesce(x.t, l.t, ''))::BIGINT AS n_chars, md5(coalesce(x.t, l.t, '')) AS digest FROM eval_items e LEFT JOIN x ON e.section_title = x.heading LEFT JOIN l ON lower({S.ustrip('e.section_title')}) = l.k""")
 def reference_lookup(spark, d):
@@ -242,58 +255,74 @@ def rule_ids(spark, d):
     return R.parsed_values(v, "value").select("value", "prefix", "number", "bare")
 
 
-@evaluation.query("ref_section_match", r"""WITH v AS (SELECT DISTINCT unnest(string_split(item, ';')) AS value FROM eval_items), m AS (SELECT value, regexp_extract(value, '^\s*([A-Z]{2,3}\d?)\s*(\d{2})\.(\d{2,4})([^0-9]|$)', ['a', 'b', 'c', 'z']) AS r FROM v),
-k AS (SELECT value, upper(r.a || ' ' || r.b || '.' || r.c) AS needle FROM m WHERE r.a <> ''),
-t AS (SELECT DISTINCT text AS title FROM sections WHERE text IS NOT NULL),
-h AS (SELECT title, unnest(regexp_extract_all(upper(title), '\b[A-Z]{2,3}\d?\s+\d{2}\.\d{2,}')) AS hit FROM t)
-SELECT DISTINCT value, md5(title) AS section, 'rule id' AS how FROM k JOIN h ON regexp_replace(h.hit, '\s+', ' ', 'g') = k.needle""")
-def ref_section_match(spark, d):
-    """Rule identifiers in values against the section texts that name them (as titles)."""
-    v = table(spark, d, "eval_items", "item").select(F.explode(F.split("item", ";")).alias("value")).distinct()
-    t = table(spark, d, "sections", "text").where("text is not null").select(F.col("text").alias("title")).distinct()
-    return R.match_rules(v, "value", t, "title").select("value", F.md5("title").alias("section"), "how").distinct()
-
-
-@evaluation.query("bare_rule_match", r"""WITH v AS (SELECT DISTINCT trim(unnest(string_split(item, ';'))) AS value FROM eval_items), b AS (SELECT value, rtrim(regexp_extract(value, '^\s*(\d{2}\.[^\s(]+)', 1), '.,;:-') AS bare FROM v WHERE NOT regexp_matches(value, '^\s*[A-Z]{2,3}\d?\s*\d{2}\.\d{2,4}([^0-9]|$)')),
-k AS (SELECT * FROM b WHERE length(bare) > 3 AND regexp_matches(bare, '^\d{2}\.A\.\d+$')),
-t AS (SELECT DISTINCT text AS title FROM sections WHERE text IS NOT NULL), h AS (SELECT DISTINCT title, unnest(regexp_extract_all(upper(title), '\d{2}\.A\.\d+')) AS hit FROM t)
-SELECT DISTINCT value, md5(title) AS section, 'bare rule no.' AS how FROM k JOIN h ON h.hit = upper(k.bare)""")
-def bare_rule_match(spark, d):
-    """Values that are bare rule numbers (`23.A.100`) against texts that hold the number."""
-    v = table(spark, d, "eval_items", "item").select(F.explode(F.split("item", ";")).alias("value")).select(F.trim("value").alias("value")).distinct()
-    v = v.where(X.bare_rule_number(F.col("value")).rlike(r"^\d{2}\.A\.\d+$"))
-    t = table(spark, d, "sections", "text").where("text is not null").select(F.col("text").alias("title")).distinct()
-    return R.match_bare(v, "value", t, "title").select("value", F.md5("title").alias("section"), "how")
+TITLES = "t AS (SELECT md5(title) AS title_id, upper(title) AS u, title FROM (SELECT DISTINCT unnest([heading, text]) AS title FROM sections) WHERE title IS NOT NULL)"
+VALUES = f"v AS (SELECT DISTINCT {S.ustrip('value')} AS value FROM (SELECT unnest(string_split(item, ';')) AS value FROM eval_items))"
+RULE_HITS = f"""m AS (SELECT value, regexp_extract(value, '^\\s*([A-Z]{{2,3}}\\d?)\\s*(\\d{{2}})\\.(\\d{{2,4}})([^0-9]|$)', ['a', 'b', 'c', 'z']) AS r FROM v), k AS (SELECT value, upper(r.a || ' ' || r.b || '.' || r.c) AS needle FROM m WHERE r.a <> ''),
+h AS (SELECT title_id, unnest(regexp_extract_all(u, '\\b[A-Z]{{2,3}}\\d?\\s+\\d{{2}}\\.\\d{{2,}}')) AS hit FROM t)"""
 
 
 def _values(spark, d):
-    return table(spark, d, "eval_items", "item").select(F.explode(F.split("item", ";")).alias("value")).select(F.trim("value").alias("value"))
+    return table(spark, d, "eval_items", "item").select(F.explode(F.split("item", ";")).alias("value")).select(X.ustrip(F.col("value")).alias("value"))
 
 
 def _titles(spark, d):
-    """Section texts, which the queries of this group take as titles, and headings."""
+    """Headings and texts of all sections, which the queries of this group take as titles, under their digests."""
     s = table(spark, d, "sections", "heading", "text")
-    return s.select(F.explode(F.array("heading", "text")).alias("title")).where("title is not null").distinct()
+    return s.select(F.explode(F.array("heading", "text")).alias("title")).where("title is not null").select(F.md5("title").alias("title_id"), "title")
+
+
+@evaluation.query("ref_section_match", f"WITH {VALUES}, {TITLES}, {RULE_HITS} SELECT DISTINCT value, title_id, 'rule id' AS how FROM k JOIN h ON regexp_replace(h.hit, '\\s+', ' ', 'g') = k.needle")
+def ref_section_match(spark, d):
+    """Rule identifiers in values against the section titles that name them."""
+    return R.match_rules(_values(spark, d), "value", _titles(spark, d))
 
 
-@evaluation.query("bare_rule_match_all")
-def bare_rule_match_all(spark, d):
+@evaluation.query("bare_rule_match", f"""WITH {VALUES}, {TITLES}, b AS (SELECT value, upper(rtrim(regexp_extract(value, '^\\s*(\\d{{2}}\\.[^\\s(]+)', 1), '.,;:-')) AS bare FROM v WHERE NOT regexp_matches(value, '^\\s*[A-Z]{{2,3}}\\d?\\s*\\d{{2}}\\.\\d{{2,4}}([^0-9]|$)')),
+c AS (SELECT value, bare, title_id, u FROM b JOIN t ON length(bare) > 3 AND contains(u, bare))
+SELECT DISTINCT value, title_id, 'bare rule no.' AS how FROM c WHERE regexp_matches(u, '\\b' || regexp_escape(bare) || '([^0-9]|$)')""")
+def bare_rule_match(spark, d):
     """Values that are bare rule numbers of any form against the section titles that hold the number."""
-    return R.match_bare(_values(spark, d).distinct(), "value", _titles(spark, d), "title")
+    return R.match_bare(_values(spark, d).distinct(), "value", _titles(spark, d))
 
 
 @evaluation.query("title_substrings")
 def title_substrings(spark, d):
     """Values and section titles of which one holds the other."""
-    return R.match_titles(_values(spark, d), "value", _titles(spark, d), "title")
+    return R.match_titles(_values(spark, d), "value", _titles(spark, d))
+
 
+@evaluation.query("rule_tally", f"""WITH {VALUES}, {TITLES}, {RULE_HITS}, n AS (SELECT {S.ustrip('value')} AS value, count(*) AS n FROM (SELECT unnest(string_split(item, ';')) AS value FROM eval_items) GROUP BY 1),
+d AS (SELECT DISTINCT value, title_id FROM k JOIN h ON regexp_replace(h.hit, '\\s+', ' ', 'g') = k.needle) SELECT title_id, sum(n)::BIGINT AS occurrences, count(*) AS n_values FROM d JOIN n USING (value) GROUP BY 1""")
+def rule_tally(spark, d):
+    """Occurrences and values of every section title by rule identifiers alone."""
+    n = _values(spark, d).groupBy("value").agg(F.count("*").alias("n"))
+    return R.section_tally(R.match_rules(n, "value", _titles(spark, d)), n)
 
-@evaluation.query("section_tally_all")
-def section_tally_all(spark, d):
+
+@evaluation.query("section_tally")
+def section_tally(spark, d):
     """Occurrences and values of every section title by all three paths of reference matching, in order."""
-    u = _values(spark, d)
-    n = u.where("value != ''").groupBy("value").agg(F.count("*").alias("n"))
-    return R.section_tally(R.match_sections(n, "value", _titles(spark, d), "title").select("value", "title").distinct(), n)
+    n = _values(spark, d).where("value != ''").groupBy("value").agg(F.count("*").alias("n"))
+    return R.section_tally(R.match_sections(n, "value", _titles(spark, d)), n)
+
+
+def _reference_values(spark, d):
+    u = E.exploded_items(rows(spark, d).where("column_name = 'References'"), ["column_name", "section_title"]).select("column_name", "section_title", F.col("item").alias("value"))
+    return u, u.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+
+
+@evaluation.query("ref_map")
+def ref_map(spark, d):
+    """Every unique value of the reference column with the titles it matched and the sections it comes from; values without match too."""
+    u, n = _reference_values(spark, d)
+    return R.ref_map(n, u, _titles(spark, d))
+
+
+@evaluation.query("section_block")
+def section_block(spark, d):
+    """The section columns beside the unique elements: title, occurrences and matched values, most referenced first."""
+    _, n = _reference_values(spark, d)
+    return R.section_block(R.match_sections(n, "value", _titles(spark, d)), n)
 
 
 SOURCES = f"""WITH u AS (SELECT unnest({SPLIT('item')}) AS value, section_title FROM eval_items WHERE column_name = 'References'),
@@ -308,24 +337,6 @@ def ref_map_fanout(spark, d):
     return R.section_sources(n, "value", u, "value", "section_title")
 
 
-@evaluation.query("section_tally", r"""WITH u AS (SELECT trim(unnest(string_split(item, ';'))) AS value FROM eval_items), n AS (SELECT value, count(*) AS n FROM u GROUP BY 1),
-m AS (SELECT value, n, regexp_extract(value, '^\s*([A-Z]{2,3}\d?)\s*(\d{2})\.(\d{2,4})([^0-9]|$)', ['a', 'b', 'c', 'z']) AS r FROM n), k AS (SELECT value, n, upper(r.a || ' ' || r.b || '.' || r.c) AS needle FROM m WHERE r.a <> ''),
-t AS (SELECT DISTINCT text AS title FROM sections WHERE text IS NOT NULL), h AS (SELECT DISTINCT title, regexp_replace(unnest(regexp_extract_all(upper(title), '\b[A-Z]{2,3}\d?\s+\d{2}\.\d{2,}')), '\s+', ' ', 'g') AS hit FROM t)
-SELECT md5(title) AS section, sum(n)::BIGINT AS occurrences, count(*) AS n_values FROM k JOIN h ON h.hit = k.needle GROUP BY 1""")
-def section_tally(spark, d):
-    u = table(spark, d, "eval_items", "item").select(F.explode(F.split("item", ";")).alias("value")).select(F.trim("value").alias("value"))
-    n = u.groupBy("value").agg(F.count("*").alias("n"))
-    t = table(spark, d, "sections", "text").where("text is not null").select(F.col("text").alias("title")).distinct()
-    return R.section_tally(R.match_rules(n, "value", t, "title").select("value", "title").distinct(), n).withColumn("section", F.md5("title")).drop("title")
-
-
-@evaluation.query("substring_refs")
-def substring_refs(spark, d):
-    """Values against a stated list of titles, one within the other."""
-    v = table(spark, d, "eval_items", "item").select(F.explode(F.split("item", ";")).alias("value"))
-    return R.match_substrings(v, "value", ["before the next departure", "valve", "within 5 days of the finding", "CS 22", "bay"])
-
-
 @evaluation.query("strip_parentheticals", r"SELECT DISTINCT heading, trim(trim(regexp_replace(regexp_replace(coalesce(heading, ''), '\([^()]*\)', ' ', 'g'), '[\t-\r \x{85}\x{a0}\x{2000}-\x{200a}\x{3000}]+', ' ', 'g')), ' ,;:-') AS stripped FROM sections")
 def strip_parentheticals(spark, d):
     return table(spark, d, "sections", "heading").distinct().select("heading", X.strip_parentheticals(F.col("heading")).alias("stripped"))

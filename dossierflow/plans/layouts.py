@@ -92,14 +92,8 @@ def latest_attributes(spark, d):
     return a.groupBy("doc_uuid", "node_id").agg(F.max_by("attr_id", F.struct("updated_at", "attr_id")).alias("attr_id"), F.count("*").alias("n"))
 
 
-@layouts.query("reply_lists", "SELECT item_row_id, array_to_string(list_filter(list_transform(string_split(item, ';'), lambda x: trim(x)), lambda x: x <> ''), ' ¦ ') AS items FROM eval_items WHERE regexp_full_match(item, '[A-Za-z0-9 ;.%]+')")
+@layouts.query("reply_lists", f"SELECT item_row_id, array_to_string(list_filter(list_transform(string_split(item, ';'), lambda x: {S.ustrip('x')}), lambda x: x <> ''), ' ¦ ') AS items FROM eval_items WHERE item IS NOT NULL")
 def reply_lists(spark, d):
-    """Lists out of replies that wrap them in prose; rows where the twin agrees, all are in `reply_lists_all`."""
-    return _reply_items(table(spark, d, "eval_items", "item_row_id", "item").where(F.col("item").rlike(r"^[A-Za-z0-9 ;.%]+\z")))
-
-
-@layouts.query("reply_lists_all")
-def reply_lists_all(spark, d):
     """Lists of every cell out of replies that wrap them in prose."""
     return _reply_items(table(spark, d, "eval_items", "item_row_id", "item").where("item is not null"))
 
@@ -173,4 +167,4 @@ def label_cells(spark, d):
 @layouts.query("table_preview", "SELECT item_row_id, section_title, item FROM eval_items ORDER BY item_row_id LIMIT 200")
 def table_preview(spark, d):
     """The first rows of a sheet, as the viewer shows them (the limit is the feature)."""
-    return table(spark, d, "eval_items", "item_row_id", "section_title", "item").orderBy("item_row_id").limit(200)
+    return Y.preview(table(spark, d, "eval_items", "item_row_id", "section_title", "item"), "item_row_id")

@@ -3,17 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-TS = ("timestamp_ntz", "timestamp")
 
 
 def table(spark: SparkSession, data_dir: str, name: str, *columns: str) -> DataFrame:
     """`name` of `data_dir`, with only `columns` when some are given."""
     df = spark.read.parquet(f"{data_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
-
-
-def with_timestamps(df: DataFrame) -> DataFrame:
-    """Zone-less times as session-zone timestamps."""
-    return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})

@@ -26,11 +26,11 @@ def test_every_row_is_read(spark, tmp_path):
     d = str(tmp_path)
     tables(spark, d)
     legal = lambda x: "".join(c for c in x or "" if c >= " " or c in "\t\n\r").strip()
-    got = {r.id: (r.title, r.text_content, r.n_links) for r in documents.plans["xml_packages_all"](spark, d).collect()}
+    got = {r.id: (r.title, r.text_content, r.n_links) for r in documents.plans["xml_packages"](spark, d).collect()}
     assert got == {i: (legal(a), legal(b), 1) for i, a, b in PAIRS if legal(a) and legal(b)}
-    got = {r.id: (r.title, r.raw) for r in documents.plans["model_toc_all"](spark, d).collect()}
+    got = {r.id: (r.title, r.raw) for r in documents.plans["model_toc"](spark, d).collect()}
     assert got == {i: (a.strip(), i * 300 % 20000) for i, a, _ in PAIRS if a and a.strip()}
-    got = {r.item_row_id: r["items"] for r in layouts.plans["reply_lists_all"](spark, d).collect()}
+    got = {r.item_row_id: r["items"] for r in layouts.plans["reply_lists"](spark, d).collect()}
     assert got == {i: " ¦ ".join(x.strip() for x in a.split(";") if x.strip()) for i, a, _ in PAIRS if a is not None}
     got = {r.row_id: r.distance for r in evaluation.plans["levenshtein_all"](spark, d).collect()}
     assert got == {i: distance(a, b) for i, a, b in PAIRS if a is not None and b is not None}

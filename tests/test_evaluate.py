@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from dossierflow.operators import evaluate as E
 from dossierflow.operators import refs as R
 from dossierflow.operators import runs as U
@@ -63,18 +65,18 @@ def by_reference(value, titles):
     return hits
 
 
-TITLES = ["CS 25.1309 Equipment", "AMC 25.219 Fuel", "23.1001 Fuel system", "21.A.3 Failures, malfunctions", "Fuel system", " Насос топлива ", "ab", "試験する", "23.10", "Fuel (main) system", "21.A.35 Flight tests"]
-VALUES = ["CS 25.1309(a)", "AMC 25.21", "GM 23.1001", "23.1001(a) through (f)", "23.100", "21.A.3", "21.A.3(b), see", "25.1309", "77.99 fuel system", "see 21.A.3 Failures, malfunctions point (b)", "fuel (x) system", "Fuel", "насос", "перед насос топлива стоит", "試験", "運航者は試験する", "ab", "xaby", "(a)", "fuel (main) system"]
+TITLES = ["CS 25.1309 Equipment", "AMC 25.219 Fuel", "23.1001 Fuel system", "21.A.3 Failures, malfunctions", "Fuel system", " Насос топлива ", "ab", "試験する", "23.10", "see (23.AB)", "23.A/2", "Fuel (main) system", "21.A.35 Flight tests"]
+VALUES = ["CS 25.1309(a)", "AMC 25.21", "GM 23.1001", "23.1001(a) through (f)", "23.100", "21.A.3", "21.A.3(b), see", "25.1309", "77.99 fuel system", "see 21.A.3 Failures, malfunctions point (b)", "fuel (x) system", "Fuel", "насос", "перед насос топлива стоит", "試験", "運航者は試験する", "ab", "xaby", "(a)", "fuel (main) system", "23.A", "((((((deep))))))", "zz 9 nowhere"]
 
 
 def test_three_paths_against_a_loop(spark):
     v = spark.createDataFrame([(x, i + 1) for i, x in enumerate(VALUES)], "value string, n long")
-    t = spark.createDataFrame([(x,) for x in TITLES], "title string")
+    t = spark.createDataFrame([(x, x) for x in [*TITLES, *TITLES[:3]]], "title_id string, title string")
     want = {(v, *h) for v in VALUES for h in by_reference(v, TITLES)}
     old = R.BLOCK_LETTERS
     try:
         for R.BLOCK_LETTERS in (old, 12):
-            got = [tuple(r) for r in R.match_sections(v, "value", t, "title").collect()]
+            got = [tuple(r) for r in R.match_sections(v, "value", t).collect()]
             assert set(got) == want and len(got) == len(want)
     finally:
         R.BLOCK_LETTERS = old
@@ -83,5 +85,16 @@ def test_three_paths_against_a_loop(spark):
     for x, title, _ in want:
         n, k = tally.get(title, (0, 0))
         tally[title] = (n + VALUES.index(x) + 1, k + 1)
-    got = R.section_tally(R.match_sections(v, "value", t, "title").select("value", "title"), v).collect()
-    assert {r.title: (r.occurrences, r.n_values) for r in got} == tally
+    got = R.section_tally(R.match_sections(v, "value", t), v).collect()
+    assert {r.title_id: (r.occurrences, r.n_values) for r in got} == tally
+    counts = v.select(F.lit("References").alias("column_name"), "value", "n")
+    block = R.section_block(R.match_sections(v, "value", t), counts).collect()
+    assert [(r.title_id, r.occurrences, r.n_values) for r in sorted(block, key=lambda r: r.place)] == sorted(((x, *y) for x, y in tally.items()), key=lambda z: (-z[1], z[0]))
+    runs = spark.createDataFrame([("References", VALUES[0], " S1 "), ("References", VALUES[0].upper(), "S2"), ("References", VALUES[0], ""), ("References", "x", "S3")], "column_name string, value string, section_title string")
+    rows = R.ref_map(counts, runs, t).collect()
+    matched = {(r.value, r.matched_section, r.match_type) for r in rows if r.match_type}
+    assert matched == want and {r.value for r in rows} == set(VALUES)
+    assert all(r.matched_section == "— no match —" for r in rows if not r.match_type) and any(not r.match_type for r in rows)
+    assert {r.section_title for r in rows if r.value == VALUES[0]} == {"S1", "S2"} and {r.section_title for r in rows if r.value != VALUES[0]} == {""}
+    using = {r.value: r.matched_using for r in rows}
+    assert using["CS 25.1309(a)"] == "CS 25.1309" and using["fuel (x) system"] == "fuel system" and using["21.A.3(b), see"] == "21.A.3"

@@ -93,6 +93,12 @@ def test_rounding_and_jaccard(spark):
     assert spark.range(1).select(E.coverage(F.lit(1), F.lit(16))).head()[0] == 6.2  # 6.25 rounds to even
 
 
+def test_parentheses_of_any_depth(spark):
+    for depth in (1, 2, 3, 6, 40):
+        assert ev(spark, X.strip_parentheticals, "x " + "(a " * depth + ")" * depth + " y") == "x y"
+    assert ev(spark, X.strip_parentheticals, "a (b (c) d") == "a (b d" and ev(spark, X.strip_parentheticals, "((a)) ) (b") == ") (b"
+
+
 def test_names_and_times(spark):
     assert ev(spark, X.sanitize_filename, "A/B: c d__e") == "A_B_c_d_e"
     assert ev(spark, X.sanitize_filename, "") == "Unknown_Topic"
@@ -104,9 +110,23 @@ def test_names_and_times(spark):
     assert ev(spark, X.count_value, "3.0") == 3 and ev(spark, X.count_value, "x") == 0 and ev(spark, X.count_value, None) == 0
 
 
-def test_reference_sentences():
-    assert E.reference_sentences("See No. 5 and e.g. the para. 3. next one. Limit is 2.5 bar. J. Smith agreed! Done") == ["See No. 5 and e.g. the para. 3. next one.", "Limit is 2.5 bar.", "J. Smith agreed!", "Done"]
-    assert E.reference_sentences(None) == [] and E.reference_sentences(" ") == []
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("See No. 5 and e.g. the para. 3. next one. Limit is 2.5 bar. J. Smith agreed! Done", ["See No. 5 and e.g. the para. 3. next one.", "Limit is 2.5 bar.", "J. Smith agreed!", "Done"]),
+        (None, []),
+        (" \u00a0", []),
+        ("One.  Two?\n\nThree!", ["One.", "Two?", "Three!"]),
+        ('He said "Stop." Then he left. (See it.) Next', ['He said "Stop."', "Then he left.", "(See it.)", "Next"]),
+        ("In the U.S. Army. In the X.Y. Army", ["In the U.S. Army.", "In the X.Y.", "Army"]),
+        ("Rule 5. Next. Rule v.5 Next", ["Rule 5. Next.", "Rule v.5 Next"]),
+        ("small. then. Big", ["small. then.", "Big"]),
+        ("Nos. 3 and ETC. Next, 1.etc. Next", ["Nos. 3 and ETC. Next, 1.etc. Next"]),
+        ("Really?! Yes. Ποιος; Ναι. ναι", ["Really?!", "Yes.", "Ποιος; Ναι. ναι"]),
+    ],
+)
+def test_reference_sentences(spark, text, want):
+    assert ev(spark, X.reference_sentences, text) == want
 
 
 def test_metrics_by_hand():
