@@ -64,15 +64,21 @@ class FallbackModel:
 REPLIES = "row_id long, prompt string, reply string, service_used string, fallback boolean, attempts int"
 
 
+def is_chain(reply: str) -> bool:
+    """Whether a reply without JSON reads as entity chains: every part between semicolons holds a pipe."""
+    parts = [x for x in reply.split(";") if x.strip()]
+    return bool(parts) and not reply.lstrip().startswith(("{", "[")) and all("|" in x for x in parts)
+
+
 def run_prompts(prompts: DataFrame, model: Callable[[], FallbackModel], system: str = "", json_retries: int = 3) -> DataFrame:
-    """Replies to (row_id, prompt); a reply without a JSON object is asked for again up to json_retries times."""
+    """Replies to (row_id, prompt); a reply with neither a JSON object nor chains is asked for again up to json_retries times."""
 
     def rows(m: FallbackModel, rid: int, prompt: str | None) -> Iterator[tuple]:
         reply, service, fell = None, None, False
         for attempt in range(1, json_retries + 2):
             suffix = "" if attempt == 1 else f"\nReturn JSON only. ({attempt})"
             reply, service, fell = m.complete_named((prompt or "") + suffix, system)
-            if reply is None or "{" in reply:
+            if reply is None or "{" in reply or is_chain(reply):
                 break
         yield rid, prompt, reply, service, fell, attempt
 
@@ -89,10 +95,60 @@ def prompt_head(edited: Column, generated: Column) -> Column:
     return F.when(head == "", generated).otherwise(head)
 
 
-def cell_value(reply: Column) -> Column:
-    """The value of a reply's JSON object, chains as they are, failure marks otherwise."""
+def column_jobs(sections: DataFrame, columns: dict[str, str], per_column: bool) -> DataFrame:
+    """Prompts (row_id, column_name, prompt) of sections (row_id, heading, text): one for each column, or one for all of them (column_name null)."""
+    if not per_column:
+        ask = "Fill the columns and answer with one JSON object whose keys are their names.\n" + "\n".join(f"{c}: {i}" for c, i in columns.items())
+        return sections.select("row_id", F.lit(None).cast("string").alias("column_name"), column_prompt(ask, F.col("heading"), F.col("text")).alias("prompt"))
+    one = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), column_prompt(i, F.col("heading"), F.col("text")).alias("prompt")) for c, i in columns.items()]))
+    return sections.select("row_id", one.alias("j")).select("row_id", "j.column_name", "j.prompt")
+
+
+def column_cells(replies: DataFrame, columns: list[str]) -> DataFrame:
+    """(row_id, column_name, value) of replies (row_id, column_name, reply): one reply a column, or one object for all columns."""
+    each = replies.where("column_name is not null").select("row_id", "column_name", cell_value(F.col("reply")).alias("value"))
+    names = F.explode(F.array(*map(F.lit, columns))).alias("column_name")
+    whole = replies.where("column_name is null").select("row_id", names, "reply")
+    branches = F.lit(None).cast("string")
+    for c in columns:
+        branches = F.when(F.col("column_name") == c, cell_value(F.col("reply"), c)).otherwise(branches)
+    return each.unionByName(whole.select("row_id", "column_name", branches.alias("value")))
+
+
+def freeform(jobs: DataFrame, instruction: str, model: Callable[[], FallbackModel], directive: str = "", service: str = "", model_name: str = "", fmt: str = "text") -> DataFrame:
+    """Replies to one instruction over sections (row_id, title, text), as they come; a call that fails says so.
+
+    The requested service and model stay beside those that answered.
+    """
+    ask = f"{instruction}\n{directive}" if directive else instruction
+    prompt = F.concat(F.lit(f"{ask}\n\n---\nSECTION: "), F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    replies = run_prompts(jobs.select("row_id", prompt.alias("prompt")), model, json_retries=0).select("row_id", "reply", "service_used", "fallback")
+    out = jobs.select("row_id", "title").join(replies, "row_id")
+    return out.select(
+        "row_id", "title", F.lit(instruction).alias("instruction"), F.coalesce("reply", F.lit("[ERROR] no reply")).alias("response"), F.lit(service).alias("service"), F.lit(model_name).alias("model"), F.lit(fmt).alias("format"),
+        F.coalesce("service_used", F.lit(service)).alias("service_used"), F.when(F.col("fallback"), "yes").otherwise("").alias("fallback"),
+    )
+
+
+def analyse_corpus(blocks: DataFrame, prompt: str, model: Callable[[], FallbackModel], system: str = "", name: str = "cross-document analysis") -> DataFrame:
+    """One analysis over the blocks (doc_uuid, at, block, sections_used) of a prompt corpus: name, scope, prompt, result_text, service_used.
+
+    The corpus is bounded by its budget of characters, so it is one row. No
+    row comes out where there is no corpus or no answer.
+    """
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "block"))), lambda b: b["block"])
+    g = blocks.agg(F.array_join(parts, "\n").alias("corpus"), F.sum("sections_used").alias("n"), F.sort_array(F.collect_set("doc_uuid")).alias("documents"))
+    g = g.where((X.ustrip(F.col("corpus")) != "") & (F.size("documents") > 0))
+    full = F.concat(F.lit(f"{prompt}\n\n=== CORPUS ("), F.col("n").cast("string"), F.lit(" sections from "), F.size("documents").cast("string"), F.lit(" document(s)) ===\n"), F.col("corpus"))
+    asked = g.select(F.lit(1).cast("long").alias("row_id"), full.alias("prompt"), F.to_json(F.struct("documents", F.col("n").alias("total_sections"))).alias("scope"))
+    replies = run_prompts(asked.select("row_id", "prompt"), model, system, json_retries=0).where("reply is not null")
+    return asked.select("row_id", "scope").join(replies.select("row_id", "reply", "service_used"), "row_id").select(F.lit(name).alias("name"), "scope", F.lit(prompt).alias("prompt"), F.col("reply").alias("result_text"), "service_used")
+
+
+def cell_value(reply: Column, key: str = "value") -> Column:
+    """The value under `key` of a reply's JSON object, chains as they are, failure marks otherwise."""
     body = X.json_object_in(reply)
-    value = F.get_json_object(body, "$.value")
+    value = F.get_json_object(body, f"$['{key}']")
     return F.when(reply.isNull(), "[ERROR] no reply").when(X.looks_like_chain(reply), X.unfenced(reply)).when(body.isNotNull() & value.isNotNull(), value).otherwise(F.concat(F.lit("[unparsed] "), X.ustrip(reply)))
 
 

@@ -132,6 +132,29 @@ def convert_files(files: DataFrame, converter: Callable[[], Callable[[bytes], li
     return map_rows(files.select("path", "content"), rows, "path string, page_no int, text string, error string", converter)
 
 
+IMAGE_SCHEMA = "path string, picture_no int, page string, file_name string, bbox array<double>, data binary, error string"
+
+
+def extract_images(files: DataFrame, extractor: Callable[[], Callable[[bytes], list[tuple]]]) -> DataFrame:
+    """Pictures of (path, content) by an injected extractor that gives (page or None, PNG bytes, box or None) in reading order.
+
+    Pictures are numbered within their file and named by page and number; a
+    missing page is `unknown`; a file that fails gives one row with the error.
+    """
+
+    def rows(extract: Callable[[bytes], list[tuple]], path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            found = extract(bytes(content))
+        except Exception as e:  # noqa: BLE001 - a broken file must not stop the others
+            yield path, 0, None, None, None, None, f"{type(e).__name__}: {e}"[:500]
+            return
+        for n, (page, data, box) in enumerate(found, 1):
+            where = "unknown" if page is None else str(page)
+            yield path, n, where, f"_page_{where}_picture_{n}.png", None if box is None else [float(x) for x in box], data, None
+
+    return map_rows(files.select("path", "content"), rows, IMAGE_SCHEMA, extractor)
+
+
 def pick_embedding_model(models: DataFrame, preferred: list[str]) -> str | None:
     """The first preferred model among a service's embedding models (by name, then by part of it), else the first of them, else the first preferred."""
     low = F.lower("name")

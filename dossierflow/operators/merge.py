@@ -4,8 +4,9 @@ Decisions are rows (doc_uuid, pos, id, action, heading, text, labels, page)
 with a unique id and action log, review, skip or merge. A `merge` row's text goes to the
 nearest row above that is kept; with none above, it is kept itself.
 
-Where a row goes is worked out on positions, keys and lengths alone; each text
-then moves once, to the row it becomes part of. A section (or a kept row with
+Where a row goes is worked out on positions, keys and lengths alone, which are
+written once to the checkpoint folder while the plan is made; each text then
+moves once, to the row it becomes part of. A section (or a kept row with
 its merges) comes in parts of about PART_CHARS characters, numbered from 0, so
 that no cell outgrows a task: its text is the parts' texts with SEPARATOR
 between, its ids, labels and pages are those of its parts. Heading, first
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from dossierflow.functions import text as X
 from dossierflow.operators.ordered import carry_last, first_per_key, running_sum
+from dossierflow.session import materialise
 
 #: Characters of a part; a row counts ROW_CHARS more, for what else is kept of it.
 PART_CHARS, ROW_CHARS = 8_000_000, 16
@@ -72,13 +74,14 @@ def folded_rows(decisions: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     blank = X.ustrip(F.when(F.col("action") == "merge", block_text(F.col("text"), F.col("heading"), F.col("add_heading"))).otherwise(text)) == ""
     alone = X.ustrip(text) == ""
-    slim = decisions.select("doc_uuid", "pos", "id", "action", "heading", blank.alias("blank"), alone.alias("alone"), (F.char_length(text) + F.char_length(F.coalesce("heading", F.lit("")))).alias("size"))
+    # written once: texts are looked at in one pass, and the plans of the steps below stay small
+    slim = materialise(decisions.select("doc_uuid", "pos", "id", "action", "heading", blank.alias("blank"), alone.alias("alone"), (F.char_length(text) + F.char_length(F.coalesce("heading", F.lit("")))).alias("size")))
     d = merge_groups(slim).where(F.col("gid").isNotNull()).withColumn("_doc", _doc())
     own = F.struct("pos", "id", "heading", "alone")
     folds = d.groupBy("_doc", "gid").agg(F.min(F.when(F.col("kept"), own)).alias("k"), F.count_if(~F.col("kept") & ~F.col("blank")).alias("added"))
     rows = d.select("_doc", "gid", "pos", "id", "kept", "blank", "size").join(folds, ["_doc", "gid"])
     has_item = F.when(F.col("kept"), (F.col("added") == 0) | ~F.col("k.alone")).otherwise(~F.col("blank"))
-    return rows.select("id", "_doc", "gid", "pos", "size", F.col("kept").alias("lead"), F.col("k.pos").alias("kept_pos"), F.col("k.id").alias("kept_id"), F.col("k.heading").alias("heading"), has_item.alias("has_item"), (F.col("kept") & (F.col("added") > 0)).alias("trimmed"))
+    return materialise(rows.select("id", "_doc", "gid", "pos", "size", F.col("kept").alias("lead"), F.col("k.pos").alias("kept_pos"), F.col("k.id").alias("kept_id"), F.col("k.heading").alias("heading"), has_item.alias("has_item"), (F.col("kept") & (F.col("added") > 0)).alias("trimmed")))
 
 
 def in_parts(rows: DataFrame, keys: list[str], part_chars: int = PART_CHARS) -> DataFrame:
@@ -148,7 +151,7 @@ def merge_targets(decisions: DataFrame) -> DataFrame:
 def kept_rows(kept: DataFrame, key: Column) -> DataFrame:
     """Slim rows, as of folded_rows, of rows that are kept as they are, with the key of their section."""
     size = F.char_length(F.coalesce("text", F.lit(""))) + F.char_length(F.coalesce("heading", F.lit("")))
-    return kept.select("id", _doc().alias("_doc"), "pos", size.alias("size"), F.lit(True).alias("lead"), F.col("pos").alias("kept_pos"), F.col("id").alias("kept_id"), "heading", F.lit(True).alias("has_item"), F.lit(False).alias("trimmed"), key.alias("key"))
+    return materialise(kept.select("id", _doc().alias("_doc"), "pos", size.alias("size"), F.lit(True).alias("lead"), F.col("pos").alias("kept_pos"), F.col("id").alias("kept_id"), "heading", F.lit(True).alias("has_item"), F.lit(False).alias("trimmed"), key.alias("key")))
 
 
 def merged_rows(decisions: DataFrame) -> DataFrame:

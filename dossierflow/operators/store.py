@@ -99,9 +99,9 @@ def build_corpus(documents: DataFrame, sections: DataFrame, per_section: int = 1
 
 
 def corpus_text(lines: DataFrame) -> DataFrame:
-    """One block of text per document."""
-    g = lines.groupBy("doc_uuid", "doc_name").agg(F.array_sort(F.collect_list(F.struct("ordinal", "id", "line"))).alias("l"))
-    return g.select("doc_uuid", F.concat(F.lit("\n### DOCUMENT: "), F.coalesce("doc_name", "doc_uuid"), F.lit("\n\n"), F.array_join(F.transform("l", lambda s: s["line"]), "\n")).alias("block"), F.size("l").alias("sections_used"))
+    """One block of text per document, with its place in the corpus."""
+    g = lines.groupBy("doc_uuid", "doc_name").agg(F.array_sort(F.collect_list(F.struct("ordinal", "id", "line"))).alias("l"), F.min("before").alias("at"))
+    return g.select("doc_uuid", "at", F.concat(F.lit("\n### DOCUMENT: "), F.coalesce("doc_name", "doc_uuid"), F.lit("\n\n"), F.array_join(F.transform("l", lambda s: s["line"]), "\n")).alias("block"), F.size("l").alias("sections_used"))
 
 
 def failed(columns: list[str]) -> Column:
@@ -169,3 +169,24 @@ class TableStore:
             if same:
                 return self.versions(name)[-1]
         return self.write(name, df)
+
+    def reset(self, name: str) -> int | None:
+        """An empty version with the columns of the current one: progress starts anew, older versions stay readable."""
+        old = self.read(name)
+        return None if old is None else self.write(name, old.limit(0))
+
+
+def persist_review(store: TableStore, documents: DataFrame, sections: DataFrame, order: list[str]) -> tuple[int, int]:
+    """Stores reviewed documents (doc_uuid, ...) by upsert and replaces their sections; gives the versions of `documents` and `sections`."""
+    known, held = store.read("documents"), store.read("sections")
+    merged = documents if known is None else upsert(known, documents, ["doc_uuid"], order, coalesced=tuple(c for c in ENRICHED if c in known.columns))
+    replaced = sections if held is None else replace_partition(held, sections, "doc_uuid")
+    return store.write("documents", merged), store.write("sections", replaced)
+
+
+def append_rows(store: TableStore, name: str, rows: DataFrame, order: list[Column], partitions: int) -> int:
+    """Appends rows (runs, reviews, entities, analyses) under new consecutive ids."""
+    old = store.read(name)
+    start = 0 if old is None else old.agg(F.coalesce(F.max("id"), F.lit(0))).head()[0]
+    new = with_new_ids(rows, order, start, partitions)
+    return store.write(name, new if old is None else old.unionByName(new, allowMissingColumns=True))

@@ -9,6 +9,7 @@ from dossierflow.functions import text as X
 from dossierflow.operators import merge as M
 from dossierflow.operators import toc as T
 from dossierflow.operators import triage as G
+from dossierflow.operators.review import review
 from dossierflow.plans import sqltext as S
 from dossierflow.plans.registry import Registry
 from dossierflow.plans.sqltext import CHUNKS, q
@@ -215,6 +216,12 @@ def baseline_sections(spark, d):
     return as_rows(M.baseline_sections(chunks(spark, d)))
 
 
+@curation.query("reviewed_sections", f"WITH {TRIAGE}, kept AS (SELECT t.doc_uuid, t.pos, t.id, c.text, t.heading_out AS heading, {S.norm_heading('t.heading_out')} AS key, t.id::VARCHAR AS ids FROM triaged t JOIN chunks c USING (id) WHERE t.action <> 'skip') {SECTIONS}")
+def reviewed_sections(spark, d):
+    """From chunks to sections in one chain: triage accepted as proposed, and the sections it makes."""
+    return as_rows(review(chunks(spark, d), ratio=None).sections)
+
+
 @curation.query("review_history", f"""WITH {FOLD}, t AS (SELECT doc_uuid, gid, id AS into_id FROM g WHERE kept)
 SELECT g.doc_uuid, g.pos, g.id, CASE g.action WHEN 'skip' THEN 'skipped' WHEN 'merge' THEN 'merged' ELSE 'logged (auto)' END AS status, CASE WHEN g.action = 'merge' AND NOT g.kept THEN t.into_id END AS merged_into
 FROM g LEFT JOIN t ON g.doc_uuid = t.doc_uuid AND g.gid = t.gid AND g.action <> 'skip'""")
@@ -307,7 +314,14 @@ def toc_cascade(spark, d):
     return T.resolve_cascade(a.unionByName(b))
 
 
-@curation.query("toc_run")
+@curation.query("toc_run", f"""WITH {CHUNKS}, x AS (SELECT doc_uuid, pos, id, heading, CASE WHEN pos = 0 THEN 'Contents' ELSE heading || ' ..... 1' || chr(10) || heading || ' ..... 2' END AS txt FROM chunks),
+ln AS (SELECT doc_uuid, pos, id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT *, regexp_split_to_array(txt, '\r\n|\r|\n') AS l FROM x)),
+trimmed AS (SELECT doc_uuid, pos, id, n, {S.ustrip('line')} AS t FROM ln WHERE {S.ustrip('line')} <> ''), {ENTRY},
+e AS (SELECT id, count(*) AS parsed FROM entries WHERE title <> '' OR NOT m GROUP BY 1), a AS (SELECT id, count(*) AS n, arg_min(t, n) AS first_line FROM trimmed GROUP BY 1),
+f AS (SELECT x.doc_uuid, x.pos, x.id, {S.toc_title('x.heading')} OR {S.toc_title('a.first_line')} AS announces, coalesce(a.n, 0) > 0 AND coalesce(e.parsed, 0) >= greatest(2, floor(coalesce(a.n, 0) / 2)) AS parses FROM x LEFT JOIN a USING (id) LEFT JOIN e USING (id)),
+b AS (SELECT *, sum(announces::INT) OVER (PARTITION BY doc_uuid ORDER BY pos, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS begun FROM f),
+w AS (SELECT *, sum((begun > 0 AND NOT parses AND NOT (begun = 1 AND announces))::INT) OVER (PARTITION BY doc_uuid ORDER BY pos, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS broken FROM b)
+SELECT doc_uuid, pos, id FROM w WHERE begun > 0 AND broken = 0""")
 def toc_run(spark, d):
     """Printed contents: each document's headings become contents lines below an announcing chunk."""
     c = chunks(spark, d)

@@ -13,6 +13,7 @@ from dossierflow.operators import graph as G
 from dossierflow.operators import ordered as O
 from dossierflow.operators import store as T
 from dossierflow.operators.hierarchy import hierarchy
+from dossierflow.plans import jsonsql as J_
 from dossierflow.plans import sqltext as S
 from dossierflow.plans.evaluation import REFERENCED, SPLIT, referenced, rows
 from dossierflow.plans.registry import Registry
@@ -38,39 +39,40 @@ def payloads(spark: SparkSession, d: str) -> DataFrame:
 # ---- hierarchies and graphs ----
 
 
-@documents.query("node_index")
+@documents.query("node_index", f"WITH RECURSIVE {J_.TREE}, {J_.INDEX} SELECT * FROM idx")
 def node_index(spark, d):
     return G.node_index(payloads(spark, d))
 
 
-@documents.query("tree_sections")
+@documents.query("tree_sections", f"WITH RECURSIVE {J_.TREE}, {J_.SECTIONS} SELECT * FROM sect")
 def tree_sections(spark, d):
     """Hierarchies as section rows."""
     return G.hierarchy_sections(payloads(spark, d))
 
 
-@documents.query("tree_references")
+@documents.query("tree_references", f"WITH RECURSIVE {J_.TREE}, {J_.SECTIONS} SELECT record_id, heading AS title, arg_min(text, ordinal) AS text FROM sect GROUP BY 1, 2")
 def tree_references(spark, d):
     return G.references_by_title(G.hierarchy_sections(payloads(spark, d)))
 
 
-@documents.query("document_summary")
+@documents.query("document_summary", f"""WITH RECURSIVE {J_.TREE}, {J_.INDEX}, k AS (SELECT record_id, element_type, count(*) AS n FROM idx GROUP BY 1, 2), m AS (SELECT record_id, arg_max(element_type, (n, element_type)) AS most_common, count(*) AS n_types FROM k GROUP BY 1)
+SELECT record_id, count(*) AS n_nodes, sum(n_links)::BIGINT AS n_links, sum(n_images)::BIGINT AS n_images, sum(text_length)::BIGINT AS n_chars, max(depth) AS max_depth, any_value(most_common) AS most_common, any_value(n_types) AS n_types FROM idx JOIN m USING (record_id) GROUP BY 1""")
 def document_summary(spark, d):
     return G.document_summary(G.node_index(payloads(spark, d)))
 
 
-@documents.query("node_markdown")
+@documents.query("node_markdown", f"WITH RECURSIVE {J_.TREE}, {J_.SECTIONS} SELECT record_id, ordinal, repeat('#', least(level, 6)) || ' ' || heading || CASE WHEN text = '' THEN '' ELSE chr(10) || chr(10) || text END AS markdown FROM sect")
 def node_markdown(spark, d):
     s = G.hierarchy_sections(payloads(spark, d))
     return s.select("record_id", "ordinal", sinks.markdown(F.col("level"), F.col("heading"), F.col("text")).alias("markdown"))
 
 
-@documents.query("topic_graph")
+@documents.query("topic_graph", f"WITH RECURSIVE {J_.TREE}, {J_.GRAPH} {J_.GRAPH_ROWS}")
 def topic_graph(spark, d):
     return G.topic_graph(payloads(spark, d))
 
 
-@documents.query("external_nodes")
+@documents.query("external_nodes", f"WITH RECURSIVE {J_.TREE}, {J_.GRAPH} SELECT text AS node_id, count(*) AS n_records FROM ext GROUP BY 1")
 def external_nodes(spark, d):
     return G.topic_graph(payloads(spark, d)).where("kind = 'external'").groupBy("node_id").agg(F.count("*").alias("n_records"))
 
@@ -121,18 +123,23 @@ def xml_packages(spark, d):
     return _packages(table(spark, d, "sections", "id", "heading", "text"))
 
 
-def _packages(s):
-    # what no XML can hold is left out; line breaks and tabs are escaped, as attributes would lose them
+def _legal(s):
+    """Sections with heading and text, without what no XML can hold."""
     legal = lambda c: F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]", "")
     s = s.select("id", legal("heading").alias("heading"), legal("text").alias("text"))
+    return s.where((X.ustrip(F.col("heading")) != "") & (X.ustrip(F.col("text")) != ""))
+
 
-    def esc(c):
-        for x, y in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
-            c = F.replace(c, F.lit(x), F.lit(y))
-        return c
+def _escaped(c):
+    """Text for XML; line breaks and tabs too, as attributes would lose them."""
+    for x, y in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        c = F.replace(c, F.lit(x), F.lit(y))
+    return c
 
-    s = s.where((X.ustrip(F.col("heading")) != "") & (X.ustrip(F.col("text")) != ""))
-    xml = F.concat(F.lit('<package xmlns:w="w" xmlns:r="r"><part name="/word/_rels/document.xml.rels"><Relationship Id="r1" Target="other.html"/></part><part name="/rules.xml"><document guid="g"><topic sdt-id="7" source-title="'), esc(F.col("heading")), F.lit('"/></document></part><part name="/word/document.xml"><w:sdt><w:sdtPr><w:id w:val="7"/></w:sdtPr><w:p><w:t>'), esc(F.col("text")), F.lit('</w:t><w:hyperlink r:id="r1"><w:t>'), esc(F.col("text")), F.lit("</w:t></w:hyperlink></w:p></w:sdt></part></package>"))
+
+def _packages(s):
+    s = _legal(s)
+    xml = F.concat(F.lit('<package xmlns:w="w" xmlns:r="r"><part name="/word/_rels/document.xml.rels"><Relationship Id="r1" Target="other.html"/></part><part name="/rules.xml"><document guid="g"><topic sdt-id="7" source-title="'), _escaped(F.col("heading")), F.lit('"/></document></part><part name="/word/document.xml"><w:sdt><w:sdtPr><w:id w:val="7"/></w:sdtPr><w:p><w:t>'), _escaped(F.col("text")), F.lit('</w:t><w:hyperlink r:id="r1"><w:t>'), _escaped(F.col("text")), F.lit("</w:t></w:hyperlink></w:p></w:sdt></part></package>"))
     facts = xmlpackage.archive_facts(s.select(F.col("id").cast("string").alias("path"), F.encode(xml, "UTF-8").alias("content")), zipped=False)
     n = xmlpackage.nodes(facts)
     return n.select(F.col("path").cast("long").alias("id"), "title", "text_content", F.col("n_links").cast("int").alias("n_links"))
@@ -357,6 +364,52 @@ def model_columns(spark, d):
     return r.select("row_id", L.cell_value(F.col("reply")).alias("value"), "service_used", "fallback", "attempts")
 
 
+def _echo():
+    return L.FallbackModel(L.EchoModel())
+
+
+# The stand-in's reply: the first words of what follows the divider, or no JSON for one prompt in seventeen.
+def echo_sql(prompt: str) -> str:
+    body = f"substr({prompt}, instr({prompt}, chr(10) || '---' || chr(10)) + 5)"
+    words = f"array_to_string(list_filter(regexp_split_to_array({body}, {q(S.WS + '+')}), lambda x: x <> '')[1:6], ' ')"
+    return f"""CASE WHEN ('0x' || substr(sha1({prompt}), 1, 4))::INTEGER % 17 = 0 THEN 'no JSON here' ELSE '{{"value": "' || replace(replace({words}, chr(92), ''), '"', chr(39)) || '"}}' END"""
+
+
+FREEFORM = "'Summarise.' || chr(10) || 'In one line.' || chr(10) || chr(10) || '---' || chr(10) || 'SECTION: ' || coalesce(heading, '') || chr(10) || chr(10) || coalesce(text, '')"
+
+
+@documents.query("freeform_results", f"WITH p AS (SELECT id, heading, {FREEFORM} AS prompt FROM sections) SELECT id AS row_id, heading AS title, {echo_sql('prompt')} AS response, 'echo' AS service_used, '' AS fallback FROM p")
+def freeform_results(spark, d):
+    """One instruction over every section."""
+    s = table(spark, d, "sections", "id", "heading", "text").select(F.col("id").alias("row_id"), F.col("heading").alias("title"), "text")
+    return L.freeform(s, "Summarise.", _echo, "In one line.", "echo").select("row_id", "title", "response", "service_used", "fallback")
+
+
+@documents.query("corpus_analysis", f"""WITH {CORPUS}, l2 AS (SELECT * FROM b WHERE before < 60000), one AS (SELECT count(*) AS n, count(DISTINCT doc_uuid) AS m, arg_min(line, before) AS first_line FROM l2)
+SELECT 'cross-document analysis' AS name, n AS total_sections, m AS n_documents, 'echo' AS service_used FROM one WHERE n > 0""")
+def corpus_analysis(spark, d):
+    """A question asked over the corpus of all documents' first sections."""
+    lines = T.build_corpus(indexed_documents(spark, d), table(spark, d, "sections", "doc_uuid", "ordinal", "id", "heading", "text"))
+    r = L.analyse_corpus(T.corpus_text(lines), "What do they share?", _echo)
+    scope = F.from_json("scope", "documents array<string>, total_sections long")
+    return r.select("name", scope["total_sections"].alias("total_sections"), F.size(scope["documents"]).cast("long").alias("n_documents"), "service_used")
+
+
+@documents.query("column_cells")
+def column_cells(spark, d):
+    """Two columns asked for in one call and in calls of their own, as cells."""
+    s = table(spark, d, "sections", "id", "heading", "text").select(F.col("id").alias("row_id"), "heading", "text")
+    ask = {"value": "Name the subject.", "Requirements": "List the duties."}
+    cells = []
+    for per_column in (False, True):
+        jobs = L.column_jobs(s, ask, per_column)
+        keyed = jobs.withColumn("row_id", F.col("row_id") * 2 + F.coalesce((F.col("column_name") == "value").cast("int"), F.lit(0)))
+        replies = L.run_prompts(keyed.select("row_id", "prompt"), _echo).select("row_id", "reply")
+        named = keyed.select("row_id", "column_name").join(replies, "row_id").withColumn("row_id", F.shiftright("row_id", 1))
+        cells.append(L.column_cells(named, list(ask)).withColumn("per_column", F.lit(per_column)))
+    return cells[0].unionByName(cells[1])
+
+
 @documents.query("model_vectors")
 def model_vectors(spark, d):
     """Items embedded once per distinct text and scored against their best sentence."""
@@ -407,8 +460,7 @@ def sheet_roundtrip(spark, d):
     return sinks.read_sheet(spark, book, sheet, "csv")
 
 
-@documents.query("review_payload")
-def review_payload(spark, d):
+def _payload(spark, d):
     from dossierflow.operators import merge as M
     from dossierflow.plans.curation import decisions
 
@@ -416,7 +468,28 @@ def review_payload(spark, d):
     return sinks.review_payload(M.merged_sections(dec), M.history(dec))
 
 
-@documents.query("graph_sheets")
+@documents.query("review_payload")
+def review_payload(spark, d):
+    """Entries of the review's output: sections with their links, and the history of every chunk."""
+    return _payload(spark, d)
+
+
+@documents.query("payload_documents")
+def payload_documents(spark, d):
+    """The review's output, one JSON object a document."""
+    return sinks.payload_documents(_payload(spark, d))
+
+
+@documents.query("xml_raw_json", f"SELECT id, {S.ustrip(LEGAL('heading'))} AS heading, {S.ustrip(LEGAL('text'))} AS text FROM sections WHERE {S.ustrip(LEGAL('heading'))} <> '' AND {S.ustrip(LEGAL('text'))} <> ''")
+def xml_raw_json(spark, d):
+    """Sections printed as XML, turned into JSON without loss, and read from that."""
+    s = _legal(table(spark, d, "sections", "id", "heading", "text"))
+    xml = F.concat(F.lit('<s:doc xmlns:s="u"><s:h n="1">'), _escaped(F.col("heading")), F.lit("</s:h><s:t>"), _escaped(F.col("text")), F.lit("</s:t><s:t/></s:doc>"))
+    j = xmlpackage.raw_json(s.select(F.col("id").cast("string").alias("path"), F.encode(xml, "UTF-8").alias("content")))
+    return j.select(F.col("path").cast("long").alias("id"), F.get_json_object("json", "$['s:doc']['s:h']['#text']").alias("heading"), F.get_json_object("json", "$['s:doc']['s:t'][0]").alias("text"))
+
+
+@documents.query("graph_sheets", f"WITH RECURSIVE {J_.TREE}, {J_.GRAPH}, r AS ({J_.GRAPH_ROWS}) SELECT record_id::VARCHAR AS record_id, node_id AS source, other AS target, relation FROM r WHERE kind = 'edge'")
 def graph_sheets(spark, d):
     """Edges of the topic graph written as CSV and read back."""
     book = f"{ensure_checkpoint_dir(spark).rstrip('/')}/books/{uuid.uuid4().hex}"

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from dossierflow.functions import text as X
 from dossierflow.operators import layout as Y
 from dossierflow.operators import runs as U
+from dossierflow.plans import jsonsql as J
 from dossierflow.plans import sqltext as S
-from dossierflow.plans.curation import chunks
+from dossierflow.plans.curation import ENTRY, chunks
 from dossierflow.plans.evaluation import rows
 from dossierflow.plans.registry import Registry
 from dossierflow.plans.sqltext import CHUNKS, q
@@ -53,7 +54,15 @@ def prefix_search(spark, d):
     return table(spark, d, "sections", "id", "text").where(found_in_first(F.lower("text"), "operator", 40)).select("id")
 
 
-@layouts.query("printed_contents")
+@layouts.query("printed_contents", f"""WITH {CHUNKS}, c AS (SELECT doc_uuid, pos, id, floor(pos / 40)::INTEGER + 1 AS page_no, {S.ustrip("regexp_replace(heading, '[ \t-\r]+', ' ', 'g') || ' ..... ' || least(pos + 1, 9999)")} AS t FROM chunks WHERE heading <> ''),
+ln AS (SELECT doc_uuid, page_no, t, row_number() OVER (PARTITION BY doc_uuid, page_no ORDER BY pos, id) + (page_no = 1)::INT AS n FROM c UNION ALL SELECT DISTINCT doc_uuid, 1, 'Table of Contents', 1 FROM c WHERE page_no = 1),
+trimmed AS (SELECT * FROM ln WHERE page_no <= 30), {ENTRY},
+pages AS (SELECT DISTINCT doc_uuid, page_no FROM trimmed), st AS (SELECT doc_uuid, min(page_no) AS first_page FROM trimmed WHERE n <= 15 AND page_no <= 20 AND {S.toc_title('t')} GROUP BY 1),
+good AS (SELECT *, row_number() OVER (PARTITION BY doc_uuid, page_no ORDER BY n) - 1 AS k FROM entries WHERE title <> '' OR NOT m),
+pc AS (SELECT p.doc_uuid, p.page_no, first_page, (SELECT count(*) FROM good g WHERE g.doc_uuid = p.doc_uuid AND g.page_no = p.page_no) AS n FROM pages p JOIN st USING (doc_uuid) WHERE p.page_no BETWEEN first_page AND first_page + 9),
+live AS (SELECT doc_uuid, page_no FROM pc QUALIFY sum((page_no > first_page AND n < 3)::INT) OVER (PARTITION BY doc_uuid ORDER BY page_no) = 0),
+u AS (SELECT g.doc_uuid, g.page_no, g.k::INTEGER AS k, g.title, g.epage AS page FROM good g JOIN live USING (doc_uuid, page_no) WHERE {S.norm_heading('title')} <> '' QUALIFY row_number() OVER (PARTITION BY g.doc_uuid, {S.norm_heading('title')} ORDER BY g.page_no, g.k) = 1)
+SELECT * FROM u WHERE doc_uuid IN (SELECT doc_uuid FROM u GROUP BY 1 HAVING count(page) >= 4)""")
 def printed_contents(spark, d):
     """Every document's headings printed as a contents page, read back."""
     c = chunks(spark, d).where("heading != ''").withColumn("page_no", (F.floor(F.col("pos") / 40) + 1).cast("int"))
@@ -103,10 +112,12 @@ def _reply_items(e):
     return e.select("item_row_id", F.array_join(Y.string_list_from_reply(reply), " ¦ ").alias("items"))
 
 
-@layouts.query("literal_lists")
+@layouts.query("literal_lists", f"""WITH r AS (SELECT item_row_id, item, {S.ustrip("translate(item, chr(39) || chr(92) || chr(10), '   ')")} AS x FROM eval_items WHERE item IS NOT NULL)
+SELECT item_row_id AS id, CASE WHEN contains(item, chr(13)) THEN '' WHEN x = '' THEN 'x' ELSE x || ' ¦ x' END AS items FROM r""")
 def literal_lists(spark, d):
+    """Lists in Python's notation read back; a carriage return inside a string makes a reply unreadable."""
     e = table(spark, d, "eval_items", "item_row_id", "item").where("item is not null")
-    return Y.literal_lists(e.withColumn("r", F.concat(F.lit("['"), F.regexp_replace("item", r"['\\\n]", " "), F.lit("', 'x']"))), "item_row_id", "r")
+    return Y.literal_lists(e.withColumn("r", F.concat(F.lit("['"), F.regexp_replace("item", r"['\\\n]", " "), F.lit("', 'x']"))), "item_row_id", "r").withColumn("items", F.array_join("items", " ¦ "))
 
 
 def run_rows(spark, d):
@@ -138,7 +149,7 @@ def payload_kinds(spark, d):
     return table(spark, d, "structured_json", "record_id", "payload").select("record_id", X.payload_kind(F.col("payload")).alias("kind"))
 
 
-@layouts.query("node_badges")
+@layouts.query("node_badges", f"WITH RECURSIVE {J.TREE}, {J.INDEX} SELECT record_id, path, title || CASE WHEN n_children > 0 THEN ' ▸' || n_children ELSE '' END || CASE WHEN n_images > 0 THEN ' ▣' || n_images ELSE '' END || CASE WHEN n_links > 0 THEN ' ↗' || n_links ELSE '' END AS label FROM idx")
 def node_badges(spark, d):
     from dossierflow.operators.graph import node_index
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossierflow.operators.hierarchy import descendants, hierarchy
 from dossierflow.operators.multivalue import CellGrammar, split_cells
 from dossierflow.operators.nested import analyse, flat_table, hierarchy_rows, schema_edges, shred
+from dossierflow.plans import jsonsql as J
 from dossierflow.plans.registry import Registry
 from dossierflow.plans.sqltext import ustrip
 from dossierflow.sources.tables import table
@@ -28,7 +29,7 @@ ATTRIBUTE_CELLS = {"keywords": CellGrammar(comma=True), "amended_by": CellGramma
 ITEM_CELLS = {"item": CellGrammar()}
 
 
-@problems.query("p1_found")
+@problems.query("p1_found", f"WITH RECURSIVE {J.TREE} {J.FOUND}")
 def p1_found(spark: SparkSession, data_dir: str) -> DataFrame:
     return hierarchy_rows(table(spark, data_dir, "structured_json", "record_id", "payload"))
 

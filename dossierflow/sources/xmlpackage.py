@@ -18,12 +18,14 @@ import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
+from xml.parsers import expat
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossierflow.functions import text as X
 from dossierflow.functions.arrowmap import map_rows
+from dossierflow.operators.nested import dumps_deep
 
 FACTS = "path string, kind string, pos long, sdt_id string, parent_id string, name string, value string, target string, attributes map<string,string>, grid array<array<string>>, data binary"
 DEFAULT_TARGET = "Internal Jump Link"
@@ -191,3 +193,50 @@ def tables(facts: DataFrame) -> DataFrame:
     t = facts.where("kind = 'table'").withColumn("table_no", F.row_number().over(w)).where(F.size("grid") > 0)
     r = t.select("path", "sdt_id", "table_no", F.posexplode("grid").alias("row_no", "cells"))
     return r.select("path", "sdt_id", "table_no", "row_no", F.posexplode("cells").alias("column_no", "cell"))
+
+
+def xml_to_dict(data: bytes) -> dict:
+    """An XML document as nested dicts: attributes under `@name`, text under `#text`, repeated children as lists.
+
+    Names keep their prefixes and namespace declarations are attributes like
+    others. Text loses white space at its ends; an element with nothing but
+    text is that text, one with nothing at all is null.
+    """
+    root: dict = {}
+    stack: list[tuple[dict, list[str]]] = [(root, [])]
+
+    def start(name: str, attributes: dict[str, str]) -> None:
+        stack.append(({f"@{k}": v for k, v in attributes.items()}, []))
+
+    def end(name: str) -> None:
+        held, parts = stack.pop()
+        text = "".join(parts).strip()
+        if text and held:
+            held["#text"] = text
+        value = held or text or None
+        above = stack[-1][0]
+        if name not in above:
+            above[name] = value
+        elif isinstance(above[name], list):
+            above[name].append(value)
+        else:
+            above[name] = [above[name], value]
+
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.CharacterDataHandler = lambda text: stack[-1][1].append(text)
+    parser.Parse(data, True)
+    return root
+
+
+def raw_json(files: DataFrame) -> DataFrame:
+    """(path, json, error) of XML documents (path, content), one row each; broken XML gives the error."""
+
+    def rows(path: str, content: bytes | None) -> Iterator[tuple]:
+        try:
+            yield path, dumps_deep(xml_to_dict(bytes(content or b""))), None
+        except expat.ExpatError as e:
+            yield path, None, str(e)
+
+    return map_rows(files.select("path", "content"), rows, "path string, json string, error string")
