@@ -55,6 +55,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def clear_checkpoints(spark: SparkSession) -> None:
+    """Deletes what this session has written to the checkpoint folder, once its results are saved elsewhere."""
+    folder = ensure_checkpoint_dir(spark)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(path) if fs.exists(path) else ():
+        fs.delete(status.getPath(), True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Computes `df` once into the shared folder and cuts its lineage there."""
     ensure_checkpoint_dir(df.sparkSession)

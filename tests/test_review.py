@@ -141,3 +141,35 @@ def test_sheets_of_unique_elements(spark, tmp_path):
     assert got == {("CS 25.1309", "t1", "S1"), ("valve", "t2", "S1")}
     sheet = {(r.column_name, r.element): r.grounded for r in sinks.read_sheet(spark, str(tmp_path), names[1]).collect()}
     assert sheet == {("References", "CS 25.1309"): "False", ("References", "valve"): "True", ("References", "— COVERAGE —"): "1/2 (50.0%)", ("Items", "pump"): "False", ("Items", "valve"): "True", ("Items", "— COVERAGE —"): "1/2 (50.0%)"}
+
+
+def test_edited_head_of_a_prompt(spark):
+    df = spark.createDataFrame([(None,), ("\n---\nrest",), (" Mine \n---\nrest",)], "e string")
+    assert [r.h for r in df.select(L.prompt_head(F.col("e"), F.lit("made")).alias("h")).collect()] == ["made", "made", "Mine"]
+
+
+def test_chains_in_steps_agree_with_the_expression(spark):
+    import random
+
+    from dossierflow.functions.text import chain_fields
+    from dossierflow.operators.entities import COMPONENTS, with_components
+
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice("|-").join(rnd.choices(["", " a ", "#", "AC 1-2", "12 kg", "x"], k=rnd.randint(1, 9)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, chain string")
+    one = {r.i: tuple(r.f) if r.f else None for r in df.select("i", chain_fields(F.col("chain")).alias("f")).collect()}
+    steps = {r.i: tuple(r[c] for c in COMPONENTS) if r.reference else None for r in with_components(df, "chain").collect()}
+    assert steps == one
+
+
+def test_checkpoints_are_cleared(spark):
+    from dossierflow.session import clear_checkpoints, ensure_checkpoint_dir, materialise
+
+    folder = ensure_checkpoint_dir(spark)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    materialise(spark.range(3))
+    assert len(fs.listStatus(path)) > 0
+    clear_checkpoints(spark)
+    assert len(fs.listStatus(path)) == 0 and materialise(spark.range(3)).count() == 3
