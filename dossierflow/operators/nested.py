@@ -273,8 +273,10 @@ def schema_edges(payloads: DataFrame, spec: NestedSpec = NestedSpec()) -> DataFr
                 # a list is a repeated element even where it holds one entry
                 seen[0] = max(seen[0], len(entries), 2 if isinstance(value, list) else 1)
                 seen[1] += len(entries)
-                for _, x in entries:
-                    seen[2] |= _kind(x)
+                # kinds are those of columns; pairs and forced tables have none
+                if child not in spec.pairs and child not in spec.forced:
+                    for _, x in entries:
+                        seen[2] |= _kind(x)
                 if child not in spec.pairs:
                     stack.extend((child, x) for _, x in entries if isinstance(x, dict))
         yield from ((p, c, *x) for (p, c), x in found.items())
@@ -391,9 +393,13 @@ def flat_tables(rows: DataFrame, graph: SchemaGraph) -> dict[str, DataFrame]:
 
 
 def flat_table(rows: DataFrame, graph: SchemaGraph, name: str) -> DataFrame:
-    own = ["record_id", F.col("row_id").alias(f"{name}_id"), "parent_table", F.col("parent_row_id").alias("parent_id"), "path", "position", "name", "value"]
-    # inlined names may clash with the keys' names, so they come behind the table's name
-    inlined = [F.try_element_at("columns", F.lit(c)).cast(t).alias(f"{name}.{c}") for c, t in graph.columns_of(name).items()]
+    own = ["record_id", F.col("row_id").alias(f"{name}_id" if name != "record" else "record_row_id"), "parent_table", F.col("parent_row_id").alias("parent_id"), "path", "position", "name", "value"]
+    # inlined names may clash with the keys' names, so they come behind the table's name; those that differ in case alone are numbered
+    inlined, seen = [], {}
+    for c, t in graph.columns_of(name).items():
+        column = f"{name}__{c}".replace(".", "__").replace("`", "_")
+        n = seen[column.lower()] = seen.get(column.lower(), 0) + 1
+        inlined.append(F.try_element_at("columns", F.lit(c)).cast(t).alias(column if n == 1 else f"{column}_{n}"))
     return rows.where(F.col("table_name") == name).select(*own, *inlined)
 
 

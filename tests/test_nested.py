@@ -59,11 +59,11 @@ def test_tables_keep_parent_links(spark):
     g = N.analyse(df)
     t = N.flat_tables(N.shred(df, g), g)
     record = t["record"].collect()
-    assert (record[0]["record.document_metadata.guid"], record[0]["record.document_metadata.Domain"]) == ("g", "D")
+    assert (record[0]["record__document_metadata__guid"], record[0]["record__document_metadata__Domain"]) == ("g", "D")
     nodes = {r["path"]: r for r in t["node"].collect()}
     assert nodes["1"]["parent_table"] == "record" and nodes["1.1"]["parent_table"] == "node" and nodes["1.1"]["parent_id"] == nodes["1"]["node_id"]
     assert all(r["parent_id"] in {n["node_id"] for n in nodes.values()} for r in t["attribute"].collect())
-    assert nodes["1"]["node.element_type"] == "topic"
+    assert nodes["1"]["node__element_type"] == "topic"
 
 
 def test_very_deep_record(spark):
@@ -137,5 +137,14 @@ def test_columns_are_typed(spark):
     g = N.analyse(df)
     assert g.columns_of("record") == {"m.b": "boolean", "m.big": "string", "m.f": "double", "m.n": "bigint", "m.t": "string"}
     got = {r["record_id"]: r for r in N.flat_table(N.shred(df, g), g, "record").collect()}
-    assert (got[1]["record.m.n"], got[1]["record.m.f"], got[1]["record.m.b"], got[1]["record.m.t"], got[1]["record.m.big"]) == (1, 1.0, True, "1", str(2**70))
-    assert got[2]["record.m.f"] == 1.5 and got[2]["record.m.b"] is False
+    assert (got[1]["record__m__n"], got[1]["record__m__f"], got[1]["record__m__b"], got[1]["record__m__t"], got[1]["record__m__big"]) == (1, 1.0, True, "1", str(2**70))
+    assert got[2]["record__m__f"] == 1.5 and got[2]["record__m__b"] is False
+
+
+def test_names_that_differ_in_case_are_numbered(spark):
+    df = frame(spark, [{"m": {"Domain": "a", "domain": "b", "path": "c"}, "name": "d"}])
+    g = N.analyse(df)
+    t = N.flat_table(N.shred(df, g), g, "record")
+    assert len({c.lower() for c in t.columns}) == len(t.columns) and not any("." in c for c in t.columns)
+    r = t.select(*t.columns).head()
+    assert (r["record__m__Domain"], r["record__m__domain_2"], r["record__m__path"], r["record__name"]) == ("a", "b", "c", "d")
