@@ -102,7 +102,8 @@ class Levels:
             if (kind, n + 1) in read:
                 return depth, (kind, n + 1)
         first = next((r for r in read if r[1] == 1), None)
-        return (len(self.stack), first) if first else None
+        # a kind that is open already starts anew at its level, so that there are no more levels than kinds
+        return (next((d for d, (kind, _) in enumerate(self.stack) if kind == first[0]), len(self.stack)), first) if first else None
 
     def enter(self, mark: re.Match | None) -> None:
         """Takes a mark at a sentence's start: levels inside its own are closed."""
@@ -114,7 +115,7 @@ class Levels:
     def goes_on(self, mark: re.Match | None) -> bool:
         """Whether a mark is the next of an open level."""
         at = mark and self.place(mark)
-        return bool(at) and at[0] < len(self.stack)
+        return bool(at) and at[1][1] > 1
 
 
 def _trie() -> dict:

@@ -99,6 +99,9 @@ def test_list_levels_are_a_stack():
     # `i)` opens roman numbers, `c)` closes them, `2.` closes the letters, and `7.` is no mark in order
     assert seen == [1, 2, 2, 3, 3, 2, 1, 2, 2, 1]
     assert levels.stack == [("1.", 3)]
+    for _ in range(5):
+        levels.enter(re.match(_MARK, "1. "))
+    assert levels.stack == [("1.", 1)]
 
 
 def test_marks_in_order_start_sentences_in_lower_case():
